@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, ngram_join, secrets
+from quire.llm import mixing, ngram_join, pieces, secrets, toxicity
 from quire.session import prepare, stage, table
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; every other row stays as it is."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id.
 
@@ -42,10 +47,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("copy", copies).select([docs[c] for c in docs.columns])
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with `ids`, their texts' piece ids, and `n_pieces`; every row stays."""
+    prepare(spark)
+    return pieces.encode(docs).withColumn("n_pieces", F.size("ids").cast("long"))
+
+
 STAGES = [
+    ("toxicity", reject_toxic),
     ("n-gram Jaccard join", near_duplicates),
     ("secret scans", secret_scan),
     ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 #: Nearest examples and lattices have no SQL; tests hold each stage against brute force.

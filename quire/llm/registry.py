@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import media, mixing, ngram_join, secrets, sharding, tokens
+from quire.llm import ann, langid, media, mixing, ngram_join, pieces, secrets, sharding, tokens, toxicity
 from quire.session import table
 
 
@@ -14,14 +14,30 @@ def op2_token_counts(spark, sf_dir):
     return tokens.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    return langid.op3(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark, sf_dir):
     return media.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scans(spark, sf_dir):
     return secrets.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark, sf_dir):
+    return ann.op7(table(spark, sf_dir, "embeddings"))
+
+
+def op8_sentencepiece(spark, sf_dir):
+    return pieces.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.op9(table(spark, sf_dir, "documents"))
 
