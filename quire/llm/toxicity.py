@@ -13,8 +13,8 @@ calibrated by isotonic regression of leave-one-out votes.
 
 A score depends on the text alone. Defined results: null, blank and termless
 texts get the calibrated base rate; equal texts get equal scores; equal cosines
-count in the examples' fixed order; with no usable labels every score is 0.5
-(predicted 1); null doc_id counts as the empty text for the fold; other
+count in the examples' fixed order; with usable labels of one kind only every score
+is that label, and with none 0, so nothing is rejected; null doc_id counts as the empty text for the fold; other
 columns are ignored by `score` and kept by `reject`.
 """
 
@@ -145,7 +145,7 @@ class Model:
         """examples: (doc_id, label, term numbers, counts), in their fixed order."""
         self.terms = {w: i for i, w in enumerate(terms)}
         self.idf = np.log((n_docs + 1) / (np.asarray(df, float) + 1))
-        self.base = float(np.mean([y for _, y, _, _ in examples])) if examples else 0.5
+        self.base = float(np.mean([y for _, y, _, _ in examples])) if examples else 0.0
         # like examples share blocks, so that block maxima are near the weights
         full = sorted((x for x in examples if x[2]), key=lambda x: (sorted(x[2], key=lambda t: -self.idf[t]), x[0]))
         self.names, self.labels = [x[0] for x in full], np.array([x[1] for x in full], float)
@@ -154,7 +154,7 @@ class Model:
         votes = [self._vote(*self.index.nearest(ts, w, NEIGHBOURS, but=i)) for i, (ts, w) in enumerate(rows)]
         rest = [(self._vote(np.zeros(0, np.int64), np.zeros(0)), x[1]) for x in examples if not x[2]]
         every = np.array(votes + [v for v, _ in rest]), np.concatenate((self.labels, [float(y) for _, y in rest]))
-        self.steps = isotonic(*every) if examples else (np.zeros(1), np.full(1, 0.5))
+        self.steps = isotonic(*every) if examples else (np.zeros(1), np.zeros(1))
         self.known: dict = {}
 
     def _vote(self, ids: np.ndarray, scores: np.ndarray) -> float:
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n1 or not n0:
-        return Model([], [], 0, [])
+        return Model([], [], 0, [("", int(n1 > 0), [], [])])
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     c, d = F.lit(n1) - a, F.lit(n0) - b
     chi = F.lit(n1 + n0) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * n0)
