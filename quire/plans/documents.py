@@ -1 +1,601 @@
-"""Queries over PDFs made from the tables (filled in below)."""
+"""Queries that make PDFs from the tables, parse them, and ask what is in them.
+
+No table holds PDFs, so each query writes some from its rows and answers from
+what the parser found; nothing is passed around it. The SQL beside each says
+what must come out, from the tables alone.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.operators import analytics, raster, stages
+from quire.registry import query
+from quire.session import stage, table
+from quire.sources import writer
+from quire.sources.files import made
+
+FILTER_SETS = [[], ["FlateDecode"], ["ASCIIHexDecode"], ["ASCII85Decode", "FlateDecode"], ["RunLengthDecode"]]
+_LINES = (
+    "SELECT doc_id, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line, "
+    "generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents"
+)
+
+
+def text_files(spark, sf_dir):
+    return made(table(spark, sf_dir, "documents"), "doc_id", ["text"], writer.text_file)
+
+
+@query(
+    f"""SELECT doc_id, (i // 50 + 1)::INTEGER AS page_no, (row_number() OVER (PARTITION BY doc_id, i // 50 ORDER BY i) - 1)::INTEGER AS ord,
+        line AS text, 72.0::DOUBLE AS x, (720 - 14 * (i % 50))::DOUBLE AS y FROM ({_LINES}) WHERE line <> ''"""
+)
+def text_spans(spark, sf_dir):
+    """Every shown string with its place."""
+    spans = stages.text_spans(text_files(spark, sf_dir))
+    return spans.select(F.col("path").cast("long").alias("doc_id"), "page_no", "ord", "text", "x", "y")
+
+
+@query(f"SELECT lang, count(DISTINCT doc_id) AS docs, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM ({_LINES}) WHERE line <> '' GROUP BY lang")
+def text_stats_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.concat_ws("/", F.coalesce("lang", F.lit("")), "doc_id"))
+    spans = stages.text_spans(made(docs, "key", ["text"], writer.text_file))
+    lang = F.substring_index("path", "/", 1)
+    counted = spans.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("text")).alias("chars"))
+    return counted.groupBy(F.nullif(lang, F.lit("")).alias("lang")).agg(F.count(F.lit(1)).alias("docs"), F.sum("lines").alias("lines"), F.sum("chars").alias("chars"))
+
+
+def _conversation(turns):
+    contents = [b"BT /F1 12 Tf 72 720 Td " + writer.shown(t["text"] or "", False) + b" Tj ET" for t in turns]
+    return writer.pages_file(contents)
+
+
+@query(
+    """SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text))::INTEGER AS page_no, text AS shown
+       FROM conversations QUALIFY coalesce(text, '') <> ''"""
+)
+def conversation_pages(spark, sf_dir):
+    """A file for each conversation, a page for each turn."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    spans = stages.text_spans(made(turns, "conv_id", ["turns"], _conversation))
+    return spans.select(F.col("path").cast("long").alias("conv_id"), "page_no", F.col("text").alias("shown"))
+
+
+def _region(region, nations):
+    """A page tree: a node for the region, a leaf for each nation; even ones have a box and a turn of their own."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Rotate 90 >>"}
+    kids = b" ".join(b"%d 0 R" % (10 + i) for i in range(len(nations)))
+    objects[3] = b"<< /Type /Pages /Kids [%b] /MediaBox [0 0 %d 200] >>" % (kids, 100 + region)
+    for i, n in enumerate(nations):
+        own = b" /MediaBox [10 10 %d 60] /Rotate %d" % (20 + n, -90 * n) if n % 2 == 0 else b""
+        objects[10 + i] = b"<< /Type /Page%b >>" % own
+    return writer.build(objects)
+
+
+@query(
+    """SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INTEGER AS page_no,
+       (CASE WHEN n_nationkey % 2 = 0 THEN 10 + n_nationkey ELSE 100 + n_regionkey END)::DOUBLE AS width,
+       (CASE WHEN n_nationkey % 2 = 0 THEN 50 ELSE 200 END)::DOUBLE AS height,
+       (CASE WHEN n_nationkey % 2 = 0 THEN ((-90 * n_nationkey) % 360 + 360) % 360 ELSE 90 END)::INTEGER AS rotate FROM nation"""
+)
+def page_tree_inherit(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("nations"))
+    pages = stages.pages(made(nations, "n_regionkey", ["n_regionkey", "nations"], _region))
+    return pages.select(F.col("path").cast("int").alias("n_regionkey"), "page_no", "width", "height", "rotate")
+
+
+def _chain(key, name, region):
+    body = {5: writer.escaped(name), 6: b"5 0 R", 7: b"6 0 R", 8: b"%d" % region, 9: b"8 0 R"}
+    return writer.pages_file([b""], more={4: b"<< /Name 7 0 R /Region 9 0 R >>"} | body)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey::VARCHAR AS region FROM nation")
+def ref_resolution(spark, sf_dir):
+    """References to references, followed by joins over the table of objects."""
+    files = made(table(spark, sf_dir, "nation"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], _chain)
+    objects = stage(stages.objects(files), "objects")
+    refs = objects.filter("obj_id = 4").select("path", F.explode(F.create_map(
+        F.lit("name"), F.get_json_object("value", "$.d.Name.r").cast("long"), F.lit("region"), F.get_json_object("value", "$.d.Region.r").cast("long"))).alias("key", "ref"))
+    found = analytics.resolve_references(refs, objects)
+    wide = found.groupBy("path").agg(
+        F.max(F.when(F.col("key") == "name", F.get_json_object("value", "$.s"))).alias("n_name"), F.max(F.when(F.col("key") == "region", F.col("value"))).alias("region")
+    )
+    return wide.select(F.col("path").cast("int").alias("n_nationkey"), "n_name", "region")
+
+
+def _orders(orders):
+    """An object for each priority, written again for each order."""
+    body = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] >>"), (3, b"<< /Type /Page >>")]
+    return writer.build(body + [(10 + int(o["o_orderpriority"][0]), b"<< /Order %d >>" % o["o_orderkey"]) for o in orders])
+
+
+def _order_lists(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("orders"))
+
+
+def _order_objects(files):
+    found = stages.objects(files).filter("obj_id > 9 and obj_id < 20")
+    order = F.get_json_object("value", "$.d.Order").cast("long")
+    return found.select(F.col("path").cast("long").alias("o_custkey"), (F.col("obj_id") - 10).alias("priority"), order.alias("o_orderkey"), F.col("compressed_in").isNotNull().alias("compressed"))
+
+
+@query("SELECT o_custkey, substr(o_orderpriority, 1, 1)::BIGINT AS priority, max(o_orderkey) AS o_orderkey, false AS compressed FROM orders GROUP BY ALL")
+def last_wins_objects(spark, sf_dir):
+    """Of direct objects with one id, the last holds."""
+    return _order_objects(made(_order_lists(spark, sf_dir), "o_custkey", ["orders"], _orders))
+
+
+def _packed_orders(orders):
+    """The first order's object direct, all orders' objects in a compressed object stream."""
+    parts, head = b"", []
+    for o in orders:
+        head.append(b"%d %d" % (10 + int(o["o_orderpriority"][0]), len(parts)))
+        parts += b"<< /Order %d >> " % o["o_orderkey"]
+    first = b" ".join(head) + b" "
+    pack = writer.stream(first + parts, b"/Type /ObjStm /N %d /First %d" % (len(orders), len(first)), ["FlateDecode"])
+    body = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] >>", 3: b"<< /Type /Page >>", 4: pack}
+    body[10 + int(orders[0]["o_orderpriority"][0])] = b"<< /Order %d >>" % -orders[0]["o_orderkey"]
+    return writer.build(body)
+
+
+@query(
+    """WITH o AS (SELECT o_custkey, substr(o_orderpriority, 1, 1)::BIGINT AS priority, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r,
+            row_number() OVER (PARTITION BY o_custkey, substr(o_orderpriority, 1, 1) ORDER BY o_orderkey) AS p FROM orders)
+       SELECT o_custkey, priority, CASE WHEN r = 1 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, r <> 1 AS compressed FROM o WHERE p = 1"""
+)
+def object_streams_first_wins(spark, sf_dir):
+    """Members of object streams never replace what is known."""
+    return _order_objects(made(_order_lists(spark, sf_dir), "o_custkey", ["orders"], _packed_orders))
+
+
+def _with_filters(doc_id, text):
+    return writer.text_file(text, FILTER_SETS[(doc_id or 0) % 5])
+
+
+@query(f"SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5 FROM ({_LINES}) WHERE line <> '' GROUP BY doc_id")
+def filter_chain_roundtrip(spark, sf_dir):
+    """Content streams through every filter and back to text."""
+    spans = stages.text_spans(made(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text"], _with_filters))
+    lines = F.array_sort(F.collect_list(F.struct("page_no", "ord", "text")))
+    whole = spans.groupBy("path").agg(F.concat_ws("\n", F.transform(lines, lambda x: x["text"])).alias("t"))
+    return whole.select(F.col("path").cast("long").alias("doc_id"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+
+
+@query(
+    """WITH d AS (SELECT coalesce(doc_id, 0) % 5 AS k, ceil(len(string_split(coalesce(text, ''), chr(10))) / 50.0)::BIGINT AS n FROM documents),
+       f AS (SELECT * FROM (VALUES (1, 'FlateDecode'), (2, 'ASCIIHexDecode'), (3, 'ASCII85Decode'), (3, 'FlateDecode'), (4, 'RunLengthDecode')) v(k, filter))
+       SELECT filter, sum(n)::BIGINT AS n FROM d JOIN f USING (k) GROUP BY filter"""
+)
+def filter_histogram(spark, sf_dir):
+    files = made(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text"], _with_filters)
+    return stages.documents(files).select(F.explode("filters").alias("filter", "n")).groupBy("filter").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT item_id, line AS text FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE line <> ''")
+def encrypted_roundtrip(spark, sf_dir):
+    """Encrypted files, opened with the owner's password."""
+    files = made(table(spark, sf_dir, "benchmark"), "item_id", ["text"], lambda t: writer.encrypted_text_file(t, "reader", "owner"))
+    return stages.text_spans(files, password="owner").select(F.col("path").cast("long").alias("item_id"), "text")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN first <> doc_id THEN first END AS duplicate_of
+       FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS first FROM documents)"""
+)
+def content_dedup(spark, sf_dir):
+    """Files with equal contents; the first by path is the original."""
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.format_string("%019d", "doc_id"))
+    files = made(docs, "key", ["text"], writer.text_file).select("path", F.sha2("content", 256).alias("sha256"))
+    found = analytics.deduplicate(files)
+    return found.select(F.col("path").cast("long").alias("doc_id"), F.col("duplicate_of").cast("long").alias("duplicate_of"))
+
+
+def _events(events):
+    """A page that uses each event's type as an operator."""
+    return writer.pages_file([b" ".join(b"%d %b" % (i, e["event_type"].encode()) for i, e in enumerate(events))])
+
+
+def _event_files(spark, sf_dir):
+    users = table(spark, sf_dir, "events").filter("event_type is not null").groupBy("user_id")
+    lists = users.agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("events"))
+    return made(lists.withColumn("key", F.format_string("%019d", "user_id")), "key", ["events"], _events)
+
+
+_CENSUS = """SELECT 'operator:' || event_type AS feature, 'unsupported' AS status, count(DISTINCT user_id) AS documents, count(DISTINCT user_id) AS pages,
+    count(*) AS occurrences, array_to_string(list_slice(list_sort(list(DISTINCT user_id)), 1, 5), ',') AS examples FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""
+
+
+def _summary(spark, sf_dir):
+    found = analytics.census_summary(stages.features(_event_files(spark, sf_dir)))
+    said = F.concat_ws(",", F.transform("examples", lambda e: e["file"].cast("long").cast("string")))
+    return found.select("feature", "status", "documents", "pages", "occurrences", said.alias("examples"))
+
+
+@query(_CENSUS)
+def feature_census(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({_CENSUS}) ORDER BY documents DESC, pages DESC, feature LIMIT 25")
+def feature_topk(spark, sf_dir):
+    """The report's 25 most widespread features."""
+    return analytics.top_features(_summary(spark, sf_dir), 25)
+
+
+@query("SELECT event_type AS operator, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def unsupported_histogram(spark, sf_dir):
+    return stages.unsupported(_event_files(spark, sf_dir)).groupBy("operator").agg(F.sum("n").alias("n"))
+
+
+def _linked(url):
+    link = b"<< /Type /Annot /Subtype /Link /A << /Type /Action /S /URI /URI %b >> >>" % writer.shown(url or "", not writer.plain(url or ""))
+    return writer.pages_file([b""], more={4: link}, page=b"/Annots [4 0 R]")
+
+
+@query(
+    """SELECT coalesce(nullif(split_part(url, ':', 1), url), '') AS scheme, count(*) AS documents, count(*)::BIGINT AS actions, (2 * count(*))::BIGINT AS uris
+       FROM pages GROUP BY ALL"""
+)
+def active_content(spark, sf_dir):
+    """Links as actions: the audit counts an action's type, and its kind both as a key and as a type."""
+    pages = table(spark, sf_dir, "pages")
+    scheme = F.coalesce(F.nullif(F.substring_index("url", ":", 1), F.col("url")), F.lit(""))
+    files = made(pages.withColumn("key", F.concat_ws("|", scheme, "page_id")), "key", ["url"], _linked)
+    found = stages.documents(files).select(F.substring_index("path", "|", 1).alias("scheme"), "active_content")
+    return found.groupBy("scheme").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.col("active_content")["Action"]).alias("actions"), F.sum(F.col("active_content")["URI"]).alias("uris")
+    )
+
+
+_ISLANDS = """WITH p AS (SELECT DISTINCT conv_id, turn + 1 AS page FROM conversations WHERE turn >= 0 AND turn % 4 <> 3),
+    r AS (SELECT conv_id, min(page) AS a, max(page) AS b FROM (SELECT *, page - row_number() OVER (PARTITION BY conv_id ORDER BY page) AS g FROM p) GROUP BY conv_id, g)
+    SELECT conv_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS page_list FROM r GROUP BY conv_id"""
+
+
+def _kept_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").filter("turn >= 0 and turn % 4 <> 3").select("conv_id", (F.col("turn") + 1).alias("page"))
+
+
+@query(_ISLANDS)
+def page_islands(spark, sf_dir):
+    """Pages as runs: 1-3,5-7."""
+    return analytics.compact_pages(_kept_turns(spark, sf_dir), ["conv_id"], "page")
+
+
+@query("SELECT DISTINCT conv_id, turn::INTEGER AS page_index FROM conversations WHERE turn >= 0 AND turn % 4 <> 3")
+def page_range_parse(spark, sf_dir):
+    """Runs as text, and back to page indexes."""
+    lists = analytics.compact_pages(_kept_turns(spark, sf_dir), ["conv_id"], "page")
+    return lists.select("conv_id", F.explode(analytics.parse_page_range(F.col("page_list"), F.lit(1_000_000))).alias("page_index"))
+
+
+@query(
+    """SELECT source, doc_id, n_chars FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS t FROM documents)
+       WHERE t <= 20000"""
+)
+def bounded_concat(spark, sf_dir):
+    """Parts in order, up to a budget by running total."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return analytics.bounded_prefix(docs, ["source"], ["doc_id"], "n_chars", 20000)
+
+
+_GRAY = "floor(least(greatest((x::DOUBLE + 1) * 127.5, 0), 255))::INTEGER"
+
+
+def _gray(column):
+    return F.transform(column, lambda x: F.floor(F.least(F.greatest((x.cast("double") + 1) * 127.5, F.lit(0.0)), F.lit(255.0))).cast("int"))
+
+
+def _raster_pairs(spark, sf_dir):
+    """Rasters of vectors 2k and 2k + 1, as gray pixels."""
+    gray = table(spark, sf_dir, "embeddings").select("vec_id", _gray(F.col("embedding")).alias("g"))
+    rgba = F.unhex(F.concat_ws("", F.transform("g", lambda v: F.concat(F.repeat(F.lpad(F.hex(v), 2, "0"), 3), F.lit("FF")))))
+    rows = gray.select((F.col("vec_id") / 2).cast("long").alias("pair"), F.pmod("vec_id", F.lit(2)).alias("side"), rgba.alias("r"))
+    both = rows.groupBy("pair").agg(*(F.max(F.when(F.col("side") == i, F.col("r"))).alias(n) for i, n in enumerate(("first", "second"))))
+    return raster.differences(both.filter("first is not null and second is not null"))
+
+
+_DIFF = f"""WITH g AS (SELECT vec_id, i, {_GRAY} AS v FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+    d AS (SELECT a.vec_id // 2 AS pair, a.v - b.v AS s, abs(a.v - b.v) AS m FROM g a JOIN g b ON b.vec_id = a.vec_id + 1 AND a.i = b.i WHERE a.vec_id % 2 = 0)
+    SELECT pair, count_if(m > 2)::BIGINT AS changed, count_if(m > 20)::BIGINT AS substantial, count(*) AS total, count_if(m > 2 AND s > 0)::BIGINT AS red,
+    count_if(m > 2 AND s < 0)::BIGINT AS green, coalesce(sum(CASE WHEN m > 2 THEN m END), 0)::BIGINT AS delta, coalesce(max(CASE WHEN m > 2 THEN m END), 0)::BIGINT AS max
+    FROM d GROUP BY pair"""
+
+
+@query(f"SELECT pair, changed, substantial, total, red, green, round(CASE WHEN changed > 0 THEN delta / changed ELSE 0 END, 6) AS mean, max FROM ({_DIFF})")
+def raster_diff(spark, sf_dir):
+    return _raster_pairs(spark, sf_dir).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    f"""SELECT pair % 10 AS k, sum(changed)::BIGINT AS changed, sum(substantial)::BIGINT AS substantial, sum(total)::BIGINT AS total, sum(red)::BIGINT AS red, sum(green)::BIGINT AS green,
+        round(CASE WHEN sum(changed) > 0 THEN sum(delta) / sum(changed) ELSE 0 END, 6) AS mean, max(max) AS max FROM ({_DIFF}) GROUP BY ROLLUP (pair % 10)"""
+)
+def raster_diff_rollup(spark, sf_dir):
+    """Pages to all: sums, a mean weighted by changed pixels, the maximum."""
+    pairs = _raster_pairs(spark, sf_dir).withColumn("k", F.col("pair") % 10)
+    return analytics.difference_rollup(pairs, ["k"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT event_type, list_sort(list(value))[count(value) // 2 + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def upper_median(spark, sf_dir):
+    return analytics.upper_median(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query(
+    """SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1
+       AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0)"""
+)
+def novel_pairs(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return analytics.novel(events.filter("event_id % 2 = 1"), events.filter("event_id % 2 = 0"), ["user_id", "event_type"])
+
+
+def _maybe_broken(doc_id, text):
+    whole = writer.text_file(text)
+    return whole.replace(b"%PDF-", b"%XXX-") if (doc_id or 0) % 7 == 0 else whole.replace(b"/Type /Page ", b"/Type /Leaf ") if doc_id % 7 == 1 else whole
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 1) THEN 'both-rejected' WHEN len(string_split(coalesce(text, ''), chr(10))) > 100 THEN 'page-mismatch' ELSE 'agree' END AS outcome
+       FROM documents"""
+)
+def engine_agreement(spark, sf_dir):
+    """Two ways to parse the same files, held against each other."""
+    files = made(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text"], _maybe_broken)
+    found = analytics.agreement(stages.documents(files), stages.documents(files, {"maxPages": 2}), "path")
+    return found.select(F.col("path").cast("long").alias("doc_id"), "outcome")
+
+
+_CMYK = ", ".join(f"floor(255.0 * (1 - {v} / 255.0::DOUBLE) * (1 - (p_partkey % 256) / 255.0::DOUBLE) + 0.5)::INTEGER AS {n}" for v, n in (("(p_size * 5) % 256", "r"), ("(p_partkey * 7) % 256", "g"), ("(p_size * p_partkey) % 256", "b")))
+
+
+@query(f"SELECT p_partkey, {_CMYK} FROM part")
+def cmyk_to_rgb(spark, sf_dir):
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    rgb = analytics.cmyk_to_rgb((size * 5) % 256, (key * 7) % 256, (size * key) % 256, key % 256)
+    return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for c, n in zip(rgb, "rgb", strict=True)))
+
+
+def _gray_page(key, size):
+    return writer.pages_file([b"%.2f g 0 0 10 10 re f" % (size / 50)])
+
+
+@query("SELECT p_partkey, 'rgb(' || v || ', ' || v || ', ' || v || ')' AS fill FROM (SELECT p_partkey, floor((p_size / 50.0::DOUBLE) * 255 + 0.5)::INTEGER AS v FROM part)")
+def gray_levels(spark, sf_dir):
+    """Fill colours as the interpreter holds them when it paints."""
+    files = made(table(spark, sf_dir, "part"), "p_partkey", ["p_partkey", "p_size"], _gray_page)
+    return stages.paint_ops(files).filter("kind = 'fill'").select(F.col("path").cast("long").alias("p_partkey"), "fill")
+
+
+_POINTS = {90: ("y", "x"), 180: ("300 - x", "y"), 270: ("400 - y", "300 - x"), 0: ("x", "400 - y")}
+_POINT_SQL = ", ".join(
+    f"floor((CASE turn {' '.join(f'WHEN {t} THEN {p[i]}' for t, p in _POINTS.items())} END) * 1000 + 0.5)::BIGINT AS {n}" for i, n in enumerate(("px", "py"))
+)
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, {_POINT_SQL}
+       FROM (SELECT l_orderkey, l_linenumber, l_quantity - 5 AS x, l_extendedprice / 1000 - 10 AS y, (l_orderkey % 4) * 90 AS turn FROM lineitem)"""
+)
+def page_points(spark, sf_dir):
+    """User space to turned pages in thousandths, as column arithmetic."""
+    box = [F.lit(v) for v in (5.0, 10.0, 305.0, 410.0)]
+    points = analytics.page_point(F.col("l_quantity"), F.col("l_extendedprice") / 1000, box, (F.col("l_orderkey") % 4) * 90)
+    px, py = (F.floor(p * 1000 + 0.5) for p in points)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", px.alias("px"), py.alias("py"))
+
+
+def _cid(name):
+    """Two-byte codes that only a ToUnicode map explains: letters by bfchar, the rest by bfrange."""
+    code = {c: 0x2000 + ord(c) for c in name}
+    chars = "".join(f"<{code[c]:04X}> <{ord(c):04X}>\n" for c in sorted(code) if c.isalpha())
+    cmap = f"beginbfchar\n{chars}endbfchar\nbeginbfrange\n<2020> <207E> <0020>\nendbfrange".encode()
+    shown = b"<" + b"".join(b"%04X" % code[c] for c in name) + b"> Tj"
+    more = {
+        4: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 6 0 R /DescendantFonts [5 0 R] >>",
+        5: b"<< /Type /Font /Subtype /CIDFontType2 /DW 500 /W [8192 8450 600] >>", 6: writer.stream(cmap, b"", ["FlateDecode"]),
+    }
+    return writer.pages_file([b"BT /F2 10 Tf 20 Tc 50 Tz " + shown + b" ET"], more=more, page=b"/Resources << /Font << /F2 4 0 R >> >>")
+
+
+@query("SELECT n_nationkey, n_name AS text, round(length(n_name) * (6.0 + 20.0) * 0.5, 6)::DOUBLE AS advance FROM nation")
+def cid_text(spark, sf_dir):
+    spans = stages.text_spans(made(table(spark, sf_dir, "nation"), "n_nationkey", ["n_name"], _cid))
+    return spans.select(F.col("path").cast("int").alias("n_nationkey"), "text", F.round("advance", 6).alias("advance"))
+
+
+def _measured(name):
+    more = {4: b"<< /Type /Font /Subtype /TrueType /BaseFont /ABCDEF+Some-Bold,Italic /FirstChar 32 /Widths [250 %b] >>" % b" ".join([b"500"] * 94)}
+    shows = b"[%b -200 %b] TJ" % (writer.escaped(name), writer.escaped(name))
+    return writer.pages_file([b"BT /F3 20 Tf 3 Tw " + shows + b" ET"], more=more, page=b"/Resources << /Font << /F3 4 0 R >> >>")
+
+
+@query(
+    """WITH w AS (SELECT n_nationkey, n_name, (length(n_name) - length(replace(n_name, ' ', ''))) AS spaces FROM nation),
+       a AS (SELECT *, round(10.0::DOUBLE * (length(n_name) - spaces) + 8.0 * spaces, 6) AS advance FROM w)
+       SELECT n_nationkey, 0 AS ord, 0.0::DOUBLE AS x, advance FROM a UNION ALL SELECT n_nationkey, 1, round(advance + 4.0, 6), advance FROM a"""
+)
+def text_advance(spark, sf_dir):
+    """Where a second string starts: widths, word spacing and the array's own shift."""
+    spans = stages.text_spans(made(table(spark, sf_dir, "nation"), "n_nationkey", ["n_name"], _measured))
+    return spans.select(F.col("path").cast("int").alias("n_nationkey"), "ord", F.round("x", 6).alias("x"), F.round("advance", 6).alias("advance"))
+
+
+def _image(samples: bytes, entries: bytes, filters=None):
+    body = b"/Type /XObject /Subtype /Image /Width 8 /Height 8 " + entries
+    return writer.pages_file([b"8 0 0 8 0 0 cm /I Do"], b"/XObject << /I 4 0 R >>", more={4: writer.stream(samples, body, filters)})
+
+
+def _indexed(gray):
+    """Two bits a sample, four colours, rows of two bytes."""
+    two = [v >> 6 for v in gray]
+    packed = bytes(two[i] << 6 | two[i + 1] << 4 | two[i + 2] << 2 | two[i + 3] for i in range(0, 64, 4))
+    return _image(packed, b"/BitsPerComponent 2 /ColorSpace [/Indexed /DeviceRGB 3 <0A141E 32003C 46505A 646E78>]", ["ASCIIHexDecode"])
+
+
+def _gray_vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").filter("size(embedding) = 64")
+    return rows.select("vec_id", _gray(F.col("embedding")).alias("gray"))
+
+
+def _pixels(files):
+    """Each image's RGBA as (vec_id, i, hex)."""
+    found = stages.images(files).filter("rgba is not null").select(F.col("path").cast("long").alias("vec_id"), F.hex("rgba").alias("h"))
+    return found.select("vec_id", F.posexplode(F.expr("transform(sequence(0, 63), i -> substring(h, 8 * i + 1, 8))")).alias("i", "rgba"))
+
+
+_VECTORS = f"SELECT vec_id, (i - 1)::INTEGER AS i, {_GRAY} AS v FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64)"
+
+
+@query(f"SELECT vec_id, i, CASE v // 64 WHEN 0 THEN '0A141EFF' WHEN 1 THEN '32003CFF' WHEN 2 THEN '46505AFF' ELSE '646E78FF' END AS rgba FROM ({_VECTORS})")
+def indexed_image(spark, sf_dir):
+    return _pixels(made(_gray_vectors(spark, sf_dir), "vec_id", ["gray"], _indexed))
+
+
+def _predicted(gray):
+    """PNG rows with each of the filters in turn."""
+    rows, above = b"", [0] * 8
+    for y in range(8):
+        row, kind = gray[8 * y : 8 * y + 8], y % 5
+        out = []
+        for x in range(8):
+            a, b, c = (row[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            out.append((row[x] - (0, a, b, (a + b) // 2, paeth)[kind]) & 255)
+        rows, above = rows + bytes([kind, *out]), row
+    return _image(rows, b"/BitsPerComponent 8 /ColorSpace /DeviceGray /DecodeParms << /Predictor 15 /Columns 8 >> /Decode [1 0]", ["FlateDecode"])
+
+
+@query(f"SELECT vec_id, i, upper(repeat(printf('%02x', 255 - v), 3)) || 'FF' AS rgba FROM ({_VECTORS})")
+def predictor_image(spark, sf_dir):
+    """Predicted gray samples with an inverting Decode array."""
+    return _pixels(made(_gray_vectors(spark, sf_dir), "vec_id", ["gray"], _predicted))
+
+
+@query("SELECT label, count(*) AS images, 8 AS width, 2 AS bits, 'Indexed(DeviceRGB)' AS color_space, 'ASCIIHexDecode' AS filters FROM embeddings WHERE len(embedding) = 64 GROUP BY label")
+def image_audit(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").filter("size(embedding) = 64").select(F.concat_ws("/", "label", "vec_id").alias("key"), _gray(F.col("embedding")).alias("gray"))
+    found = stages.images(made(vectors, "key", ["gray"], _indexed), pixels=False)
+    label = F.substring_index("path", "/", 1).cast("int").alias("label")
+    return found.groupBy(label).agg(
+        F.count(F.lit(1)).alias("images"), F.max("width").alias("width"), F.max("bits").alias("bits"), F.max("color_space").alias("color_space"), F.max(F.concat_ws("+", "filters")).alias("filters")
+    )
+
+
+@query(
+    """SELECT doc_id, count_if(3 * n + 10 > 100)::BIGINT AS failed FROM
+       (SELECT doc_id, i // 50 AS p, count(*) AS n FROM (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents) GROUP BY ALL)
+       GROUP BY doc_id HAVING failed > 0"""
+)
+def size_limit(spark, sf_dir):
+    """Pages above a cap on tokens are errors of their own."""
+    found = stages.page_errors(text_files(spark, sf_dir), {"maxContentTokens": 100}).filter("fatal")
+    return found.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("failed"))
+
+
+_FONT_WORDS = "SELECT p_partkey, p_brand || CASE p_partkey % 6 WHEN 0 THEN '-Bold' WHEN 1 THEN 'Courier-Oblique' WHEN 2 THEN ',SemiBoldItalic' WHEN 3 THEN 'Times_Light' WHEN 4 THEN 'RobotoMono' ELSE '' END AS f FROM part"
+
+
+def _font_file(base):
+    name = b"".join(bytes([b]) if chr(b).isalnum() or b in b"-_,+" else b"#%02X" % b for b in base.encode("latin-1", "replace"))
+    return writer.pages_file([b"BT /F4 9 Tf ET"], more={4: b"<< /Type /Font /Subtype /Type1 /BaseFont /ABCDEF+%b >>" % name}, page=b"/Resources << /Font << /F4 4 0 R >> >>")
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN n LIKE '%italic%' OR n LIKE '%oblique%' THEN 'italic' ELSE 'normal' END AS style,
+        CASE WHEN n LIKE '%semibold%' THEN '600' WHEN n LIKE '%bold%' THEN '700' WHEN n LIKE '%light%' THEN '300' ELSE '400' END AS weight,
+        CASE WHEN n LIKE '%robotomono%' THEN 'Roboto Mono, ui-monospace, monospace' WHEN n LIKE '%courier%' THEN 'Courier New, ui-monospace, monospace'
+             WHEN n LIKE '%times%' THEN 'Times New Roman, Times, serif' ELSE 'Arial, Helvetica, sans-serif' END AS family
+        FROM (SELECT p_partkey, regexp_replace(lower(f), '[,_-]', '', 'g') AS n FROM ({_FONT_WORDS}))"""
+)
+def font_style(spark, sf_dir):
+    """Style, weight and family by name: found in files, worked out in columns."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand || CASE p_partkey % 6 WHEN 0 THEN '-Bold' WHEN 1 THEN 'Courier-Oblique' WHEN 2 THEN ',SemiBoldItalic' WHEN 3 THEN 'Times_Light' WHEN 4 THEN 'RobotoMono' ELSE '' END AS f")
+    found = stages.fonts(made(parts, "p_partkey", ["f"], _font_file))
+    style, weight, family = analytics.font_style(F.col("base_font"))
+    return found.select(F.col("path").cast("long").alias("p_partkey"), style.alias("style"), weight.alias("weight"), family.alias("family"))
+
+
+@query(
+    """SELECT c_custkey, concat_ws(' · ', nullif(c_custkey::VARCHAR, ''), nullif(c_mktsegment, ''), nullif(c_name, '')) AS label, 'https://example.org/' || lower(c_mktsegment) || '/' || c_custkey AS url,
+       '&lt;b title=&quot;' || c_name || '&quot;&gt;&amp;' AS html FROM customer"""
+)
+def manifest_labels(spark, sf_dir):
+    """Labels, addresses and escaped text of a manifest's rows."""
+    rows = table(spark, sf_dir, "customer")
+    label = analytics.document_label(F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.col("c_name"), F.col("c_custkey").cast("string"))
+    url = analytics.join_url(F.concat(F.lit("https://example.org/"), F.lower("c_mktsegment"), F.lit("/")), F.concat(F.lit("/"), F.col("c_custkey").cast("string")))
+    return rows.select("c_custkey", label.alias("label"), url.alias("url"), analytics.escape_html(F.concat(F.lit('<b title="'), "c_name", F.lit('">&'))).alias("html"))
+
+
+@query(
+    f"""WITH l AS (SELECT count(*) AS lines, count(DISTINCT (doc_id, i // 50)) AS pages FROM ({_LINES}))
+       SELECT unnest(['BT', 'ET', 'T*', 'TL', 'Td', 'Tf', 'Tj']) AS op, unnest([pages, pages, lines, pages, pages, pages, lines]) AS n,
+       unnest([0, 0, 0, pages, 2 * pages, 2 * pages, lines])::BIGINT AS operands FROM l"""
+)
+def content_operations(spark, sf_dir):
+    """Tokens grouped into operations by a running count."""
+    ops = stages.content_ops(stages.content_tokens(text_files(spark, sf_dir)))
+    return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("operands")).cast("long").alias("operands"))
+
+
+def _forms(name):
+    """A Form drawn twice that draws another, a state with a mask, and names that are missing."""
+    more = {
+        4: writer.stream(b"/In Do /In Do 0 0 0 1 k", b"/Subtype /Form /Resources << /XObject << /In 5 0 R >> >> /Group << /S /Transparency /K true >>"),
+        5: writer.stream(b"/X gs", b"/Subtype /Form"), 6: b"<< /BM /Odd /ca 0.5 /SMask << /S /Strange >> >>",
+    }
+    return writer.pages_file([b"/Out Do /Out Do /No Do /Gone gs /Lost 1 Tf 5 Tr BI " + name.encode("ascii", "ignore")[:0]], b"/XObject << /Out 4 0 R >> /ExtGState << /X 6 0 R >>", more=more)
+
+
+@query(
+    """SELECT feature, n * (SELECT count(*) FROM nation) AS occurrences, status FROM (VALUES ('form:xobject', 6, 'observed'), ('color:DeviceCMYK-fill', 2, 'observed'),
+       ('transparency:group', 2, 'partial'), ('transparency:nonisolated-group', 2, 'unsupported'), ('transparency:knockout-group', 2, 'unsupported'), ('text:clip-mode', 1, 'unsupported'), ('image:inline', 1, 'observed')) v(feature, n, status)
+       UNION ALL SELECT 'error: ' || e, m * (SELECT count(*) FROM nation), 'error' FROM (VALUES ('Missing XObject No', 1), ('Missing graphics state Gone', 1), ('Missing font resource Lost', 1), ('Missing graphics state X', 4)) w(e, m)"""
+)
+def form_census(spark, sf_dir):
+    """Features through Forms, once for each use; a Form with resources of its own doesn't see its page's."""
+    files = made(table(spark, sf_dir, "nation"), "n_nationkey", ["n_name"], _forms)
+    found = analytics.census_summary(stages.features(files)).select("feature", "occurrences", "status")
+    wrong = stages.page_errors(files).groupBy(F.concat(F.lit("error: "), "error").alias("feature")).agg(F.count(F.lit(1)).alias("occurrences"))
+    return found.unionByName(wrong.withColumn("status", F.lit("error")))
+
+
+@query(
+    """SELECT files, files - bad AS parsed, pages, pages AS scanned_pages, 0::BIGINT AS page_errors FROM (SELECT count(*) AS files, count_if(doc_id % 7 IN (0, 1))::BIGINT AS bad,
+       sum(CASE WHEN doc_id % 7 IN (0, 1) THEN 0 ELSE ceil(len(string_split(coalesce(text, ''), chr(10))) / 50.0)::BIGINT END)::BIGINT AS pages FROM documents)"""
+)
+def census_totals(spark, sf_dir):
+    files = made(table(spark, sf_dir, "documents"), "doc_id", ["doc_id", "text"], _maybe_broken)
+    return analytics.census_totals(stages.documents(files), stages.page_errors(files))
+
+
+@query(
+    """SELECT bin, count(*) AS files, min(n)::BIGINT AS lowest, max(n)::BIGINT AS highest FROM (SELECT user_id % 5 AS bin, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY user_id) GROUP BY bin"""
+)
+def operators_per_file(spark, sf_dir):
+    """Unsupported operators of each file, summed up by groups of files."""
+    each = stages.unsupported(_event_files(spark, sf_dir)).groupBy("path").agg(F.sum("n").alias("n"))
+    return each.groupBy((F.col("path").cast("long") % 5).alias("bin")).agg(F.count(F.lit(1)).alias("files"), F.min("n").alias("lowest"), F.max("n").alias("highest"))
+
+
+def _shaded(size):
+    f = b"<< /FunctionType 3 /Domain [0 1] /Bounds [0.5] /Encode [0 1 0 1] /Functions [5 0 R 6 0 R] >>"
+    more = {4: b"<< /ShadingType 2 /ColorSpace /DeviceGray /Coords [0 0 %d 0] /Extend [true true] /Function %b >>" % (size, f),
+            5: b"<< /FunctionType 2 /N 1 /C0 [0] /C1 [1] >>", 6: b"<< /FunctionType 2 /N 2 /C0 [1] /C1 [0] >>"}
+    return writer.pages_file([b"/S sh"], b"/Shading << /S 4 0 R >>", more=more)
+
+
+@query("SELECT p_size, count(*) AS n, '0 792 ' || p_size || ' 792' AS axis, 'rgb(0, 0, 0)' AS first, 'rgb(255, 255, 255)' AS middle, 'rgb(191, 191, 191)' AS later FROM part GROUP BY p_size")
+def shading_stops(spark, sf_dir):
+    """Axial shadings with their colours along the axis."""
+    sizes = table(spark, sf_dir, "part").select("p_partkey", "p_size").withColumn("key", F.concat_ws("/", "p_size", "p_partkey"))
+    found = stages.paint_ops(made(sizes, "key", ["p_size"], _shaded)).filter("kind = 'shading'")
+    stops = F.split(F.element_at(F.split("detail", ": "), 2), ";")
+    return found.groupBy(F.substring_index("path", "/", 1).cast("int").alias("p_size")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.element_at(F.split("detail", ": "), 1)).alias("axis"), F.max(stops[0]).alias("first"), F.max(stops[64]).alias("middle"), F.max(stops[96]).alias("later")
+    )
+
+

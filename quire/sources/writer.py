@@ -92,3 +92,32 @@ def text_file(text: str | None, filters: list[str] | None = None) -> bytes:
         return pages_file(contents, filters=filters)
     more = {4: b"<< /Type /Font /Subtype /Type0 /BaseFont /Wide /Encoding /Identity-H /DescendantFonts [5 0 R] >>", 5: b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Wide >>"}
     return pages_file(contents, filters=filters, more=more, page=b"/Resources << /Font << /F1 4 0 R >> >>")
+
+
+def encrypted_text_file(text: str | None, user: str, owner: str) -> bytes:
+    """text_file with the Standard handler, revision 2, opened by either password. The text must be plain."""
+    import hashlib
+    import struct
+
+    from quire.functions.codecs import PASSWORD_PADDING, object_key, rc4
+
+    def padded(password: str) -> bytes:
+        return (password.encode("latin-1")[:32] + PASSWORD_PADDING)[:32]
+
+    file_id = hashlib.md5((text or "").encode("utf-8", "replace")).digest()
+    o = rc4(hashlib.md5(padded(owner)).digest()[:5], padded(user))
+    key = hashlib.md5(padded(user) + o + struct.pack("<i", -4) + file_id).digest()[:5]
+    u = rc4(key, PASSWORD_PADDING)
+    contents, _ = text_pages(text or "")
+    kids = b" ".join(b"%d 0 R" % (5 + 2 * i) for i in range(len(contents)))
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Type /Pages /Kids [%b] /Count %d /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> >>" % (kids, len(contents)),
+        3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
+        4: b"<< /Filter /Standard /V 1 /R 2 /O <%b> /U <%b> /P -4 >>" % (o.hex().encode(), u.hex().encode()),
+    }
+    for i, c in enumerate(contents):
+        n = 6 + 2 * i
+        objects[n - 1] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % n
+        objects[n] = stream(rc4(object_key(key, n, 0), c))
+    return build(objects, b"/Root 1 0 R /Encrypt 4 0 R /ID [<%b> <%b>]" % ((file_id.hex().encode(),) * 2))
