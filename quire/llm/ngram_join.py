@@ -427,3 +427,20 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op10(docs: DataFrame) -> DataFrame:
     return join(docs, k=4, percent=85)
+
+
+#: The same by a self-join of all shingles and the transitive closure of the links.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS d, doc_id AS r FROM n UNION SELECT b.y, r.r FROM r JOIN b ON b.x = r.d),
+m AS (SELECT d, min(r) AS component FROM r GROUP BY d)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN t.doc_id ELSE m.component END AS component_id
+FROM documents t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN m ON m.d = t.doc_id
+"""
