@@ -147,6 +147,28 @@ def keep_most_novel(corpus: DataFrame, novelty: str, most: int = 512, keep: int
     return ranked.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(novelty)))).filter((F.col("_n") <= most) | (F.col("_r") <= keep)).drop("_n", "_r")
 
 
+def weighted_pick(corpus: DataFrame, weight: str, draws: int, seed: int) -> DataFrame:
+    """`draws` rows, each picked with a chance in proportion to 1 + its weight: cumulative sums against drawn numbers.
+
+    For a corpus kept small by keep_most_novel; the draws are what is broadcast.
+    """
+    order = Window.orderBy(F.xxhash64(*corpus.columns))
+    summed = corpus.withColumn("_to", F.sum(F.col(weight) + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    summed = summed.withColumn("_from", F.col("_to") - F.col(weight) - 1)
+    total = corpus.agg(F.sum(F.col(weight) + 1).alias("_total"))
+    drawn = corpus.sparkSession.range(draws).select(F.col("id").alias("draw"), F.rand(seed).alias("_u")).crossJoin(F.broadcast(total))
+    drawn = drawn.select("draw", (F.col("_u") * F.col("_total")).alias("_at"))
+    return summed.join(F.broadcast(drawn), (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).drop("_from", "_to", "_at")
+
+
+def unsupported_report(unsupported: DataFrame, keys: list[str]) -> DataFrame:
+    """keys with one text: `operator: count` lines, the highest count first, then by name."""
+    sums = unsupported.groupBy(*keys, "operator").agg(F.sum("n").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "operator", "n")))
+    lines = F.transform(listed, lambda x: F.concat(x["operator"], F.lit(": "), x["n"].cast("string")))
+    return sums.groupBy(*keys).agg(F.concat_ws("\n", lines).alias("report"))
+
+
 def agreement(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """key, outcome of two parses (columns: key, pages, error): agree, both-rejected, accept-mismatch, page-mismatch."""
     a = first.select(F.col(key), F.col("pages").alias("_p1"), F.col("error").alias("_e1"), F.lit(True).alias("_h1"))

@@ -127,6 +127,14 @@ def test_small_operators(spark):
     assert [r[0] for r in sides] == [595, 595, 7, 595]
 
 
+def test_weighted_pick_and_report(spark):
+    corpus = spark.createDataFrame([("a", 0), ("b", 98), ("c", 0)], "name string, novelty long")
+    got = analytics.weighted_pick(corpus, "novelty", 200, 7).collect()
+    assert len(got) == 200 and sum(r.name == "b" for r in got) > 180
+    rows = spark.createDataFrame([("f", "Do", 1), ("f", "sh", 3), ("f", "BI", 1), ("f", "sh", 1)], "path string, operator string, n long")
+    assert analytics.unsupported_report(rows, ["path"]).first().report == "sh: 4\nBI: 1\nDo: 1"
+
+
 def test_agreement(spark):
     a = spark.createDataFrame([("1", 1, None), ("2", 1, None), ("3", 2, None), ("4", None, "x")], "path string, pages int, error string")
     b = spark.createDataFrame([("1", 1, None), ("2", None, "x"), ("3", 1, None), ("5", 1, None)], "path string, pages int, error string")
