@@ -64,7 +64,8 @@ def census_totals(documents: DataFrame, page_errors: DataFrame) -> DataFrame:
     sums = documents.agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNull()).alias("parsed"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages")
     )
-    return sums.crossJoin(F.broadcast(wrong)).select("files", "parsed", "pages", (F.col("pages") - F.col("failed")).alias("scanned_pages"), "page_errors")
+    failed = F.col("pages") - wrong.select("failed").scalar()
+    return sums.select("files", "parsed", "pages", failed.alias("scanned_pages"), wrong.select("page_errors").scalar().alias("page_errors"))
 
 
 def parse_page_range(text: Column, count: Column) -> Column:
@@ -142,8 +143,8 @@ def novel(new: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
 
 def keep_most_novel(corpus: DataFrame, novelty: str, most: int = 512, keep: int = 384) -> DataFrame:
     """All rows up to `most`; of more, the `keep` with the highest novelty."""
-    n = corpus.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = corpus.orderBy(F.desc(novelty)).limit(most + 1).crossJoin(F.broadcast(n))
+    n = corpus.agg(F.count(F.lit(1))).scalar()
+    ranked = corpus.orderBy(F.desc(novelty)).limit(most + 1).withColumn("_n", n)
     return ranked.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(novelty)))).filter((F.col("_n") <= most) | (F.col("_r") <= keep)).drop("_n", "_r")
 
 
@@ -155,9 +156,8 @@ def weighted_pick(corpus: DataFrame, weight: str, draws: int, seed: int) -> Data
     order = Window.orderBy(F.xxhash64(*corpus.columns))
     summed = corpus.withColumn("_to", F.sum(F.col(weight) + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     summed = summed.withColumn("_from", F.col("_to") - F.col(weight) - 1)
-    total = corpus.agg(F.sum(F.col(weight) + 1).alias("_total"))
-    drawn = corpus.sparkSession.range(draws).select(F.col("id").alias("draw"), F.rand(seed).alias("_u")).crossJoin(F.broadcast(total))
-    drawn = drawn.select("draw", (F.col("_u") * F.col("_total")).alias("_at"))
+    total = corpus.agg(F.sum(F.col(weight) + 1)).scalar()
+    drawn = corpus.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.rand(seed) * total).alias("_at"))
     return summed.join(F.broadcast(drawn), (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).drop("_from", "_to", "_at")
 
 
