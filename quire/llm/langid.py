@@ -150,9 +150,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     prior_suffix = F.zip_with("suffix_sum", "prior_all", lambda x, p: (x + SUFFIX_WEIGHT * p) / (total("suffix_sum") + SUFFIX_WEIGHT))
     prior_host = F.zip_with("own", "prior_suffix", lambda x, p: (x + HOST_WEIGHT * p) / (total("own") + HOST_WEIGHT))
     said = F.zip_with("declared_sum", "lang_sum", lambda x, y: (x + SMOOTH) / (y + SMOOTH * 20))
-    hosts = hosts.join(suffixes.crossJoin(F.broadcast(every)), "suffix").withColumn("prior_all", prior_all).withColumn("prior_suffix", prior_suffix)
+    hosts = hosts.join(suffixes.withColumn("all_sum", every.scalar()), "suffix").withColumn("prior_all", prior_all).withColumn("prior_suffix", prior_suffix)
     hosts = hosts.select(F.col("host").alias("h"), F.col("suffix").alias("s"), "host_sum", "prior_suffix", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("z"))
-    declared = declared.crossJoin(F.broadcast(by_lang)).select(F.col("declared").alias("d"), said.alias("said"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("y"))
+    declared = declared.withColumn("lang_sum", by_lang.scalar()).select(F.col("declared").alias("d"), said.alias("said"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("y"))
     salt = F.pmod(F.xxhash64("page_id", "like"), F.lit(SALTS)).cast("int")
     joined = rows.withColumn("salt", salt).join(hosts, (F.col("host") == F.col("h")) & (F.col("suffix") == F.col("s")) & (F.col("salt") == F.col("z")))
     joined = joined.join(declared, (F.col("declared") == F.col("d")) & (F.col("salt") == F.col("y")))

@@ -62,8 +62,8 @@ def rebalance(slot_map: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
     first, goes to whichever shard has least. Surplus slots that stay where
     they were are no edit. Works on at most `slots` rows, folded in one row.
     """
-    share = sums.agg((F.sum("bytes") / shards).alias("share"))
-    held = current(slot_map).join(sums, "slot").crossJoin(F.broadcast(share))
+    share = sums.agg(F.sum("bytes") / shards).scalar()
+    held = current(slot_map).join(sums, "slot").withColumn("share", share)
     run = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "slot"))
     held = held.withColumn("stays", (F.col("shard") < shards) & (run <= F.col("share")))
     kept = F.transform(
@@ -93,8 +93,7 @@ def rebalance(slot_map: DataFrame, sums: DataFrame, shards: int) -> DataFrame:
 
     edits = folded.select(F.explode(F.aggregate("pool", start, put)["moves"]).alias("m"))
     edits = edits.filter("m.shard <> m.was").select("m.slot", "m.shard")
-    version = slot_map.agg((F.max("version") + 1).alias("version"))
-    return edits.crossJoin(F.broadcast(version)).select("version", "slot", "shard")
+    return edits.select(slot_map.agg(F.max("version") + 1).scalar().alias("version"), "slot", "shard")
 
 
 def store_map(slot_map: DataFrame, path: str) -> DataFrame:
