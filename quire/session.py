@@ -12,12 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Bytes in an Arrow batch, where the session doesn't say otherwise: whole texts may be long, and workers' memory is small.
+BATCH_KEY, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
+    """Let Python workers import this package from where the driver has it, and keep their batches small.
 
     On a cluster the package is shipped with --py-files or installed on the
-    nodes, and this entry is then merely unused.
+    nodes, and the path is then merely unused.
     """
+    if spark.conf.get(BATCH_KEY) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_KEY, BATCH)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
