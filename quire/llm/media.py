@@ -229,8 +229,18 @@ def feature(found: dict) -> str:
     return "; ".join(parts) + (f" error {found['error']}" if found["error"] else "")
 
 
-def _store(batches):
+#: Texts that a worker wraps or reads at a time.
+SLICE = 256
+
+
+def _slices(batches):
     for b in batches:
+        for low in range(0, b.num_rows, SLICE):
+            yield b.slice(low, SLICE)
+
+
+def _store(batches):
+    for b in _slices(batches):
         texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([wrap(pad(t)) for t in texts], pa.binary())],
@@ -275,7 +285,7 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
 
 
 def _read(batches):
-    for b in batches:
+    for b in _slices(batches):
         rows = []
         for m in b.column("media").to_pylist():
             found = walk(m)
