@@ -2,12 +2,15 @@
 
 Labels are learnt from at most EXAMPLES labelled rows outside the held-out
 fold, those whose doc_id hashes lowest (a documented bound on the classifier's
-sample). Terms are words that go with the label (chi-squared of at least CHI on
-the examples); their document frequencies are counted over all documents.
+sample). Terms are all words of all examples, clean ones included; none is
+left out. A word weighs (1 + ln tf) * idf * phi-squared: document frequencies
+are counted over all documents, and phi-squared (chi-squared / N on the
+examples, from 0 to 1 at any N) is how far the word tells the labels apart. A
+word that no example has tells nothing and weighs 0.
 
 The index holds the examples' term lists in blocks, with each term's largest
-weight per block. A query adds up block bounds, visits blocks from the highest
-bound down, and stops when no bound reaches its k-th best cosine: the nearest
+weight per block. A query adds up block bounds, visits the blocks of highest
+bound, then all whose bound reaches its k-th best cosine: the nearest
 examples are exact. Votes weighted by cosine, smoothed by the base rate, are
 calibrated by isotonic regression of leave-one-out votes.
 
@@ -20,6 +23,7 @@ columns are ignored by `score` and kept by `reject`.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -28,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXAMPLES, CHI, LEAST_DF, NEIGHBOURS, PRIOR_WEIGHT, BLOCK, CUT = 8192, 30.0, 5, 31, 3.0, 64, 0.3
-#: Scores remembered by a worker for texts with the same terms.
+EXAMPLES, NEIGHBOURS, PRIOR_WEIGHT, BLOCK, CUT = 8192, 31, 3.0, 64, 0.3
+#: Blocks visited before the bound is known.
+AT_FIRST = 4
+#: Scores remembered by a worker for equal texts.
 REMEMBERED = 100_000
 #: Everything but letters parts words; A-Z is lowered.
 _LETTERS = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -74,15 +80,27 @@ def _frequencies(terms: frozenset[bytes]):
 def _term_counts(terms: dict[bytes, int]):
     def run(batches):
         for b in batches:
-            found = [Counter(i for w in words(t) if (i := terms.get(w)) is not None) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            found = [sorted((i, n) for w, n in Counter(words(t)).items() if (i := terms.get(w)) is not None) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.string()), b.column("toxic"), pa.array([sorted(c) for c in found], pa.list_(pa.int64())), pa.array([[c[i] for i in sorted(c)] for c in found], pa.list_(pa.int64()))],
+                [b.column("doc_id").cast(pa.string()), b.column("toxic"), pa.array([[i for i, _ in c] for c in found], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in found], pa.list_(pa.int32()))],
                 ["doc_id", "toxic", "terms", "counts"],
             )
 
     return run
 
 
+def phi_squared(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Chi-squared / N of words that `pos` of n1 toxic and `neg` of n0 other examples have."""
+    c, d = n1 - pos, n0 - neg
+    of = (pos + neg) * (c + d) * n1 * n0
+    return np.divide((pos * d - neg * c) ** 2, of, out=np.zeros(len(pos)), where=of > 0)
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] numbers), then those of first[1], and so on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def weights(counts: list[int], idf: np.ndarray) -> np.ndarray:
     """(1 + ln tf) * idf, of unit length."""
     w = (1 + np.log(np.asarray(counts, float))) * idf
@@ -100,31 +118,49 @@ class Index:
         ids = np.repeat(np.arange(self.n), [len(ts) for ts, _ in rows])
         w = np.concatenate([x for _, x in rows]) if rows else np.zeros(0)
         order = np.lexsort((ids, of))
-        of, self.ids, self.w = of[order], ids[order], w[order]
-        self.first = np.searchsorted(of * (self.n_blocks + 1) + self.ids // block, np.arange(n_terms)[:, None] * (self.n_blocks + 1) + np.arange(self.n_blocks + 1)[None, :])
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most, (of, self.ids // block), self.w)
+        of, self.ids, self.w = of[order], ids[order].astype(np.int32), w[order]
+        # a part is a term's entries in one block; only parts that exist are held
+        part = of * max(self.n_blocks, 1) + self.ids // block
+        self.first = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
+        self.many = np.diff(self.first, append=len(part))
+        self.most = np.maximum.reduceat(self.w, self.first) if len(part) else np.zeros(0)
+        self.block_of = self.ids[self.first] // block
+        self.parts = np.searchsorted(of[self.first], np.arange(n_terms + 1))
 
     def nearest(self, terms: list[int], w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the k nearest examples with a positive cosine; ties to the smaller id."""
-        bounds = w @ self.most[terms]
-        ids, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(ids) == k and bounds[b] < least - 1e-12:
-                break
-            acc = np.zeros(self.block)
-            for t, x in zip(terms, w.tolist(), strict=True):
-                low, high = self.first[t, b], self.first[t, b + 1]
-                acc[self.ids[low:high] - b * self.block] += x * self.w[low:high]
-            hit = np.flatnonzero(acc > 0)
-            hit = hit[hit + b * self.block != but]
-            ids, scores = np.concatenate((ids, hit + b * self.block)), np.concatenate((scores, np.round(acc[hit], 12)))
+        ts = np.asarray(terms, np.int64)
+        n = self.parts[ts + 1] - self.parts[ts]
+        parts, x = _ranges(self.parts[ts], n), np.repeat(w, n)
+        blocks = self.block_of[parts]
+        bounds = np.bincount(blocks, x * self.most[parts], self.n_blocks)
+        visit = np.zeros(self.n_blocks, bool)
+        visit[np.argsort(-bounds, kind="stable")[:AT_FIRST]] = True
+        ids, scores = self._best(parts, x, visit[blocks], k, but)
+        more = ~visit & (bounds > 0)
+        if len(ids) == k:
+            more &= bounds >= scores[-1] - 1e-12
+        if more.any():
+            rest, best = self._best(parts, x, more[blocks], k, but)
+            ids, scores = np.concatenate((ids, rest)), np.concatenate((scores, best))
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
-            if len(ids) == k:
-                least = float(scores[-1])
         return ids, scores
 
+    def _best(self, parts: np.ndarray, x: np.ndarray, which: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best among the examples of the parts in `which`."""
+        parts, x = parts[which], x[which]
+        n = self.many[parts]
+        at = _ranges(self.first[parts], n)
+        acc = np.round(np.bincount(self.ids[at], np.repeat(x, n) * self.w[at], self.n), 12)
+        if 0 <= but < len(acc):
+            acc[but] = 0
+        hit = np.flatnonzero(acc > 0)
+        if len(hit) > k:
+            hit = hit[acc[hit] >= np.partition(acc[hit], len(hit) - k)[len(hit) - k]]
+        top = hit[np.lexsort((hit, -acc[hit]))[:k]]
+        return top, acc[top]
+
 
 def isotonic(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps (from vote, value), rising; equal votes are pooled first."""
@@ -141,18 +177,19 @@ def isotonic(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, terms: list[bytes], df: list[int], n_docs: int, examples: list[tuple[str, int, list[int], list[int]]]):
-        """examples: (doc_id, label, term numbers, counts), in their fixed order."""
+    def __init__(self, terms: list[bytes], df: list[int], n_docs: int, told: np.ndarray, examples: list[tuple[str, int, list[int], list[int]]]):
+        """told: each term's phi-squared; examples: (doc_id, label, term numbers, counts), in their fixed order."""
         self.terms = {w: i for i, w in enumerate(terms)}
-        self.idf = np.log((n_docs + 1) / (np.asarray(df, float) + 1))
+        self.idf = np.log((n_docs + 1) / (np.asarray(df, float) + 1)) * told
         self.base = float(np.mean([y for _, y, _, _ in examples])) if examples else 0.0
         # like examples share blocks, so that block maxima are near the weights
-        full = sorted((x for x in examples if x[2]), key=lambda x: (sorted(x[2], key=lambda t: -self.idf[t]), x[0]))
+        rank = np.argsort(np.argsort(-self.idf, kind="stable"))
+        full = sorted((x for x in examples if len(x[2])), key=lambda x: (np.sort(rank[x[2]])[:8].tolist(), x[0]))
         self.names, self.labels = [x[0] for x in full], np.array([x[1] for x in full], float)
         rows = [(ts, weights(c, self.idf[ts])) for _, _, ts, c in full]
         self.index = Index(rows, len(terms))
         votes = [self._vote(*self.index.nearest(ts, w, NEIGHBOURS, but=i)) for i, (ts, w) in enumerate(rows)]
-        rest = [(self._vote(np.zeros(0, np.int64), np.zeros(0)), x[1]) for x in examples if not x[2]]
+        rest = [(self._vote(np.zeros(0, np.int64), np.zeros(0)), x[1]) for x in examples if not len(x[2])]
         every = np.array(votes + [v for v, _ in rest]), np.concatenate((self.labels, [float(y) for _, y in rest]))
         self.steps = isotonic(*every) if examples else (np.zeros(1), np.zeros(1))
         self.known: dict = {}
@@ -162,13 +199,13 @@ class Model:
 
     def score(self, text: bytes | None) -> tuple[float, str]:
         """The calibrated score, and as evidence the three nearest examples as doc_id:cosine:label."""
-        counts = Counter(i for w in words(text) if (i := self.terms.get(w)) is not None)
-        key = tuple(sorted(counts.items()))
+        key = hashlib.blake2b(text or b"", digest_size=16).digest()
         if key not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            ts = [t for t, _ in key]
-            ids, cos = self.index.nearest(ts, weights([c for _, c in key], self.idf[ts]), NEIGHBOURS) if ts else (np.zeros(0, np.int64), np.zeros(0))
+            counts = sorted((i, n) for w, n in Counter(words(text)).items() if (i := self.terms.get(w)) is not None)
+            ts = [t for t, _ in counts]
+            ids, cos = self.index.nearest(ts, weights([c for _, c in counts], self.idf[ts]), NEIGHBOURS) if ts else (np.zeros(0, np.int64), np.zeros(0))
             at = max(0, int(np.searchsorted(self.steps[0], self._vote(ids, cos), side="right")) - 1)
             said = ",".join(f"{self.names[i]}:{c:.4f}:{int(self.labels[i])}" for i, c in zip(ids[:3].tolist(), cos[:3].tolist(), strict=True))
             self.known[key] = (float(self.steps[1][at]), said)
@@ -187,20 +224,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n1 or not n0:
-        return Model([], [], 0, [("", int(n1 > 0), [], [])])
-    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-    c, d = F.lit(n1) - a, F.lit(n0) - b
-    chi = F.lit(n1 + n0) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * n0)
-    found = words_of.filter((c + d > 0) & (a * n0 > b * n1) & (chi >= CHI)).select("word").collect()
-    candidates = frozenset(r["word"].encode() for r in found)
-    df = flat.select("text").mapInArrow(_frequencies(candidates), "word string, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
-    n_docs = next((r["df"] for r in df if r["word"] is None), 0)
-    kept = sorted((r["word"].encode(), r["df"]) for r in df if r["word"] is not None and r["df"] >= LEAST_DF)
-    terms = [w for w, _ in kept]
-    schema = "doc_id string, toxic int, terms array<bigint>, counts array<bigint>"
-    rows = examples.mapInArrow(_term_counts({w: i for i, w in enumerate(terms)}), schema).collect()
-    found = sorted((r["doc_id"], r["toxic"], list(r["terms"]), list(r["counts"])) for r in rows)
-    return Model(terms, [n for _, n in kept], n_docs, found)
+        return Model([], [], 0, np.zeros(0), [("", int(n1 > 0), [], [])])
+    found = words_of.toArrow().sort_by("word")
+    terms = [w.encode() for w in found["word"].to_pylist()]
+    told = phi_squared(found["pos"].to_numpy().astype(float), found["neg"].to_numpy().astype(float), n1, n0)
+    df = flat.select("text").mapInArrow(_frequencies(frozenset(terms)), "word string, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
+    df = dict(zip(df["word"].to_pylist(), df["df"].to_pylist(), strict=True))
+    n_docs = df.pop(None, 0)
+    schema = "doc_id string, toxic int, terms array<int>, counts array<int>"
+    rows = examples.mapInArrow(_term_counts({w: i for i, w in enumerate(terms)}), schema).toArrow()
+    lists = ([np.asarray(x.values, np.int64) for x in rows[c]] for c in ("terms", "counts"))
+    found = list(zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), *lists, strict=True))
+    found.sort(key=lambda r: (r[0], r[1], r[2].tolist(), r[3].tolist()))
+    return Model(terms, [df.get(w.decode(), 0) for w in terms], n_docs, told, found)
 
 
 def _scored(model, keep: bool):

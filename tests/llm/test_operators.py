@@ -332,6 +332,16 @@ def test_toxicity(spark, odd, rows, empty):
     assert {r.score for r in none} == {0.0}
 
 
+def test_toxicity_indexes_every_word_of_every_example(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    used = docs.join(labels, "doc_id").filter(toxicity.fold(F.col("doc_id")) != 2).select("doc_id", "text", "toxic").distinct().collect()
+    assert set(model.terms) == {w for r in used for w in toxicity.words((r.text or "").encode())}
+    assert sorted(model.names) == sorted(str(r.doc_id) for r in used if toxicity.words((r.text or "").encode())) and 0 in model.labels
+    scores = [(model.score((r.text or "").encode())[0], r.toxic) for r in used]
+    assert min(s for s, y in scores if y) > max(s for s, y in scores if not y)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
