@@ -17,8 +17,10 @@ Candidates are joined by interval: two parts complement each other when at
 most SCOPE code points lie between them within one paragraph. A weak secret is
 reported only with an identifier in scope, a weak identifier only with a
 secret, an endpoint only with both, and of two weak parts only with an
-endpoint as well. Each part looks up its nearest complements in sorted lists,
-so a text full of parts costs n log n, and no pairs are listed.
+endpoint as well. Every part is decided by range probes in sorted lists:
+whether any complement of each needed kind lies in its scope, which for three
+weak parts means an identifier and an endpoint around one secret. So a text
+full of parts costs n log n, and no pairs are listed.
 
 Defined results: null text is empty and has no spans; offsets are code points,
 end exclusive; repeated rows give equal results; other columns are ignored by
@@ -99,48 +101,73 @@ def weak_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str,
     return found
 
 
-def _near(spans: list[tuple[int, int]], starts: list[int], paragraphs: list[int], a: int, b: int, scope: int) -> tuple[int, int] | None:
-    """The nearest span to [a, b) in scope and in its paragraph; of two as near, the earlier."""
-    i = bisect_left(starts, a)
-    best = None
-    for j in (i - 1, i):
-        if 0 <= j < len(spans) and spans[j] != (a, b):
-            gap = max(spans[j][0] - b, a - spans[j][1], 0)
-            same = bisect_right(paragraphs, spans[j][0]) == bisect_right(paragraphs, a)
-            if gap <= scope and same and (best is None or gap < best[0]):
-                best = (gap, spans[j])
-    return best and best[1]
-
-
-def link(text: str, strong: list[tuple[str, int, int]], scope: int = SCOPE) -> list[dict]:
-    """Credentials: each secret with its nearest identifier and endpoint, where enough parts co-occur."""
+class _Parts:
+    """Spans of one kind by paragraph and start; the longest end so far serves probes to the left."""
+
+    def __init__(self, spans: list[tuple[str, int, int]], paragraphs: list[int]):
+        self.at: dict[int, tuple[list[int], list[int], list[tuple[str, int, int]]]] = {}
+        for s in sorted(spans, key=lambda s: (s[1], s[2])):
+            starts, ends, parts = self.at.setdefault(bisect_right(paragraphs, s[1]), ([], [], []))
+            starts.append(s[1])
+            ends.append(max(s[2], ends[-1]) if ends else s[2])
+            parts.append(s)
+
+    def near(self, paragraph: int, a: int, b: int, scope: int) -> tuple[str, int, int] | None:
+        """The nearest span to [a, b) in scope and paragraph, None if there is none; of two as near, the earlier."""
+        if paragraph not in self.at:
+            return None
+        starts, ends, parts = self.at[paragraph]
+        i = bisect_left(starts, a)
+        best = None
+        if i:
+            # the first span that reaches as far right as any before a
+            left = parts[bisect_left(ends, ends[i - 1])]
+            best = (max(a - left[2], 0), left)
+        if i < len(starts):
+            gap = max(starts[i] - b, 0)
+            if best is None or gap < best[0]:
+                best = (gap, parts[i])
+        return best[1] if best[0] <= scope else None
+
+
+def _linked(text: str, strong: list[tuple[str, int, int]], scope: int) -> tuple[set[tuple[str, int, int]], list[dict]]:
+    """(all parts of credentials, and each linked secret with an identifier and endpoint that link it)."""
     if not any(k == "access" for k, _, _ in strong):
         low = text.encode("utf-8", "surrogatepass").lower()
         if not any(k in low for k in _IDENT_WORDS) or not _IDENT.search(text):
-            return []  # no identifier, so nothing to link
-    weak = weak_spans(text, strong)
+            return set(), []  # no identifier, so nothing to link
+    every = strong + weak_spans(text, strong)
     paragraphs = [m.start() for m in re.finditer(r"\n[\t ]*\n", text)]
-    parts = {"id": [], "secret": [], "endpoint": []}
-    role = {"access": "id", "ident": "id", "assign": "secret", "hex": "secret", "value": "secret", "endpoint": "endpoint"}
-    kind_of = {}
-    for kind, a, b in strong + weak:
-        parts[role[kind]].append((a, b))
-        kind_of[role[kind], a, b] = kind
-    for x in parts.values():
-        x.sort()
-    starts = {k: [a for a, _ in v] for k, v in parts.items()}
-    found = []
-    for a, b in parts["secret"]:
-        kind = kind_of["secret", a, b]
-        ident = _near(parts["id"], starts["id"], paragraphs, a, b, scope)
+    made: dict[str, _Parts] = {}
+
+    def near(part, spans: list[tuple[str, int, int]], name: str):
+        if name not in made:
+            made[name] = _Parts(spans, paragraphs)
+        return made[name].near(bisect_right(paragraphs, part[1]), part[1], part[2], scope)
+
+    by_kind = {k: [s for s in every if s[0] == k] for k in KINDS}
+    sure = by_kind["assign"] + by_kind["hex"]
+    ends, idents, access = by_kind["endpoint"], by_kind["ident"], by_kind["access"]
+    found, openly = [], []
+    for s in sorted(sure + by_kind["value"], key=lambda s: (s[1], s[2])):
+        end = near(s, ends, "endpoint")
+        # a weak secret without endpoint needs a strong identifier
+        ident = near(s, access + idents, "id") if s[0] != "value" or end else near(s, access, "access")
         if not ident:
             continue
-        end = _near(parts["endpoint"], starts["endpoint"], paragraphs, a, b, scope)
-        ident_kind = kind_of["id", *ident]
-        if kind == "value" and ident_kind == "ident" and not end:
-            continue
-        found.append({"secret": (kind, a, b), "ident": (ident_kind, *ident), "endpoint": ("endpoint", *end) if end else None})
-    return found
+        found.append({"secret": s, "ident": ident, "endpoint": end})
+        if s[0] != "value" or end:
+            openly.append(s)  # a weak identifier in scope of it has all it needs
+    linked = {c["secret"] for c in found}
+    linked |= {s for s in idents if near(s, openly, "openly")}
+    secrets = [c["secret"] for c in found]
+    linked |= {s for s in ends if near(s, secrets, "secret")}
+    return linked, found
+
+
+def link(text: str, strong: list[tuple[str, int, int]], scope: int = SCOPE) -> list[dict]:
+    """Credentials: each linked secret with its nearest identifier and endpoint, where enough parts co-occur."""
+    return _linked(text, strong, scope)[1]
 
 
 def spans_of(text: str | None, scope: int = SCOPE) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -148,7 +175,7 @@ def spans_of(text: str | None, scope: int = SCOPE) -> tuple[list[tuple[str, int,
     text = text or ""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
-    linked = {p for c in link(text, base, scope) for p in c.values() if p and p[0] not in BASE}
+    linked = {p for p in _linked(text, base, scope)[0] if p[0] not in BASE}
     return base, sorted([*base, *linked], key=order)
 
 

@@ -290,6 +290,29 @@ def test_secrets_base_and_links(spark):
     assert secrets.credentials(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).count() == 1
 
 
+def test_secrets_link_every_part_in_scope():
+    key, weak = "AKIA" + "Q7" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    kinds = lambda t: [s[0] for s in secrets.spans_of(t)[1]]
+    assert kinds(f"{key} user=bob {weak}") == ["access", "value"]
+    assert kinds("user=bob login=alice password=abcdefgh1") == ["ident", "ident", "assign"]
+    assert kinds("user=bob password=abcdefgh1 http://a.example/x then http://b.example/y") == ["ident", "assign", "endpoint", "endpoint"]
+    rng = random.Random(5)
+    said = {"ident": "user=bob", "access": key, "assign": "password=abcdefgh1", "value": weak, "endpoint": "http://a.example/x", "gap": "far " * 9, "end": "\n\n"}
+    for _ in range(300):
+        text = " ".join(said[rng.choice(list(said))] for _ in range(rng.randint(2, 14)))
+        base = secrets.base_spans(text)
+        parts = base + secrets.weak_spans(text, base)
+        near = lambda p, q: max(p[1] - q[2], q[1] - p[2], 0) <= 60 and "\n\n" not in text[min(p[2], q[2]) : max(p[1], q[1])]
+        want = set(base)
+        for s in (p for p in parts if p[0] in ("assign", "hex", "value")):
+            ids, ends = ([p for p in parts if p[0] in k and near(s, p)] for k in (("access", "ident"), ("endpoint",)))
+            for i in ids:
+                if s[0] == "value" and i[0] == "ident" and not ends:
+                    continue
+                want |= {s, i, *ends}
+        assert set(secrets.spans_of(text, 60)[1]) == want, text
+
+
 def test_secrets_on_tables(odd, rows, empty):
     got = secrets.op6(odd).collect()
     assert sorted((str(r.doc_id), r.n_hex) for r in got) == sorted((str(r.doc_id), sum(s[0] == "hex" for s in _plain_base(r.text))) for r in rows)
