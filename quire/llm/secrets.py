@@ -9,7 +9,7 @@ Base spans are strong by themselves:
 They are found leftmost and non-overlapping for each kind. Three more kinds
 are weak candidates, worth nothing alone:
 
-- ident: a user, login, account or client identifier
+- ident: a user, login, account or client identifier; its name may have a prefix, as in DB_USER
 - value: a token of 20 or more characters of mixed classes and high entropy
 - endpoint: a URL or host:port
 
@@ -50,9 +50,10 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _IDENT = re.compile(
-    r"""\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE
+    r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE
 )
-_VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+# A value may follow `=`, as in NAME=value; a token that is followed by more of itself never matches.
+_VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _IDENT_WORDS = (b"user", b"login", b"account", b"client", b"access")

@@ -313,6 +313,16 @@ def test_secrets_link_every_part_in_scope():
         assert set(secrets.spans_of(text, 60)[1]) == want, text
 
 
+def test_secrets_in_env_files():
+    key, weak = "AKIA" + "Q7" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    cut = lambda t: secrets.redacted(t, secrets.spans_of(t)[1])
+    for quote in ("", '"', "'"):
+        text = f"aws_access_key_id={key}\naws_secret_access_key={quote}{weak}{quote}"
+        assert cut(text) == f"aws_access_key_id=[access]\naws_secret_access_key={quote}[value]{quote}"
+    assert cut("DB_USER=admin\nDB_PASSWORD=abcdefgh1") == "DB_[ident]\nDB_[assign]"
+    assert cut("db_user: bob, password: abcdefgh1") == "db_[ident], [assign]" and cut("superuser=bob password=abcdefgh1") == "superuser=bob [assign]"
+
+
 def test_secrets_on_tables(odd, rows, empty):
     got = secrets.op6(odd).collect()
     assert sorted((str(r.doc_id), r.n_hex) for r in got) == sorted((str(r.doc_id), sum(s[0] == "hex" for s in _plain_base(r.text))) for r in rows)
