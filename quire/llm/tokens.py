@@ -8,7 +8,8 @@ left; a word that no sequence of greedy pieces covers counts as one unknown
 token.
 
 Words are runs of characters other than \\x20 and \\x09-\\x0D. A piece with the
-word mark begins a word, any other continues one.
+word mark begins a word, any other continues one; where no longer piece begins
+the word, the bare mark is a token by itself, if the vocabulary has it.
 
 Defined results: null and blank texts have no words and no tokens; repeated
 rows give equal results; other columns are ignored.
@@ -44,13 +45,13 @@ class Automaton:
         ends = {}
         for piece in pieces:
             at, rest = (0, piece[len(mark) :]) if piece.startswith(mark) else (1, piece)
-            if not rest:
-                continue
             for c in rest:
                 at = self._child(at, c)
             ends[at] = True
         self.link = [-1] * len(self.next)
         self.popped = [0] * len(self.next)
+        if 0 in ends:
+            self.link[0], self.popped[0] = 1, 1
         todo = deque((root, c, v) for root in (0, 1) for c, v in self.next[root].items())
         while todo:
             u, c, v = todo.popleft()
@@ -74,6 +75,8 @@ class Automaton:
 
     def count(self, word: str) -> int:
         """Tokens of a word, 0 if greedy matching fails."""
+        if not word:
+            return 0
         nxt, link, popped = self.next, self.link, self.popped
         at = n = 0
         for c in word:

@@ -234,6 +234,25 @@ def test_automaton_on_random_vocabularies():
             assert machine.count(word) == n
 
 
+def test_automaton_with_a_bare_mark():
+    rng = random.Random(4)
+    for _ in range(400):
+        vocabulary = {"▁"} | {m + "".join(rng.choices("ab", k=rng.randint(1, 4))) for m in ("", "▁") for _ in range(4)}
+        machine = tokens.Automaton(sorted(vocabulary))
+        for _ in range(20):
+            marked = "▁" + "".join(rng.choices("abc", weights=(10, 10, 1), k=rng.randint(1, 12)))
+            n = i = 0
+            while i < len(marked):
+                j = next((j for j in range(len(marked), i, -1) if marked[i:j] in vocabulary), None)
+                if j is None:
+                    n = 0
+                    break
+                n, i = n + 1, j
+            assert machine.count(marked[1:]) == n
+    pieces = tokens.load_pieces()
+    assert tokens.Automaton(pieces).count("2024-11-28") > 5
+
+
 def test_media_round_trip(odd, rows, empty):
     got = media.op4(odd).collect()
     want = []
