@@ -12,22 +12,31 @@ from pyspark.sql import functions as F
 from quire.llm import mixing, ngram_join, pieces, secrets, toxicity
 from quire.session import prepare, stage, table
 
+#: The column that holds a stage's row keys.
+ROW = "pipeline_row"
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; every other row stays as it is."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
+def with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key of its own for each row, written so that it is the same at every reading."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id.
+    """One row of each group of near duplicates stays, the one with the smallest doc_id, null last.
 
-    Five words, similarity 0.8. Rows without doc_id have no group and stay.
+    Five words, similarity 0.8. Rows without doc_id or with a repeated one are compared like all others.
     """
     prepare(spark)
-    found = ngram_join.join(docs, k=5, percent=80)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    rows = with_rows(docs, "pipeline-near-rows")
+    found = ngram_join.join(rows.withColumn("doc_id", F.col(ROW)), k=5, percent=80).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = found.join(rows.select(ROW, "doc_id"), ROW)
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("best"))
+    return rows.join(best.select(F.col(f"best.{ROW}")), ROW, "left_semi").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +48,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often (0, 1 or 2 times) as the mix takes most of it."""
     prepare(spark)
-    mixed = mixing.mix(docs).filter("size > 0")
-    times = mixed.groupBy("doc_id", "source").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("times"))
-    times = times.filter("times > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "times")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")))
+    keyed = with_rows(docs, "pipeline-mix-rows")
+    mixed = mixing.mix(keyed, carry=(ROW,)).filter("size > 0")
+    times = mixed.select(ROW, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).filter("times > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return rows.withColumn("copy", copies).select([docs[c] for c in docs.columns])
+    return keyed.join(times, ROW).withColumn("copy", copies).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

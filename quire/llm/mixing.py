@@ -41,15 +41,15 @@ def _sizes(batches):
         texts = b.column("text").cast(pa.binary()).to_pylist()
         # bytes.split() parts at exactly \x20 and \x09-\x0D
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("source"), pa.array([len(t.split()) if t else 0 for t in texts], pa.int64())],
-            ["doc_id", "source", "size"],
+            [pa.array([len(t.split()) if t else 0 for t in texts], pa.int64()) if n == "text" else b.column(n) for n in b.schema.names],
+            ["size" if n == "text" else n for n in b.schema.names],
         )
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), key (place in the permuted order)."""
-    flat = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    rows = flat.mapInArrow(_sizes, "doc_id long, source string, size long")
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words), columns to carry (long), key (place in the permuted order)."""
+    flat = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), *carry)
+    rows = flat.mapInArrow(_sizes, ", ".join(["doc_id long, source string, size long", *(f"{c} long" for c in carry)]))
     return rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
 
 
@@ -126,7 +126,7 @@ PLAN = (
 )
 
 
-def placed(rows: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """rows with `start`, the words of its source that stand before the row's.
 
     Sums run in two steps, over 4096 ranges of the key and inside each range,
@@ -136,7 +136,7 @@ def placed(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     return rows.withColumn("start", F.col("base") + F.col("inside")).drop("s", "r", "base", "inside", "range")
@@ -162,20 +162,20 @@ def _spans(begin: Column, pass_no: int) -> Column:
     return F.when(end > begin, some).otherwise(none)
 
 
-def mix(docs: DataFrame, shards: int = 8, seed: int = 17, share: float = 1.5) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, spans.
+def mix(docs: DataFrame, shards: int = 8, seed: int = 17, share: float = 1.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, spans, and the columns to carry.
 
     spans: for every part of the document that the mix takes, its shard, block,
     reading (0 or 1), first word and number of words.
     """
     spark = docs.sparkSession
-    rows = stage(sized(docs), "mix-sizes")
+    rows = stage(sized(docs, carry), "mix-sizes")
     totals = [(r["source"], int(r["n"])) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     made = plan(totals, shards, seed, share)
     names = [x.split()[0] for x in PLAN.split(", ")]
     plans = spark.createDataFrame([tuple(r[n] for n in names) for r in made], PLAN).withColumnRenamed("source", "of")
     plans = F.broadcast(plans) if len(made) <= BROADCAST_SOURCES else plans
-    joined = placed(rows).join(plans, F.col("source").eqNullSafe(F.col("of")))
+    joined = placed(rows, carry).join(plans, F.col("source").eqNullSafe(F.col("of")))
     spans = F.concat(_spans(F.col("start"), 0), _spans(F.col("source_size") + F.col("start"), 1))
     return joined.withColumn("spans", spans).select(
         "doc_id",
@@ -185,6 +185,7 @@ def mix(docs: DataFrame, shards: int = 8, seed: int = 17, share: float = 1.5) ->
         "target",
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["words"]).alias("taken"),
         "spans",
+        *carry,
     )
 
 

@@ -52,5 +52,23 @@ def test_odd_rows_pass_every_stage(spark):
     docs.collect()
 
 
+def test_rows_without_ids_or_with_repeated_ones(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, text(0), "en", "a", 1)] * 6 + [(7, text(1), "en", "a", 1)] * 3 + [(5, text(2), "en", "a", 1), (5, text(3), "en", "a", 1), (2, text(3), "en", "a", 1)]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(3), SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, text(0)), (7, text(1)), (5, text(2)), (2, text(3))])
+    rows = [(d, text(i), "en", s, 1) for s in "abc" for d, n in ((None, 30), (9, 30)) for i in range(n)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        if n := int(r.taken / r["size"] + 0.5):
+            taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + n
+    found = {}
+    for r in pipeline.mix_sources(spark, docs, SF).collect():
+        found[r.doc_id, r.source] = found.get((r.doc_id, r.source), 0) + 1
+    assert found == taken and any(n % 30 for n in found.values())
+
+
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0
