@@ -20,33 +20,41 @@ merges on some words (measured in the README); decoding gives the same text.
 Of paths with equal scores, the one whose last edge starts earlier holds. A character without a piece is an unknown edge and
 becomes its UTF-8 bytes' pieces, so decoding always gives the text back.
 
-Parts are few hot and many rare ones. The HOT most frequent parts are looked up
-in workers (a bounded broadcast); occurrences of others are joined by shuffle.
+A text holds few distinct rare parts and many frequent ones. At most HOT parts
+that are frequent in a sample of the texts are known to all workers (a bounded
+broadcast), which also remember WORDS whole words made of them; the others'
+pieces are joined to the texts by shuffle, in which texts travel compressed. A
+text that many rows share has no rare part, so its rows only meet, and Spark's
+skew join deals them out.
 
 Defined results: null and empty texts have no pieces; equal texts get equal
-pieces; other columns are ignored by `summary` and kept by `encode`.
+pieces; a part without joints longer than LONGEST characters is cut into parts
+of this length; a text that holds the mark itself decodes to a space there, and
+its round_trip is false; other columns are ignored by `summary` and kept by
+`encode`, but for one named ids, which is replaced.
 """
 
 from __future__ import annotations
 
 import ctypes
 import math
+import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
-from xxhash import xxh3_64_intdigest
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quire.llm.tokens import MARK, MODEL
-from quire.session import stage
+from quire.session import stage, unused
 
-#: Parts that workers look up, distinct parts a worker counts at a time, and the digest's modulus.
-HOT, HELD, P = 150_000, 50_000, 2147483647
+#: Parts that workers look up, texts from which these are chosen, words that workers remember, and distinct words and parts that one counts at a time.
+HOT, SAMPLE, WORDS, HELD = 120_000, 20_000, 100_000, 80_000
+#: Characters in a part, at most.
+LONGEST = 4096
 #: Texts that a worker turns into Python strings at a time.
 SLICE = 250
 UNKNOWN_PENALTY, RANK_SHIFT, RANK_COST = 10.0, 10.0, 5.0
@@ -108,6 +116,8 @@ class Cutter:
         self.n = len(chars) + 1
         self.fine = np.zeros(self.n * self.n, bool)
         self.fine[[int(self.ids[ord(a)]) * self.n + int(self.ids[ord(b)]) for a, b in joints]] = True
+        #: whether a mark always begins a part, unless another mark stands before it
+        self.by_words = not any(b == MARK and a != MARK for a, b in joints)
 
     def parts(self, text: str | None) -> list[str]:
         """The marked text's parts in order; joined, they are the marked text."""
@@ -115,17 +125,34 @@ class Cutter:
             return []
         return self.cut(MARK + text.replace(" ", MARK))
 
+    def words(self, text: str) -> list[str] | None:
+        """The text's words, each of which is cut by itself with a mark before it; None where the text has to be cut whole."""
+        if not self.by_words or text[0] == " " or "  " in text or MARK in text:
+            return None
+        return text.split(" ")
+
     def cut(self, marked: str) -> list[str]:
         apart_by = next(c for c in self.BREAKS if c not in marked)
         how = "surrogatepass" if apart_by == self.BREAKS[-1] else "strict"
         u = np.frombuffer(marked.encode("utf-32-le", how), np.uint32)
         i = self.ids[u].astype(np.int32)
-        apart = ~self.fine[i[:-1] * self.n + i[1:]]
-        to = np.arange(len(u))
-        to[1:] += np.cumsum(apart)
-        out = np.full(int(to[-1]) + 1, ord(apart_by), np.uint32)
-        out[to] = u
-        return out.tobytes().decode("utf-32-le", how).split(apart_by)
+        at = np.flatnonzero(~self.fine[i[:-1] * self.n + i[1:]]) + 1
+        ends = np.append(at, len(u))
+        lengths = np.diff(ends, prepend=0)
+        if int(lengths.max()) > LONGEST:
+            more = [np.arange(e - n + LONGEST, e, LONGEST) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True) if n > LONGEST]
+            at = np.sort(np.concatenate((at, *more)))
+        return np.insert(u, at, ord(apart_by)).tobytes().decode("utf-32-le", how).split(apart_by)
+
+    def cut_words(self, words: list[str]) -> list[list[str]]:
+        """The parts of each word."""
+        out: list[list[str]] = [[]]
+        for p in self.cut(" ".join([MARK + w for w in words])) if words else ():
+            if p == " ":
+                out.append([])
+            else:
+                out[-1].append(p)
+        return out if words else []
 
 
 def _slices(batches):
@@ -145,12 +172,8 @@ def _count_parts(joints):
         cutter, words, parts = Cutter(joints), Counter(), Counter()
 
         def flush():
-            counts = iter(words.values())
-            n = next(counts, 0)
-            for p in cutter.cut(" ".join(words)) if words else ():
-                if p == " ":
-                    n = next(counts)
-                else:
+            for ps, n in zip(cutter.cut_words(list(words)), words.values(), strict=True):
+                for p in ps:
                     parts[p] += n
             words.clear()
             keys, counts = list(parts), list(parts.values())
@@ -160,12 +183,12 @@ def _count_parts(joints):
 
         for b in _slices(batches):
             for t in b.column("text").to_pylist():
-                if not t:
-                    continue
-                if t[0] == " " or "  " in t or MARK in t:
-                    parts.update(cutter.parts(t))
-                else:
-                    words.update((MARK + t.replace(" ", " " + MARK)).split(" "))
+                if t:
+                    found = cutter.words(t)
+                    if found is None:
+                        parts.update(cutter.parts(t))
+                    else:
+                        words.update(found)
             if len(words) + len(parts) >= HELD:
                 yield from flush()
         if words or parts:
@@ -174,25 +197,31 @@ def _count_parts(joints):
     return run
 
 
-def parts_of(docs: DataFrame, m: Model) -> DataFrame:
-    """(part, n): the distinct parts of all texts and how often they occur."""
+def frequent(docs: DataFrame, m: Model) -> list[str]:
+    """At most HOT parts, the most frequent ones of about SAMPLE texts.
+
+    Which parts these are decides what travels, and nothing of the result.
+    """
     flat = docs.select(F.col("text").cast("string"))
-    return flat.mapInArrow(_count_parts(m.joints), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    share = SAMPLE / max(1, docs.count())
+    few = flat.sample(share, seed=11) if share < 1 else flat
+    counts = few.mapInArrow(_count_parts(m.joints), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    return [r[0] for r in counts.orderBy(F.desc("n"), "part").limit(HOT).select("part").toLocalIterator()]
 
 
 def lattice(parts: DataFrame, m: Model) -> DataFrame:
-    """(part, n, starts, last) of distinct parts: explode, equi-join, group, fold."""
+    """(part, starts, last) of distinct parts: explode, equi-join, group, fold."""
     spark = parts.sparkSession
     size = F.char_length("part")
-    starts = parts.select("part", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    starts = parts.select("part", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
     starts = starts.join(F.broadcast(m.bounds(spark)), F.expr("substring(part, s + 1, 3)") == F.col("three"), "left")
     reach = F.least(F.coalesce("longest", F.lit(2)), size - F.col("s"))
-    spans = starts.select("part", "n", "s", F.explode(F.sequence(F.lit(1), reach)).alias("l"))
-    spans = spans.select("part", "n", "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(part, s + 1, l)").alias("sub"))
+    spans = starts.select("part", "s", F.explode(F.sequence(F.lit(1), reach)).alias("l"))
+    spans = spans.select("part", "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(part, s + 1, l)").alias("sub"))
     edges = spans.join(F.broadcast(m.table(spark)), F.col("sub") == F.col("piece"), "left").filter("id is not null or e = s + 1")
     # an unknown edge stands only where no single character's piece does
     edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(m.unknown)).alias("score"))
-    grouped = edges.groupBy("part").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy("part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     # best[i]: the best score, last edge's start and id of a path to position i
     best = F.expr(
         """aggregate(edges, array(struct(0D as score, 0 as s, 0 as id)), (best, x) ->
@@ -202,7 +231,7 @@ def lattice(parts: DataFrame, m: Model) -> DataFrame:
                    concat(slice(best, 1, x.e), array(struct(best[x.s].score + x.score as score, x.s as s, x.id as id))),
                    best)))"""
     )
-    return grouped.select("part", "n", F.transform(best, lambda x: x["s"]).alias("starts"), F.transform(best, lambda x: x["id"]).alias("last"))
+    return grouped.select("part", F.transform(best, lambda x: x["s"]).alias("starts"), F.transform(best, lambda x: x["id"]).alias("last"))
 
 
 def path_ids(part: str, starts: list[int], last: list[int], byte0: int) -> list[int]:
@@ -244,120 +273,81 @@ def decode(encoded: DataFrame, m: Model | None = None, column: str = "ids", to:
     return encoded.select(names).mapInArrow(run, f"{schema}, `{to}` string")
 
 
-def dictionary(docs: DataFrame, m: Model) -> DataFrame:
-    """(part, n, ids, digest, fine), written to the shared folder. fine: decoding gives the part back."""
-    made = lattice(parts_of(docs, m), m)
-    out, m_byte0 = surfaces(m), m.byte0
+def dictionary(parts: DataFrame, m: Model) -> DataFrame:
+    """(part, ids) of distinct parts, written to the shared folder."""
+    made, m_byte0 = lattice(parts, m), m.byte0
 
     def run(batches):
         for b in batches:
             parts, starts, last = (b.column(c).to_pylist() for c in ("part", "starts", "last"))
             ids = [path_ids(p, s, i, m_byte0) for p, s, i in zip(parts, starts, last, strict=True)]
-            fine = [b"".join(out[i] for i in x).decode("utf-8", "replace") == p for p, x in zip(parts, ids, strict=True)]
-            digest = [xxh3_64_intdigest(np.array(x, np.int32).tobytes()) % P for x in ids]
-            made_of = [b.column("part"), b.column("n"), pa.array(ids, pa.list_(pa.int32())), pa.array(digest, pa.int64()), pa.array(fine, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(made_of, ["part", "n", "ids", "digest", "fine"])
-
-    return stage(made.mapInArrow(run, "part string, n long, ids array<int>, digest long, fine boolean"), "pieces")
-
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(ids, pa.list_(pa.int32()))], ["part", "ids"])
 
-def _hot(words: DataFrame, column: str, pack=lambda x: x) -> dict:
-    """The most frequent parts' entries, at most HOT."""
-    rows = words.orderBy(F.desc("n"), "part").limit(HOT).select("part", column).toLocalIterator()
-    return {r[0]: pack(r[1]) for r in rows}
+    return stage(made.mapInArrow(run, "part string, ids array<int>"), "pieces")
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
-class _Known(dict):
-    """Entries of frequent parts; others by the text's own."""
+class _Coder(dict):
+    """Looks up texts' parts: an entry is a part's packed ids. Words all of whose parts are known are remembered as a whole."""
 
-    rare: dict = {}
+    #: Ids are below 2 ** 24, so this never stands among them.
+    APART = b"\xff" * 4
 
-    def __missing__(self, part: str):
-        return self.rare.get(part, -1)
+    def __init__(self, hot: dict[str, bytes], joints: frozenset[str]):
+        super().__init__(hot)
+        self[" "] = self.APART
+        self.cutter, self.known, self.rare_ids = Cutter(joints), {}, {}
 
+    def __missing__(self, part: str) -> bytes:
+        return self.rare_ids[part]
 
-def _summaries(hot, joints):
-    """Texts to one row each, with its rare parts, how often they occur and their weight. uid is the row's own."""
+    def cut(self, text: str) -> tuple[list[str] | None, list[str]]:
+        """The text's words, and the parts of those not remembered, with a space between words."""
+        words = self.cutter.words(text)
+        if words is None:
+            return None, self.cutter.parts(text)
+        new = [w for w in words if w not in self.known]
+        if len(self.known) < WORDS:
+            for w, ps in zip(new, self.cutter.cut_words(new), strict=True):
+                if all(p in self for p in ps):
+                    self.known[w] = b"".join([self[p] for p in ps])
+            new = [w for w in new if w not in self.known]
+        return words, self.cutter.cut(" ".join([MARK + w for w in new])) if new else []
 
-    def run(batches):
-        look, cutter = _Known(hot.value).__getitem__, Cutter(joints)  # part -> pieces << 31 | digest
-        uid = TaskContext.get().partitionId() << 36
-        for b in _slices(batches):
-            rows = []
-            for t in b.column("text").to_pylist():
-                parts = cutter.parts(t)
-                got, place = np.array(list(map(look, parts)), np.int64), np.arange(1, len(parts) + 1) % P
-                left: dict[str, list[int]] = {}
-                for i in np.flatnonzero(got < 0).tolist():
-                    x = left.setdefault(parts[i], [0, 0])
-                    x[0] += 1
-                    x[1] += i + 1
-                got[got < 0] = 0
-                rows.append((uid, len(parts), int((got >> 31).sum()), int((place * (got & P) % P).sum() % P), list(left), [x[0] for x in left.values()], [x[1] % P for x in left.values()]))
-                uid += 1
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "uid", "n_parts", "n", "w", "parts", "counts", "weights"])
-
-    return run
-
-
-def summary(docs: DataFrame, m: Model | None = None) -> DataFrame:
-    """doc_id, n_parts, n_pieces, digest, round_trip of every text's encoding.
-
-    digest: the parts' digests weighted by place, modulo P; it changes with
-    any id and with the order of parts.
-    """
-    m = m or model()
-    spark = docs.sparkSession
-    words = dictionary(docs, m)
-    packed = F.shiftleft(F.size("ids").cast("long"), 31).bitwiseOR(F.col("digest"))
-    hot = spark.sparkContext.broadcast(_hot(words.filter("fine").select("part", "n", packed.alias("e")), "e"))
-    flat = docs.select("doc_id", F.col("text").cast("string"))
-    kind = flat.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, uid long, n_parts long, n long, w long, parts array<string>, counts array<bigint>, weights array<bigint>"
-    rows = stage(flat.mapInArrow(_summaries(hot, m.joints), schema), "piece-sums")
-    rare = rows.select("uid", F.explode(F.arrays_zip("parts", "counts", "weights")).alias("x")).select("uid", "x.parts", "x.counts", "x.weights")
-    entries = words.select(F.col("part").alias("parts"), F.size("ids").alias("size"), "digest", "fine")
-    sums = rare.join(entries, "parts").groupBy("uid").agg(
-        F.sum(F.col("counts") * F.col("size")).alias("more"),
-        F.sum(F.pmod(F.col("weights") * F.col("digest"), F.lit(P))).alias("w2"),
-        F.every("fine").alias("fine"),
-    )
-    return rows.drop("parts", "counts", "weights").join(sums, "uid", "left").select(
-        "doc_id",
-        "n_parts",
-        (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_pieces"),
-        F.pmod(F.col("w") + F.coalesce("w2", F.lit(0)), F.lit(P)).alias("digest"),
-        F.coalesce("fine", F.lit(True)).alias("round_trip"),
-    )
+    def rare(self, parts: list[str]) -> list[str]:
+        """The distinct parts that aren't known, in order of appearance."""
+        return [p for p in dict.fromkeys(parts) if p not in self]
 
-
-def text_key(text: str) -> tuple[int, int]:
-    raw = text.encode("utf-8", "surrogatepass")
-    x, y = xxh3_64_intdigest(raw), xxh3_64_intdigest(raw, 1)
-    return tuple(v - (1 << 64) if v >> 63 else v for v in (x, y))
+    def ids(self, text: str | None, rare_ids: list[list[int]]) -> np.ndarray:
+        """The text's ids, given those of its rare parts."""
+        if not text:
+            return np.zeros(0, np.int32)
+        words, parts = self.cut(text)
+        self.rare_ids = dict(zip(self.rare(parts), map(_packed, rare_ids), strict=True))
+        found = b"".join(map(self.__getitem__, parts))
+        if words is not None:
+            got = list(map(self.known.get, words))
+            new = iter(found.split(self.APART))
+            found = b"".join([next(new) if x is None else x for x in got])
+        return np.frombuffer(found, np.int32)
 
 
 def _rare_parts(hot, joints):
     """Texts to (h1, h2, place, part): each text's distinct rare parts, in order of appearance."""
 
     def run(batches):
-        known, seen, cutter = hot.value, set(), Cutter(joints)
+        coder, seen = _Coder(hot.value, joints), set()
         for b in _slices(batches):
             out: list[tuple] = []
             if len(seen) >= HELD:
                 seen.clear()
-            for t in b.column("text").to_pylist():
-                key = text_key(t or "")
-                if key not in seen:
+            for key, t in zip(zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), strict=True), b.column("text").to_pylist(), strict=True):
+                if t and key not in seen:
                     seen.add(key)
-                    left = [p for p in dict.fromkeys(cutter.parts(t)) if p not in known]
-                    out += [(*key, i, p) for i, p in enumerate(left)]
+                    out += [(*key, i, p) for i, p in enumerate(coder.rare(coder.cut(t)[1]))]
             cols = list(zip(*out, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h1", "h2", "place", "part"])
@@ -365,45 +355,84 @@ def _rare_parts(hot, joints):
     return run
 
 
-def _encoded(hot, joints, names: list[str]):
-    """docs and their rare parts' entries, in order of appearance, to docs with ids."""
+def _compress(batches):
+    """The same batches with texts compressed."""
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=3)
+    for b in _slices(batches):
+        texts = [None if t is None else c.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
+
+
+def _encoded(hot, joints, rare: str, names: list[str], finish):
+    """Compressed texts and their rare parts' ids, in order of appearance, to finish(batch, texts, ids)."""
 
     def run(batches):
-        known, cutter = _Known(hot.value), Cutter(joints)
+        import zstandard
+
+        coder, d = _Coder(hot.value, joints), zstandard.ZstdDecompressor()
         for b in _slices(batches):
-            ids = []
-            for t, rare in zip(b.column("text").to_pylist(), b.column("_rare").to_pylist(), strict=True):
-                parts = cutter.parts(t)
-                known.rare = dict(zip((p for p in dict.fromkeys(parts) if p not in known), map(_packed, rare or ()), strict=True))
-                ids.append(np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+            texts = [None if t is None else d.decompress(t).decode() for t in b.column("text").to_pylist()]
+            ids = [coder.ids(t, r or ()) for t, r in zip(texts, b.column(rare).to_pylist(), strict=True)]
+            yield finish(b.select(names), texts, ids)
 
     return run
 
 
+def _coded(docs: DataFrame, m: Model, finish, schema) -> DataFrame:
+    """finish() of docs' rows, their texts and ids. Texts are read twice (and a sample of them once) and shuffled once, to meet their rare parts."""
+    spark = docs.sparkSession
+    h1, h2, rare = (unused(docs, c) for c in ("h1", "h2", "rare"))
+    text = F.col("text").cast("string")
+    keys = lambda a, b: (F.xxhash64(text).alias(a), F.xxhash64(F.lit(1), text).alias(b))
+    often = frequent(docs, m)
+    known = spark.sparkContext.broadcast(dict.fromkeys(often, b""))
+    found = docs.select(text.alias("text"), *keys("h1", "h2")).filter("text <> ''")
+    found = stage(found.mapInArrow(_rare_parts(known, m.joints), "h1 long, h2 long, place int, part string"), "rare-parts")
+    known.unpersist()
+    often = spark.createDataFrame([(p,) for p in often], "part string")
+    words = dictionary(found.select("part").unionByName(often).distinct(), m)
+    hot = {r[0]: _packed(r[1]) for r in words.join(F.broadcast(often), "part").toLocalIterator()}
+    hot = spark.sparkContext.broadcast(hot)
+    found = found.join(words, "part").groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("r"))
+    found = found.select(F.col("h1").alias(f"{h1}_"), F.col("h2").alias(f"{h2}_"), F.transform("r", lambda x: x["ids"]).alias(rare))
+    names = docs.columns
+    keyed = docs.withColumn("text", text).select(*names, *keys(h1, h2))
+    packed = keyed.withColumn("text", F.col("text").cast("binary"))
+    packed = keyed.mapInArrow(_compress, packed.schema)
+    met = packed.join(found, (F.col(h1) == F.col(f"{h1}_")) & (F.col(h2) == F.col(f"{h2}_")), "left").select(*names, rare)
+    return met.mapInArrow(_encoded(hot, m.joints, rare, names, finish), schema)
+
+
 def encode(docs: DataFrame, m: Model | None = None) -> DataFrame:
-    """docs with `ids`, the piece ids of the text.
+    """docs with `ids`, the piece ids of the text."""
+    docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
+
+    def finish(b, texts, ids):
+        b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        return b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+
+    return _coded(docs, m or model(), finish, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+
 
-    Texts are read three times and shuffled once, to meet their rare parts.
+def summary(docs: DataFrame, m: Model | None = None) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, round_trip of every text's encoding.
+
+    ids_crc32: of the ids as 32-bit little-endian numbers. round_trip: whether
+    decoding the ids gives the text (null: the empty one).
     """
     m = m or model()
-    words = dictionary(docs, m)
-    hot = docs.sparkSession.sparkContext.broadcast(_hot(words.select("part", "n", "ids"), "ids", _packed))
-    names = [c for c in docs.columns if c not in ("ids", "_rare", "_h1", "_h2")]
-    flat = docs.select(F.col("text").cast("string"))
-    rare = flat.mapInArrow(_rare_parts(hot, m.joints), "h1 long, h2 long, place int, part string").dropDuplicates(["h1", "h2", "place"])
-    rare = rare.join(words.select("part", "ids"), "part")
-    rare = rare.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("r"))
-    rare = rare.select("h1", "h2", F.transform("r", lambda x: x["ids"]).alias("_rare"))
-    keyed = docs.select(names).mapInArrow(_keyed, docs.select(names).schema.add("_h1", "long").add("_h2", "long"))
-    met = keyed.join(rare, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left").select(*names, "_rare")
-    return met.mapInArrow(_encoded(hot, m.joints, names), docs.select(names).schema.add("ids", ArrayType(IntegerType())))
+    out = surfaces(m)
+    docs = docs.select("doc_id", F.col("text").cast("string"))
 
+    def finish(b, texts, ids):
+        fine = [decoded(x.tolist(), out) == (t or "") for t, x in zip(texts, ids, strict=True)]
+        cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(fine, pa.bool_())]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
-def _keyed(batches):
-    for b in _slices(batches):
-        keys = [text_key(t or "") for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], [*b.schema.names, "_h1", "_h2"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _coded(docs, m, finish, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -51,4 +51,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL, "op10_ngram_jaccard_join": ngram_join.SQL}
+    return {"op10_ngram_jaccard_join": ngram_join.SQL}

@@ -79,22 +79,44 @@ def test_rebalance_to_more_shards_moves_little_else(spark):
     assert max(r.b for r in loads) - min(r.b for r in loads) <= 106
 
 
-def test_mixing_equals_plain_replay(odd, rows, empty):
+def _replay(rows, made, order):
+    """Every word of every source by itself: (doc, shard, place, reading, word) of those that the plan's blocks take."""
+    out = {}
+    for s in made:
+        r = made[s]
+        stream = [(d, w) for d, z in order[s] for w in range(z)]
+        owner = [j for j in range(8) for _ in range(r["ends"][j] - (r["ends"][j - 1] if j else 0))]
+        for reading in range(2):
+            ranked = sorted(range(r["blocks"]), key=lambda k: (k * r["a"] + r["c"]) % r["blocks"])
+            for at, k in enumerate(ranked):
+                if reading > r["whole"] or (reading == r["whole"] and at >= r["drawn"]):
+                    continue
+                words = stream[k * mixing.BLOCK_WORDS : (k + 1) * mixing.BLOCK_WORDS]
+                if reading == r["whole"] and at == r["drawn"] - 1:
+                    words = words[: r["cut"]]
+                for d, w in words:
+                    out.setdefault(d, []).append((owner[reading * r["blocks"] + at], reading, w))
+    return out
+
+
+def test_mixing_equals_plain_replay(spark, odd, rows, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "COPIES", 2)
     got = mixing.mix(odd).collect()
-    size = {}
-    for r in rows:
-        size.setdefault(r.source, []).append((hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest(), r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))))
-    totals = [(s, sum(x[2] for x in v)) for s, v in size.items()]
-    made = {r["source"]: r for r in mixing.plan(totals)}
-    assert sum(r["target"] for r in made.values()) == pytest.approx(1.5 * sum(n for _, n in totals))
+    docs = odd.select("doc_id", "source", "text", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")).alias("key")).collect()
+    order, totals = {}, {}
+    unsigned = lambda x: x % (1 << 64) >> 52
+    sizes = [(r, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs]
+    for i, (r, z) in enumerate(sorted(sizes, key=lambda x: (unsigned(x[0].key), x[0].key, x[0].doc_id is not None, x[0].doc_id or 0, x[1]))):
+        order.setdefault(r.source, []).append(((r.doc_id, i), z))
+        totals[r.source] = totals.get(r.source, 0) + z
+    made = {r["source"]: r for r in mixing.plan(list(totals.items()))}
+    assert sum(r["target"] for r in made.values()) == pytest.approx(1.5 * sum(totals.values()))
     assert all(r["target"] <= 2 * r["source_size"] + 1e-9 for r in made.values())
-    want = []
-    for s, v in size.items():
-        at, q, n = 0, made[s]["quota"], made[s]["source_size"]
-        for _, d, z in sorted(v, key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])):
-            want.append((str(d), z, max(0, min(at + z, q) - at) + max(0, min(n + at + z, q) - n - at)))
-            at += z
-    assert sorted((str(r.doc_id), r["size"], r.taken) for r in got) == sorted(want)
+    want = _replay(rows, made, order)
+    said = lambda spans: sorted((s.shard, s.pass_no, w) for s in spans for w in range(s.first_word, s.first_word + s.words))
+    have = sorted((str(r.doc_id), r["size"], r.taken, said(r.spans)) for r in got)
+    assert have == sorted((str(d[0]), z, len(want.get(d, ())), sorted(want.get(d, ()))) for s in order for d, z in order[s])
     taken = {}
     for r in got:
         taken[r.source] = taken.get(r.source, 0) + r.taken
@@ -103,16 +125,28 @@ def test_mixing_equals_plain_replay(odd, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_mixing_spans_meet_the_tree(odd):
+def test_mixing_depends_on_its_tree(odd, monkeypatch):
+    sums = lambda: {tuple(r) for r in mixing.op9(odd).select("doc_id", "spans_crc32", F.col("shard_words").cast("string")).collect()}
+    one = sums()
+    assert one == sums()
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: np.array([[q] + [0] * (shards - 1) for q in quotas]))
+    assert one != sums()
+
+
+def test_mixing_blocks_stay_whole(odd):
     mixed = mixing.mix(odd)
-    spans = mixed.select("source", F.explode("spans").alias("s")).select("source", "s.*").collect()
-    blocks = {}
-    for s in spans:
-        assert blocks.setdefault((s.source, s.block_no), s.shard) == s.shard and 0 <= s.shard < 8
-    assert sum(s.words for s in spans) == mixed.agg(F.sum("taken")).first()[0]
-    assert mixing.shard_rows(mixed).count() == len(spans)
+    rows = mixing.shard_rows(mixed).collect()
+    blocks, places = {}, {}
+    for s in rows:
+        assert blocks.setdefault((s.source, s.rank), (s.shard, s.place)) == (s.shard, s.place) and 0 <= s.shard < 8
+    assert sum(s.words for s in rows) == mixed.agg(F.sum("taken")).first()[0]
     dealt = mixing.split_tree([10, 0, 37, 5], 8, 1)
     assert dealt.sum(1).tolist() == [10, 0, 37, 5] and dealt.sum(0).max() - dealt.sum(0).min() <= 1
+    large = mixing.split_tree([4_000_000_000, 7, 3_000_000_001], 8, 1)
+    assert large.sum(1).tolist() == [4_000_000_000, 7, 3_000_000_001] and large.min() >= 0 and large.sum(0).max() - large.sum(0).min() <= 1
+    for n in (1, 2, 7, 1000, 1 << 40):
+        a, c = mixing.permutation(n, 3)
+        assert math.gcd(a, n) == 1 and a * n < 1 << 63 and 0 <= c < n
 
 
 def test_targets_reshare_the_excess():
@@ -456,8 +490,11 @@ def _viterbi(text, m):
     """The best path over the whole marked text."""
     if not text:
         return []
+    return _viterbi_of(pieces.MARK + text.replace(" ", pieces.MARK), m)
+
+
+def _viterbi_of(t, m):
     known = {p: (i, c) for p, i, c in m.rows}
-    t = pieces.MARK + text.replace(" ", pieces.MARK)
     best = [(0.0, 0, 0)] + [None] * len(t)
     for e in range(1, len(t) + 1):
         for s in range(max(0, e - m.longest), e):
@@ -491,9 +528,24 @@ def test_pieces(odd, rows, empty, monkeypatch, hot):
 
 def test_pieces_digest_is_the_same_hot_or_rare(odd, monkeypatch):
     m = pieces.model()
-    want = {(r.doc_id, r.n_parts, r.digest) for r in pieces.summary(odd, m).collect()}
+    got = {r.doc_id: r.ids for r in pieces.encode(odd, m).collect()}
+    want = {tuple(r) for r in pieces.summary(odd, m).collect()}
+    assert {(d, len(x), zlib.crc32(np.array(x, np.int32).tobytes()), True) for d, x in got.items()} == want
     monkeypatch.setattr(pieces, "HOT", 3)
-    assert {(r.doc_id, r.n_parts, r.digest) for r in pieces.summary(odd, m).collect()} == want
+    monkeypatch.setattr(pieces, "WORDS", 2)
+    assert {tuple(r) for r in pieces.summary(odd, m).collect()} == want
+
+
+def test_pieces_of_long_parts_and_marks(spark):
+    m = pieces.model()
+    rows = [(0, "a" * 9000), (1, f"x{pieces.MARK}y"), (2, "  two  spaces "), (3, "same"), (3, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("IDS", F.lit(0)).withColumn("h1", F.lit("a")).withColumn("rare", F.lit("b"))
+    got = pieces.encode(docs, m)
+    assert [c for c in got.columns] == ["doc_id", "text", "h1", "rare", "ids"]
+    cutter = pieces.Cutter(m.joints)
+    for r in got.collect():
+        assert list(r.ids) == [i for p in cutter.parts(r.text) for i in _viterbi_of(p, m)] and (r.h1, r.rare) == ("a", "b")
+    assert {r.doc_id: r.round_trip for r in pieces.summary(docs, m).collect()} == {0: True, 1: False, 2: True, 3: True}
 
 
 def test_language_id(spark):

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from quire.llm import mixing, ngram_join, pieces, secrets, toxicity
 
@@ -30,7 +32,8 @@ def test_stages(spark):
     for d, t in old.items():
         assert (new[d].text == t) == (not [s for s in secrets.spans_of(t)[1] if s[0] != "endpoint"]) and new[d].n_chars == len(new[d].text)
     before, after = by_stage["mixing sources to target weights"]
-    taken = {r.doc_id: r for r in mixing.mix(before).collect()}
+    keyed = before.withColumn("key_of_row", F.monotonically_increasing_id())
+    taken = {r.doc_id: r for r in mixing.mix(keyed, carry=("key_of_row",)).collect()}
     times = {}
     for r in after.collect():
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
@@ -52,6 +55,18 @@ def test_odd_rows_pass_every_stage(spark):
     docs.collect()
 
 
+def test_clashing_names_pass_every_stage(spark):
+    names = ["times", "d", "s", "copy", "h1", "h2", "_h1", "row", "row_", "dealt", "shard", "place", "rare", "key", "size", "node", "component_id", "n_pieces"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    docs = docs.unionByName(docs.limit(20)).select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names)).cache()
+    for name, f in pipeline.STAGES:
+        before, docs = docs, f(spark, docs, SF).cache()
+        assert docs.count() and set(before.columns) <= set(docs.columns), name
+        if name.startswith("Sentence"):
+            names.remove("n_pieces")
+        assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names), name
+
+
 def test_rows_without_ids_or_with_repeated_ones(spark):
     text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,7 +76,7 @@ def test_rows_without_ids_or_with_repeated_ones(spark):
     rows = [(d, text(i), "en", s, 1) for s in "abc" for d, n in ((None, 30), (9, 30)) for i in range(n)]
     docs = spark.createDataFrame(rows, schema).repartition(3)
     taken = {}
-    for r in mixing.mix(docs).collect():
+    for r in mixing.mix(docs.withColumn("key_of_row", F.monotonically_increasing_id()), carry=("key_of_row",)).collect():
         if n := int(r.taken / r["size"] + 0.5):
             taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + n
     found = {}
