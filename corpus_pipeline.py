@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import mixing, ngram_join, pieces, secrets, toxicity
-from quire.session import prepare, stage, table
-
-#: The column that holds a stage's row keys.
-ROW = "pipeline_row"
+from quire.session import prepare, stage, table, unused
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +18,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
-def with_rows(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a key of its own for each row, written so that it is the same at every reading."""
-    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+def with_rows(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs with a key of its own for each row, written so that it is the same at every reading, and the key's column."""
+    row = unused(docs, "row")
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Five words, similarity 0.8. Rows without doc_id or with a repeated one are compared like all others.
     """
     prepare(spark)
-    rows = with_rows(docs, "pipeline-near-rows")
-    found = ngram_join.join(rows.withColumn("doc_id", F.col(ROW)), k=5, percent=80).select(F.col("doc_id").alias(ROW), "component_id")
-    ids = found.join(rows.select(ROW, "doc_id"), ROW)
-    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("best"))
-    return rows.join(best.select(F.col(f"best.{ROW}")), ROW, "left_semi").select(docs.columns)
+    rows, row = with_rows(docs, "pipeline-near-rows")
+    keyed = rows.select(F.col(row).alias("doc_id"), "text")
+    found = ngram_join.join(keyed, k=5, percent=80).select(F.col("doc_id").alias("key"), "component_id")
+    ids = found.join(rows.select(F.col(row).alias("key"), "doc_id"), "key")
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    return rows.join(best.select(F.col("best.key").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +45,21 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often (0, 1 or 2 times) as the mix takes most of it."""
+    """Whole documents, each as often (0, 1 or 2 times) as the mix takes most of it.
+
+    They stand by the mix's shards, in each shard's locally shuffled order: the
+    first copy where its first part was dealt to, the second where its last was.
+    """
     prepare(spark)
-    keyed = with_rows(docs, "pipeline-mix-rows")
-    mixed = mixing.mix(keyed, carry=(ROW,)).filter("size > 0")
-    times = mixed.select(ROW, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).filter("times > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return keyed.join(times, ROW).withColumn("copy", copies).select(docs.columns)
+    keyed, row = with_rows(docs, "pipeline-mix-rows")
+    few = keyed.select(F.col(row).alias("key_of_row"), "doc_id", "source", "text")
+    mixed = mixing.mix(few, carry=("key_of_row",)).filter("taken > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    copies = mixed.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    first = F.when(F.col("copy") == 1, F.element_at("spans", 1)).otherwise(F.element_at("spans", -1))
+    copies = copies.select(F.col("key_of_row").alias(row), F.struct(first["shard"].alias("shard"), first["place"].alias("place")).alias(unused(keyed, "dealt")))
+    placed = keyed.join(copies, row).select(F.struct(*docs.columns).alias("doc"), f"{unused(keyed, 'dealt')}.*")
+    return mixing.local_order(placed).select("doc.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
