@@ -3,15 +3,16 @@
 Labels are learnt from at most EXAMPLES labelled rows outside the held-out
 fold, those whose doc_id hashes lowest (a documented bound on the classifier's
 sample). Terms are all words of all examples, clean ones included; none is
-left out. A word weighs (1 + ln tf) * idf * phi-squared: document frequencies
+left out; of rows that repeat a doc_id the first text in order counts. A word weighs (1 + ln tf) * idf * phi-squared: document frequencies
 are counted over all documents, and phi-squared (chi-squared / N on the
 examples, from 0 to 1 at any N) is how far the word tells the labels apart. A
 word that no example has tells nothing and weighs 0.
 
 The index holds the examples' term lists in blocks, with each term's largest
 weight per block. A query adds up block bounds, visits the blocks of highest
-bound, then all whose bound reaches its k-th best cosine: the nearest
-examples are exact. Votes weighted by cosine, smoothed by the base rate, are
+bound, then all whose bound reaches its k-th best cosine; the most frequent
+terms' lists are added up beforehand, as a product, and tighten the bounds: the
+nearest examples are exact. Votes weighted by cosine, smoothed by the base rate, are
 calibrated by isotonic regression of leave-one-out votes.
 
 A score depends on the text alone. Defined results: null, blank and termless
@@ -26,15 +27,18 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXAMPLES, NEIGHBOURS, PRIOR_WEIGHT, BLOCK, CUT = 8192, 31, 3.0, 64, 0.3
-#: Blocks visited before the bound is known.
-AT_FIRST = 4
+from quire.session import stage
+
+EXAMPLES, NEIGHBOURS, PRIOR_WEIGHT, BLOCK, CUT = 8192, 31, 3.0, 256, 0.3
+#: Blocks visited before the bound is known, terms whose lists are held as rows, and queries worked on together.
+AT_FIRST, DENSE, TOGETHER = 2, 256, 16
 #: Scores remembered by a worker for equal texts.
 REMEMBERED = 100_000
 #: Everything but letters parts words; A-Z is lowered.
@@ -101,7 +105,7 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def weights(counts: list[int], idf: np.ndarray) -> np.ndarray:
+def weights(counts, idf: np.ndarray) -> np.ndarray:
     """(1 + ln tf) * idf, of unit length."""
     w = (1 + np.log(np.asarray(counts, float))) * idf
     n = math.sqrt(float(w @ w))
@@ -109,58 +113,88 @@ def weights(counts: list[int], idf: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Inverted lists of (example, weight) by term, cut at block borders, with each block's maxima."""
+    """Inverted lists of (example, weight) by term, cut at block borders, with each block's maxima.
+
+    The lists of the DENSE most frequent terms are held as rows over all
+    examples, so that a few queries at a time add them up as one product.
+    """
 
-    def __init__(self, rows: list[tuple[list[int], np.ndarray]], n_terms: int, block: int = BLOCK):
+    def __init__(self, rows: list[tuple[list[int], np.ndarray]], n_terms: int, block: int = BLOCK, dense: int = DENSE):
         self.block, self.n = block, len(rows)
         self.n_blocks = -(-self.n // block)
-        of = np.array([t for ts, _ in rows for t in ts], np.int64)
-        ids = np.repeat(np.arange(self.n), [len(ts) for ts, _ in rows])
+        of = np.concatenate([np.asarray(ts, np.int64) for ts, _ in rows]) if rows else np.zeros(0, np.int64)
+        ids = np.repeat(np.arange(self.n, dtype=np.int32), [len(ts) for ts, _ in rows])
         w = np.concatenate([x for _, x in rows]) if rows else np.zeros(0)
+        many = np.bincount(of, minlength=n_terms)
+        often = np.argsort(-many, kind="stable")[:dense]
+        often = often[many[often] > block]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.table = np.zeros((len(often), self.n_blocks * block))
+        there = self.column[of] >= 0
+        self.table[self.column[of[there]], ids[there]] = w[there]
+        of, ids, w = of[~there], ids[~there], w[~there]
         order = np.lexsort((ids, of))
-        of, self.ids, self.w = of[order], ids[order].astype(np.int32), w[order]
+        of, self.ids, self.w = of[order], ids[order], w[order]
         # a part is a term's entries in one block; only parts that exist are held
         part = of * max(self.n_blocks, 1) + self.ids // block
-        self.first = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
-        self.many = np.diff(self.first, append=len(part))
-        self.most = np.maximum.reduceat(self.w, self.first) if len(part) else np.zeros(0)
-        self.block_of = self.ids[self.first] // block
-        self.parts = np.searchsorted(of[self.first], np.arange(n_terms + 1))
-
-    def nearest(self, terms: list[int], w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest examples with a positive cosine; ties to the smaller id."""
-        ts = np.asarray(terms, np.int64)
+        first = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
+        self.first, self.many = first.astype(np.int32), np.diff(first, append=len(part)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.w, first) if len(part) else np.zeros(0)
+        self.block_of = self.ids[first] // block
+        self.parts = np.searchsorted(of[first], np.arange(n_terms + 1))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights): ids and cosines of the k nearest examples with a positive cosine; ties to the smaller id.
+
+        but: for each query, an example that doesn't count.
+        """
+        out = []
+        for low in range(0, len(queries), TOGETHER):
+            some = [(np.asarray(ts, np.int64), w) for ts, w in queries[low : low + TOGETHER]]
+            q = np.zeros((len(some), len(self.table)))
+            for i, (ts, w) in enumerate(some):
+                at = self.column[ts]
+                q[i, at[at >= 0]] = w[at >= 0]
+            for i, ((ts, w), often) in enumerate(zip(some, q @ self.table, strict=True)):
+                if but is not None:
+                    often[but[low + i]] = -np.inf
+                rare = self.column[ts] < 0
+                out.append(self._nearest(ts[rare], w[rare], often, k))
+        return out
+
+    def _nearest(self, ts: np.ndarray, w: np.ndarray, often: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """often: what the frequent terms add up to for each example."""
+        if not self.n:
+            return np.zeros(0, np.int64), np.zeros(0)
         n = self.parts[ts + 1] - self.parts[ts]
         parts, x = _ranges(self.parts[ts], n), np.repeat(w, n)
         blocks = self.block_of[parts]
-        bounds = np.bincount(blocks, x * self.most[parts], self.n_blocks)
+        bounds = np.bincount(blocks, x * self.most[parts], self.n_blocks) + often.reshape(self.n_blocks, self.block).max(1)
         visit = np.zeros(self.n_blocks, bool)
         visit[np.argsort(-bounds, kind="stable")[:AT_FIRST]] = True
-        ids, scores = self._best(parts, x, visit[blocks], k, but)
+        acc = self._sums(parts, x, blocks, often, visit)
         more = ~visit & (bounds > 0)
-        if len(ids) == k:
-            more &= bounds >= scores[-1] - 1e-12
+        if self.n > k:
+            more &= bounds >= np.partition(acc, len(acc) - k)[len(acc) - k] - 1e-9
         if more.any():
-            rest, best = self._best(parts, x, more[blocks], k, but)
-            ids, scores = np.concatenate((ids, rest)), np.concatenate((scores, best))
-            top = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[top], scores[top]
-        return ids, scores
-
-    def _best(self, parts: np.ndarray, x: np.ndarray, which: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best among the examples of the parts in `which`."""
-        parts, x = parts[which], x[which]
-        n = self.many[parts]
-        at = _ranges(self.first[parts], n)
-        acc = np.round(np.bincount(self.ids[at], np.repeat(x, n) * self.w[at], self.n), 12)
-        if 0 <= but < len(acc):
-            acc[but] = 0
+            acc = np.maximum(acc, self._sums(parts, x, blocks, often, more))
+        acc = np.round(acc, 12)
         hit = np.flatnonzero(acc > 0)
         if len(hit) > k:
             hit = hit[acc[hit] >= np.partition(acc[hit], len(hit) - k)[len(hit) - k]]
         top = hit[np.lexsort((hit, -acc[hit]))[:k]]
         return top, acc[top]
 
+    def _sums(self, parts: np.ndarray, x: np.ndarray, blocks: np.ndarray, often: np.ndarray, visit: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in the blocks to visit; none elsewhere."""
+        which = visit[blocks]
+        parts, x = parts[which], x[which]
+        n = self.many[parts]
+        at = _ranges(self.first[parts].astype(np.int64), n)
+        acc = np.bincount(self.ids[at], np.repeat(x, n) * self.w[at], len(often)) + often
+        return np.where(np.repeat(visit, self.block), acc, -np.inf)
+
 
 def isotonic(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps (from vote, value), rising; equal votes are pooled first."""
@@ -188,7 +222,7 @@ class Model:
         self.names, self.labels = [x[0] for x in full], np.array([x[1] for x in full], float)
         rows = [(ts, weights(c, self.idf[ts])) for _, _, ts, c in full]
         self.index = Index(rows, len(terms))
-        votes = [self._vote(*self.index.nearest(ts, w, NEIGHBOURS, but=i)) for i, (ts, w) in enumerate(rows)]
+        votes = [self._vote(*x) for x in self.index.nearest(rows, NEIGHBOURS, but=list(range(len(rows))))]
         rest = [(self._vote(np.zeros(0, np.int64), np.zeros(0)), x[1]) for x in examples if not len(x[2])]
         every = np.array(votes + [v for v, _ in rest]), np.concatenate((self.labels, [float(y) for _, y in rest]))
         self.steps = isotonic(*every) if examples else (np.zeros(1), np.zeros(1))
@@ -197,19 +231,27 @@ class Model:
     def _vote(self, ids: np.ndarray, scores: np.ndarray) -> float:
         return round((float((scores * self.labels[ids]).sum()) + PRIOR_WEIGHT * self.base) / (float(scores.sum()) + PRIOR_WEIGHT), 12)
 
-    def score(self, text: bytes | None) -> tuple[float, str]:
-        """The calibrated score, and as evidence the three nearest examples as doc_id:cosine:label."""
-        key = hashlib.blake2b(text or b"", digest_size=16).digest()
-        if key not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            counts = sorted((i, n) for w, n in Counter(words(text)).items() if (i := self.terms.get(w)) is not None)
-            ts = [t for t, _ in counts]
-            ids, cos = self.index.nearest(ts, weights([c for _, c in counts], self.idf[ts]), NEIGHBOURS) if ts else (np.zeros(0, np.int64), np.zeros(0))
+    def scores(self, texts: list[bytes | None]) -> list[tuple[float, str]]:
+        """The calibrated scores, and as evidence the three nearest examples as doc_id:cosine:label."""
+        keys = [hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.known}
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = dict(zip(keys, texts, strict=True))
+        queries = [self._query(t) for t in new.values()]
+        for k, (ids, cos) in zip(new, self.index.nearest(queries, NEIGHBOURS), strict=True):
             at = max(0, int(np.searchsorted(self.steps[0], self._vote(ids, cos), side="right")) - 1)
             said = ",".join(f"{self.names[i]}:{c:.4f}:{int(self.labels[i])}" for i, c in zip(ids[:3].tolist(), cos[:3].tolist(), strict=True))
-            self.known[key] = (float(self.steps[1][at]), said)
-        return self.known[key]
+            self.known[k] = (float(self.steps[1][at]), said)
+        return [self.known[k] for k in keys]
+
+    def _query(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        counts = Counter(words(text))
+        ts = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        have = np.flatnonzero(ts >= 0)
+        have = have[np.argsort(ts[have])]
+        n = np.fromiter(counts.values(), float, len(counts))[have]
+        return ts[have], weights(n, self.idf[ts[have]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
@@ -218,7 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     flat = docs.select("doc_id", F.col("text").cast("string"))
-    examples = flat.join(F.broadcast(chosen), "doc_id")
+    # one text for each doc_id, so that the bound holds for rows as well
+    examples = flat.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    examples = stage(examples, "toxicity-examples")
     words_of = examples.select("text", "toxic").mapInArrow(_association, "word string, pos long, neg long")
     words_of = words_of.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -243,7 +287,7 @@ def _scored(model, keep: bool):
     def run(batches):
         m = model.value
         for b in batches:
-            found = [m.score(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            found = m.scores(b.column("text").cast(pa.binary()).to_pylist())
             if keep:
                 yield b.filter(pa.array([s < CUT for s, _ in found], pa.bool_()))
             else:

@@ -397,7 +397,7 @@ def test_index_is_exact():
         ts, w = rows[0]
         cos = np.round(dense[:, ts] @ w, 12)
         best = [i for i in np.lexsort((np.arange(n), -cos)) if cos[i] > 0][:7]
-        ids, found = index.nearest(ts, w, 7)
+        ids, found = index.nearest([(ts, w)], 7)[0]
         assert np.allclose(found, cos[best]) and sorted(np.round(found, 9)) == sorted(np.round(cos[best], 9))
 
 
@@ -424,7 +424,7 @@ def test_toxicity_indexes_every_word_of_every_example(spark):
     used = docs.join(labels, "doc_id").filter(toxicity.fold(F.col("doc_id")) != 2).select("doc_id", "text", "toxic").distinct().collect()
     assert set(model.terms) == {w for r in used for w in toxicity.words((r.text or "").encode())}
     assert sorted(model.names) == sorted(str(r.doc_id) for r in used if toxicity.words((r.text or "").encode())) and 0 in model.labels
-    scores = [(model.score((r.text or "").encode())[0], r.toxic) for r in used]
+    scores = [(model.scores([(r.text or "").encode()])[0][0], r.toxic) for r in used]
     assert min(s for s, y in scores if y) > max(s for s, y in scores if not y)
 
 

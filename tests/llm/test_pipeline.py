@@ -74,7 +74,7 @@ def test_rows_without_ids_or_with_repeated_ones(spark):
     got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(3), SF).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, text(0)), (7, text(1)), (5, text(2)), (2, text(3))])
     rows = [(d, text(i), "en", s, 1) for s in "abc" for d, n in ((None, 30), (9, 30)) for i in range(n)]
-    docs = spark.createDataFrame(rows, schema).repartition(3)
+    docs = spark.createDataFrame(rows, schema).repartition(3).cache()
     taken = {}
     for r in mixing.mix(docs.withColumn("key_of_row", F.monotonically_increasing_id()), carry=("key_of_row",)).collect():
         if n := int(r.taken / r["size"] + 0.5):
