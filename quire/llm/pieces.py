@@ -52,7 +52,9 @@ from quire.llm.tokens import MARK, MODEL
 from quire.session import stage, unused
 
 #: Parts that workers look up, texts from which these are chosen, words that workers remember, and distinct words and parts that one counts at a time.
-HOT, SAMPLE, WORDS, HELD = 120_000, 20_000, 100_000, 80_000
+HOT, SAMPLE, WORDS, HELD = 120_000, 10_000, 100_000, 80_000
+#: Distinct parts that a task puts through the lattice, about.
+PARTS = 40_000
 #: Characters in a part, at most.
 LONGEST = 4096
 #: Texts that a worker turns into Python strings at a time.
@@ -392,7 +394,8 @@ def _coded(docs: DataFrame, m: Model, finish, schema) -> DataFrame:
     found = stage(found.mapInArrow(_rare_parts(known, m.joints), "h1 long, h2 long, place int, part string"), "rare-parts")
     known.unpersist()
     often = spark.createDataFrame([(p,) for p in often], "part string")
-    words = dictionary(found.select("part").unionByName(often).distinct(), m)
+    tasks = 1 + (found.count() + HOT) // PARTS
+    words = dictionary(found.select("part").unionByName(often).distinct().repartition(tasks, "part"), m)
     hot = {r[0]: _packed(r[1]) for r in words.join(F.broadcast(often), "part").toLocalIterator()}
     hot = spark.sparkContext.broadcast(hot)
     found = found.join(words, "part").groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("r"))

@@ -53,8 +53,9 @@ _IDENT = re.compile(
     r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE
 )
 # A value may follow `=`, as in NAME=value; a token that is followed by more of itself never matches.
-_VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b")
+# Runs are begun once and never given back, so every pattern takes time in proportion to the text.
+_VALUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+_ENDPOINT = re.compile(r"https?://[^\s\"'<>]++|(?<![A-Za-z0-9_.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}(?![A-Za-z0-9_])")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _IDENT_WORDS = (b"user", b"login", b"account", b"client", b"access")
 _HEX_TABLE = bytes(ord("h") if chr(i) in "0123456789abcdef" else 0 for i in range(256))

@@ -6,7 +6,8 @@ sample). Terms are all words of all examples, clean ones included; none is
 left out; of rows that repeat a doc_id the first text in order counts. A word weighs (1 + ln tf) * idf * phi-squared: document frequencies
 are counted over all documents, and phi-squared (chi-squared / N on the
 examples, from 0 to 1 at any N) is how far the word tells the labels apart. A
-word that no example has tells nothing and weighs 0.
+word that no example has tells nothing and weighs 0. Words are held as 64-bit
+hashes; hashes of different words are taken to differ.
 
 The index holds the examples' term lists in blocks, with each term's largest
 weight per block. A query adds up block bounds, visits the blocks of highest
@@ -26,13 +27,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from quire.session import stage
 
@@ -40,7 +40,7 @@ EXAMPLES, NEIGHBOURS, PRIOR_WEIGHT, BLOCK, CUT = 8192, 31, 3.0, 256, 0.3
 #: Blocks visited before the bound is known, terms whose lists are held as rows, and queries worked on together.
 AT_FIRST, DENSE, TOGETHER = 2, 256, 16
 #: Scores remembered by a worker for equal texts.
-REMEMBERED = 100_000
+REMEMBERED = 20_000
 #: Everything but letters parts words; A-Z is lowered.
 _LETTERS = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -49,46 +49,68 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_LETTERS).split() if text else []
 
 
+def hashed(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's distinct words, rising, and how often each occurs."""
+    found = words(text)
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found)), return_counts=True)
+
+
+def _among(terms: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in h a term's hash stands, and these terms' numbers."""
+    at = np.searchsorted(terms, h)
+    at[at == len(terms)] = 0
+    there = np.flatnonzero(terms[at] == h) if len(terms) else np.zeros(0, np.int64)
+    return there, at[there]
+
+
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def _rows(columns: dict[str, np.ndarray], most: int = 100_000):
+    n = len(next(iter(columns.values())))
+    for i in range(0, n, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + most]) for c in columns.values()], list(columns))
+
+
 def _association(batches):
-    """(text, toxic) to (word, in toxic texts, in others), summed over the partition."""
-    counts = (Counter(), Counter())
+    """(text, toxic) to (word, in toxic texts, in others), summed over the partition; words are hashes."""
+    found: list[list[np.ndarray]] = [[], []]
     for b in batches:
         for t, y in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            counts[1 if y else 0].update(set(words(t)))
-    every = list(counts[0].keys() | counts[1].keys())
-    for i in range(0, len(every), 50_000):
-        part = every[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w.decode("utf-8", "replace") for w in part]), pa.array([counts[1][w] for w in part], pa.int64()), pa.array([counts[0][w] for w in part], pa.int64())],
-            ["word", "pos", "neg"],
-        )
+            found[1 if y else 0].append(hashed(t)[0])
+    for toxic, hs in enumerate(found):
+        if hs:
+            h, n = np.unique(np.concatenate(hs), return_counts=True)
+            none = np.zeros(len(n), np.int64)
+            yield from _rows({"word": h.view(np.int64), "pos": n if toxic else none, "neg": none if toxic else n})
 
 
-def _frequencies(terms: frozenset[bytes]):
+def _frequencies(terms):
     def run(batches):
-        counts, n = Counter(), 0
+        known = terms.value
+        counts, n = np.zeros(len(known), np.int64), 0
         for b in batches:
             for t in b.column("text").cast(pa.binary()).to_pylist():
-                counts.update(terms.intersection(words(t)))
+                counts[_among(known, hashed(t)[0])[1]] += 1
                 n += 1
-        rows = [(w.decode(), c) for w, c in counts.items()] + [(None, n)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["word", "df"])
+        at = np.flatnonzero(counts)
+        yield from _rows({"term": np.append(at, -1).astype(np.int32), "df": np.append(counts[at], n)})
 
     return run
 
 
-def _term_counts(terms: dict[bytes, int]):
+def _term_counts(terms):
     def run(batches):
+        known = terms.value
         for b in batches:
-            found = [sorted((i, n) for w, n in Counter(words(t)).items() if (i := terms.get(w)) is not None) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.string()), b.column("toxic"), pa.array([[i for i, _ in c] for c in found], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in found], pa.list_(pa.int32()))],
-                ["doc_id", "toxic", "terms", "counts"],
-            )
+            found = []
+            for t in b.column("text").cast(pa.binary()).to_pylist():
+                h, n = hashed(t)
+                there, at = _among(known, h)
+                found.append((at.astype(np.int32), n[there].astype(np.int32)))
+            lists = (pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("toxic"), *lists], ["doc_id", "toxic", "terms", "counts"])
 
     return run
 
@@ -211,9 +233,9 @@ def isotonic(votes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, terms: list[bytes], df: list[int], n_docs: int, told: np.ndarray, examples: list[tuple[str, int, list[int], list[int]]]):
-        """told: each term's phi-squared; examples: (doc_id, label, term numbers, counts), in their fixed order."""
-        self.terms = {w: i for i, w in enumerate(terms)}
+    def __init__(self, terms: np.ndarray, df: np.ndarray, n_docs: int, told: np.ndarray, examples: list[tuple[str, int, np.ndarray, np.ndarray]]):
+        """terms: their hashes, rising; told: each term's phi-squared; examples: (doc_id, label, term numbers, counts), in their fixed order."""
+        self.terms = terms
         self.idf = np.log((n_docs + 1) / (np.asarray(df, float) + 1)) * told
         self.base = float(np.mean([y for _, y, _, _ in examples])) if examples else 0.0
         # like examples share blocks, so that block maxima are near the weights
@@ -246,12 +268,9 @@ class Model:
         return [self.known[k] for k in keys]
 
     def _query(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(words(text))
-        ts = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
-        have = np.flatnonzero(ts >= 0)
-        have = have[np.argsort(ts[have])]
-        n = np.fromiter(counts.values(), float, len(counts))[have]
-        return ts[have], weights(n, self.idf[ts[have]])
+        h, n = hashed(text)
+        there, ts = _among(self.terms, h)
+        return ts, weights(n[there], self.idf[ts])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
@@ -263,24 +282,28 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     # one text for each doc_id, so that the bound holds for rows as well
     examples = flat.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     examples = stage(examples, "toxicity-examples")
-    words_of = examples.select("text", "toxic").mapInArrow(_association, "word string, pos long, neg long")
+    words_of = examples.select("text", "toxic").mapInArrow(_association, "word long, pos long, neg long")
     words_of = words_of.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n1 or not n0:
-        return Model([], [], 0, np.zeros(0), [("", int(n1 > 0), [], [])])
-    found = words_of.toArrow().sort_by("word")
-    terms = [w.encode() for w in found["word"].to_pylist()]
-    told = phi_squared(found["pos"].to_numpy().astype(float), found["neg"].to_numpy().astype(float), n1, n0)
-    df = flat.select("text").mapInArrow(_frequencies(frozenset(terms)), "word string, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
-    df = dict(zip(df["word"].to_pylist(), df["df"].to_pylist(), strict=True))
-    n_docs = df.pop(None, 0)
-    schema = "doc_id string, toxic int, terms array<int>, counts array<int>"
-    rows = examples.mapInArrow(_term_counts({w: i for i, w in enumerate(terms)}), schema).toArrow()
-    lists = ([np.asarray(x.values, np.int64) for x in rows[c]] for c in ("terms", "counts"))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0, np.zeros(0), [("", int(n1 > 0), np.zeros(0, np.int32), np.zeros(0, np.int32))])
+    found = words_of.toArrow()
+    terms = found["word"].to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    terms = terms[order]
+    told = phi_squared(found["pos"].to_numpy()[order].astype(float), found["neg"].to_numpy()[order].astype(float), n1, n0)
+    known = docs.sparkSession.sparkContext.broadcast(terms)
+    counted = flat.select("text").mapInArrow(_frequencies(known), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    at, n = counted["term"].to_numpy(), counted["df"].to_numpy()
+    df = np.zeros(len(terms))
+    df[at[at >= 0]] = n[at >= 0]
+    rows = examples.mapInArrow(_term_counts(known), "doc_id string, toxic int, terms array<int>, counts array<int>").toArrow()
+    known.unpersist()
+    lists = ([x.values.to_numpy() for x in rows[c]] for c in ("terms", "counts"))
     found = list(zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), *lists, strict=True))
     found.sort(key=lambda r: (r[0], r[1], r[2].tolist(), r[3].tolist()))
-    return Model(terms, [df.get(w.decode(), 0) for w in terms], n_docs, told, found)
+    return Model(terms, df, int(n[at < 0].sum()), told, found)
 
 
 def _scored(model, keep: bool):
