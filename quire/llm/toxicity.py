@@ -302,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     known.unpersist()
     lists = ([x.values.to_numpy() for x in rows[c]] for c in ("terms", "counts"))
     found = list(zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), *lists, strict=True))
-    found.sort(key=lambda r: (r[0], r[1], r[2].tolist(), r[3].tolist()))
+    found.sort(key=lambda r: r[0])  # each doc_id once
     return Model(terms, df, int(n[at < 0].sum()), told, found)
 
 
