@@ -47,8 +47,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often (0, 1 or 2 times) as the mix takes most of it.
 
-    They stand by the mix's shards, in each shard's locally shuffled order: the
-    first copy where its first part was dealt to, the second where its last was.
+    Each file holds its rows by the mix's shards, in the shards' locally shuffled
+    order: the first copy where its first part was dealt to, the second where its
+    last was. Dealing whole files to shards would shuffle all texts once more.
     """
     prepare(spark)
     keyed, row = with_rows(docs, "pipeline-mix-rows")
@@ -59,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.when(F.col("copy") == 1, F.element_at("spans", 1)).otherwise(F.element_at("spans", -1))
     copies = copies.select(F.col("key_of_row").alias(row), F.struct(first["shard"].alias("shard"), first["place"].alias("place")).alias(unused(keyed, "dealt")))
     placed = keyed.join(copies, row).select(F.struct(*docs.columns).alias("doc"), f"{unused(keyed, 'dealt')}.*")
-    return mixing.local_order(placed).select("doc.*")
+    return placed.sortWithinPartitions("shard", "place").select("doc.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
