@@ -3,7 +3,7 @@
 Four kinds of evidence meet in one posterior:
 
 - text: naive Bayes over hashed byte trigrams of the visible text, learnt from
-  at most TRAIN labelled documents (those whose doc_id hashes lowest); long
+  at most TRAIN labelled documents (those whose doc_id hashes lowest, one row each); long
   texts are tempered to TEMPER trigrams' worth, as trigrams aren't independent
 - the declared markup language (html lang), by how often each declaration goes
   with each language over all pages
@@ -37,18 +37,39 @@ BUCKETS, TRAIN, TEMPER, SMOOTH, HOST_WEIGHT, SUFFIX_WEIGHT, SALTS = 1 << 15, 819
 #: Evidence is not believed beyond this share of another language.
 LEAST = 0.002
 
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<(?:nav|footer|aside)\b.*?</(?:nav|footer|aside)\s*>", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_OPENED = re.compile(r"<(?:(script|style|nav|footer|aside)\b|!--)", re.I)
+_CLOSED = {k: re.compile(rf"</{k}\s*+>", re.I) for k in ("script", "style")} | {"!": re.compile("-->")}
+_CLOSED |= dict.fromkeys(("nav", "footer", "aside"), re.compile(r"</(?:nav|footer|aside)\s*+>", re.I))
+_TAG = re.compile(r"<[^>]*+>")
+_HTML = re.compile(r"<html\b[^>]*+", re.I)
+_LANG = re.compile(r"\slang\s*+=\s*+[\"']?([A-Za-z]+)", re.I)
+
+
+def without_hidden(page: str) -> str:
+    """The page without what lies between tags of hidden elements. Every search starts where the last one ended, so time is in proportion to the page."""
+    out, at, shown, unclosed = [], 0, 0, set()
+    while m := _OPENED.search(page, at):
+        kind = (m[1] or "!").lower()
+        end = None if kind in unclosed else _CLOSED[kind].search(page, m.end())
+        if end is None:
+            unclosed.add(kind)
+            at = m.end()
+            continue
+        out += [page[shown : m.start()], " "]
+        at = shown = end.end()
+    return "".join(out) + page[shown:]
 
 
 def visible_text(page: str) -> str:
-    return html_lib.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    page = without_hidden(page)
+    last = page.rfind(">") + 1  # no tag ends after it
+    return html_lib.unescape(_TAG.sub(" ", page[:last]) + page[last:])
 
 
 def declared_language(page: str) -> str:
-    """The primary subtag of html lang, or nothing."""
-    m = _LANG.search(page)
+    """The primary subtag of the first html tag's lang, or nothing."""
+    tag = _HTML.search(page)
+    m = _LANG.search(tag[0]) if tag else None
     return m[1].lower() if m else ""
 
 
@@ -85,7 +106,9 @@ def fit(docs: DataFrame, most: int = TRAIN) -> tuple[list[str], np.ndarray]:
     """Languages by code point, and their log probabilities by bucket. What the driver gets is bounded by `most`."""
     flat = docs.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string")).filter("lang is not null and text is not null")
     chosen = flat.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = flat.join(F.broadcast(chosen), "doc_id").select("text", "lang").coalesce(8).mapInArrow(_learn, "lang string, counts binary").collect()
+    # one row for each doc_id, and few tasks for these rows alone
+    rows = flat.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"))
+    rows = rows.select("x.text", "x.lang").repartition(8).mapInArrow(_learn, "lang string, counts binary").collect()
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)

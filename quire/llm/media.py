@@ -154,7 +154,9 @@ def samples(data, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
             per[max(0, first - 1) : end] = count
     if per.sum() < n:
         raise Broken("chunks hold fewer samples than the size table")
-    of = np.repeat(np.arange(len(chunk)), per)[:n]
+    # no chunk can hold more than what is left of the n samples
+    per = np.minimum(per, np.maximum(n - (np.cumsum(per) - per), 0))
+    of = np.repeat(np.arange(len(chunk)), per)
     before = np.cumsum(sizes) - sizes
     first = np.zeros(len(chunk), np.int64)
     starts = np.cumsum(per) - per

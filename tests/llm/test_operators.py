@@ -325,6 +325,17 @@ def _plain_base(text):
     return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
 
 
+def test_media_counts_are_held_against_samples():
+    made = media.wrap(media.pad(b"x" * 5000))
+    at = made.index(b"stsc") + 12
+    for count in (60_000_000, 0xFFFFFFFF):
+        odd = bytearray(made)
+        odd[at + 4 : at + 8] = count.to_bytes(4, "big")
+        began = time.perf_counter()
+        found = media.walk(bytes(odd))
+        assert time.perf_counter() - began < 1 and (found["error"] or found["tracks"][0]["n_samples"] == 2)
+
+
 def test_secrets_base_and_links(spark):
     key, weak = "AKIA" + "ABCDEFGH12345678", "wJalrXUtnFEMI7K3MDENGbPxRfiCYEXAMPLEKEY9"
     texts = [
@@ -558,6 +569,16 @@ def test_pieces_of_long_parts_and_marks(spark):
     assert {r.doc_id: r.round_trip for r in pieces.summary(docs, m).collect()} == {0: True, 1: False, 2: True, 3: True}
 
 
+def test_pages_take_time_in_proportion():
+    n = 1_000_000
+    for page in ("<html" * (n // 5), "<script>" * (n // 8), "<!--" * (n // 4), "<nav>" * (n // 5), "<" * n, "<html lang" + " " * n, "</script" + " " * n, "<html " + " lang" * (n // 5)):
+        began = time.perf_counter()
+        langid.visible_text(page), langid.declared_language(page)
+        assert time.perf_counter() - began < 4, page[:20]
+    page = '<html x lang="DE-at"><SCRIPT>a<b</script >b<!-- c -->d<nav>e</aside>f<style>g'
+    assert langid.declared_language(page) == "de" and langid.visible_text(page).split() == ["b", "d", "f", "g"]
+
+
 def test_language_id(spark):
     pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
     got = langid.op3(pages, docs).join(pages, "page_id").collect()
