@@ -6,6 +6,7 @@ outline is a list of commands (kind, args): M, L, C as in CFF, Q for TrueType.
 
 from __future__ import annotations
 
+import string
 import struct
 from dataclasses import dataclass, field
 
@@ -267,6 +268,28 @@ def read_dict(data: bytes) -> dict[int, list[float]]:
     return found
 
 
+_ACCENTED = (
+    "Aacute Acircumflex Adieresis Agrave Aring Atilde Ccedilla Eacute Ecircumflex Edieresis Egrave Iacute Icircumflex Idieresis Igrave "
+    "Ntilde Oacute Ocircumflex Odieresis Ograve Otilde Scaron Uacute Ucircumflex Udieresis Ugrave Yacute Ydieresis Zcaron"
+)
+# The names of string ids 0 to 228; letters stand for themselves, and small accented ones follow the capitals' order.
+STANDARD_STRINGS = [
+    *".notdef space exclam quotedbl numbersign dollar percent ampersand quoteright parenleft parenright asterisk plus comma hyphen period slash".split(),
+    *"zero one two three four five six seven eight nine colon semicolon less equal greater question at".split(),
+    *string.ascii_uppercase,
+    *"bracketleft backslash bracketright asciicircum underscore quoteleft".split(),
+    *string.ascii_lowercase,
+    *"braceleft bar braceright asciitilde exclamdown cent sterling fraction yen florin section currency quotesingle quotedblleft guillemotleft".split(),
+    *"guilsinglleft guilsinglright fi fl endash dagger daggerdbl periodcentered paragraph bullet quotesinglbase quotedblbase quotedblright".split(),
+    *"guillemotright ellipsis perthousand questiondown grave acute circumflex tilde macron breve dotaccent dieresis ring cedilla".split(),
+    *"hungarumlaut ogonek caron emdash AE ordfeminine Lslash Oslash OE ordmasculine ae dotlessi lslash oslash oe germandbls".split(),
+    *"onesuperior logicalnot mu trademark Eth onehalf plusminus Thorn onequarter divide brokenbar degree thorn threequarters".split(),
+    *"twosuperior registered minus eth multiply threesuperior copyright".split(),
+    *_ACCENTED.split(),
+    *(n[0].lower() + n[1:] for n in _ACCENTED.split()),
+]
+
+
 def read_cff(data: bytes, standard_strings: list[str] | None = None) -> Cff | None:
     """standard_strings: the names of the lowest string ids, where they are wanted; else they are sidN."""
     r = Reader(data)
@@ -491,6 +514,7 @@ def name_table(family: str) -> bytes:
     return struct.pack(">HHH", 0, len(texts), 6 + len(records)) + records + store
 
 
+# The metrics in the following tables are fixed values.
 def os2_table(cmap: dict[int, int]) -> bytes:
     codes = [c for c in cmap if c < 0xFFFF] or [0]
     out = struct.pack(">HhHHH", 3, 500, 400, 5, 0) + struct.pack(">10h", 650, 700, 0, 140, 650, 700, 0, 480, 50, 300)

@@ -107,7 +107,7 @@ def _per_document(rows: Callable[[str, Document], Iterator[tuple]], options, pas
             return
         try:
             yield from list(rows(path, doc))
-        except (PdfError, RecursionError):
+        except Exception:  # as in _open
             return
 
     return run
@@ -126,6 +126,27 @@ def _per_page(rows: Callable, options, password):
     return _per_document(each, options, password)
 
 
+def too_large_rows(files: DataFrame, options: dict | None = None) -> DataFrame:
+    """Rows of `documents` for files that are not read for their size (path, length)."""
+    most = int(merged(options)["maxInputBytes"])
+    error = F.concat(F.lit("PDF limit exceeded: Input PDF size "), F.col("length").cast("string"), F.lit(f" > {most}"))
+    known = {"path": F.col("path"), "bytes": F.col("length"), "error": error}
+    return files.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _as_struct(DOCUMENTS)))
+
+
+def broken_pages(files: DataFrame, options: dict | None = None, password: str = "") -> DataFrame:
+    """path, page_no, error of the pages whose content breaks off, which have no rows in the tables of operations, spans and paints."""
+
+    def rows(path, doc):
+        for page in doc.pages:
+            try:
+                Interpreter(doc, page).run()
+            except Exception as e:  # as in _open
+                yield path, page.number, str(e) if isinstance(e, PdfError) else f"internal: {type(e).__name__}: {e}"
+
+    return _stage(files, "path string, page_no int, error string", _per_document(rows, options, password))
+
+
 def documents(files: DataFrame, options: dict | None = None, password: str = "") -> DataFrame:
     """One row for each file: what is in it, or why it can't be used."""
 

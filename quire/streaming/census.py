@@ -14,18 +14,21 @@ def census_folder(spark: SparkSession, folder: str, options: dict | None = None,
     """The census of a folder: files (with duplicates), documents, features, summary, page_errors, totals.
 
     Files are told apart by content before any is parsed, and each is parsed
-    once for each table.
+    once for each table. Files above the size cap are never read: they have a
+    row with the error in documents, and count in the totals.
     """
     prepare(spark)
     read = sources.read_folder(spark, folder, options)
+    large = stages.too_large_rows(sources.too_large(spark, folder, options), options)
     told = stage(analytics.deduplicate(read.select("path", "length", F.sha2("content", 256).alias("sha256"))), "census-files")
     unique = read.join(told.filter("duplicate_of is null").select("path"), "path", "left_semi")
-    documents = stage(stages.documents(unique, options, password), "census-documents")
+    documents = stage(stages.documents(unique, options, password).unionByName(large), "census-documents")
     features = stage(stages.features(unique, options, password), "census-features")
     wrong = stage(stages.page_errors(unique, options, password), "census-errors")
+    duplicates = told.filter("duplicate_of is not null").agg(F.count(F.lit(1)))
     return {
         "files": told, "documents": documents, "features": features, "page_errors": wrong, "summary": analytics.census_summary(features),
-        "totals": analytics.census_totals(documents, wrong).withColumn("duplicates", F.lit(told.filter("duplicate_of is not null").count())),
+        "totals": analytics.census_totals(documents, wrong).withColumn("duplicates", duplicates.scalar()),
     }
 
 

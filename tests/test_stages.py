@@ -163,3 +163,12 @@ def test_queries_equal_their_sql(spark):
         mine = sorted(tuple(said(r[c]) for c in columns) for r in got.collect())
         want = sorted(tuple(said(v) for v in r) for r in con.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall())
         assert mine == want, name
+
+
+def test_oversized_files_have_a_row(spark, tmp_path):
+    (tmp_path / "large.pdf").write_bytes(b"%PDF-1.4\n" + b"x" * 5000)
+    (tmp_path / "small.pdf").write_bytes(writer.text_file("x"))
+    found = census.census_folder(spark, str(tmp_path), {"maxInputBytes": 4000})
+    rows = {r.path.rsplit("/", 1)[1]: r for r in found["documents"].collect()}
+    assert rows.keys() == {"large.pdf", "small.pdf"} and "PDF limit exceeded" in rows["large.pdf"].error and rows["large.pdf"].bytes == 5009
+    assert found["totals"].count() == 1

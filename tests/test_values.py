@@ -96,3 +96,11 @@ def test_rc4_and_keys():
 def test_limits_take_known_positive_numbers():
     got = limits.merged({"maxPages": "5", "maxObjects": -1, "maxKids": 3, "maxOperands": math.inf, "maxPageKids": None})
     assert got["maxPages"] == 5 and {k: v for k, v in got.items() if k != "maxPages"} == {k: v for k, v in limits.DEFAULTS.items() if k != "maxPages"}
+
+
+def test_standard_strings_and_glyph_names():
+    from quire.functions import fonts, outlines
+
+    assert len(outlines.STANDARD_STRINGS) == 229 and len(set(outlines.STANDARD_STRINGS)) == 229
+    assert [outlines.STANDARD_STRINGS[i] for i in (1, 18, 34, 66, 150, 171, 200, 228)] == ["space", "one", "A", "a", "onesuperior", "Aacute", "aacute", "zcaron"]
+    assert [fonts.standard_glyph_name(c) for c in (31, 32, 48, 65, 128, 202, 240, 255)] == [None, "space", "zero", "A", "Adieresis", "space", "apple", "caron"]
