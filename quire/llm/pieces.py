@@ -52,7 +52,9 @@ from quire.llm.tokens import MARK, MODEL
 from quire.session import stage, unused
 
 #: Parts that workers look up, texts from which these are chosen, words that workers remember, and distinct words and parts that one counts at a time.
-HOT, SAMPLE, WORDS, HELD = 120_000, 10_000, 100_000, 80_000
+HOT, SAMPLE, WORDS, HELD = 120_000, 20_000, 100_000, 80_000
+#: Parts that workers look up where nothing else needs their memory, as in the query: fewer travel.
+MORE_HOT = 300_000
 #: Distinct parts that a task puts through the lattice, about.
 PARTS = 40_000
 #: Characters in a part, at most.
@@ -199,8 +201,8 @@ def _count_parts(joints):
     return run
 
 
-def frequent(docs: DataFrame, m: Model) -> list[str]:
-    """At most HOT parts, the most frequent ones of about SAMPLE texts.
+def frequent(docs: DataFrame, m: Model, most: int) -> list[str]:
+    """At most `most` parts, the most frequent ones of about SAMPLE texts.
 
     Which parts these are decides what travels, and nothing of the result.
     """
@@ -208,7 +210,7 @@ def frequent(docs: DataFrame, m: Model) -> list[str]:
     share = SAMPLE / max(1, docs.count())
     few = flat.sample(share, seed=11) if share < 1 else flat
     counts = few.mapInArrow(_count_parts(m.joints), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "part").limit(HOT).select("part").toLocalIterator()]
+    return [r[0] for r in counts.orderBy(F.desc("n"), "part").limit(most).select("part").toLocalIterator()]
 
 
 def lattice(parts: DataFrame, m: Model) -> DataFrame:
@@ -276,16 +278,16 @@ def decode(encoded: DataFrame, m: Model | None = None, column: str = "ids", to:
 
 
 def dictionary(parts: DataFrame, m: Model) -> DataFrame:
-    """(part, ids) of distinct parts, written to the shared folder."""
+    """(part, ids) of distinct parts, ids packed, written to the shared folder."""
     made, m_byte0 = lattice(parts, m), m.byte0
 
     def run(batches):
         for b in batches:
             parts, starts, last = (b.column(c).to_pylist() for c in ("part", "starts", "last"))
             ids = [path_ids(p, s, i, m_byte0) for p, s, i in zip(parts, starts, last, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(ids, pa.list_(pa.int32()))], ["part", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(map(_packed, ids), pa.binary())], ["part", "ids"])
 
-    return stage(made.mapInArrow(run, "part string, ids array<int>"), "pieces")
+    return stage(made.mapInArrow(run, "part string, ids binary"), "pieces")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -323,12 +325,12 @@ class _Coder(dict):
         """The distinct parts that aren't known, in order of appearance."""
         return [p for p in dict.fromkeys(parts) if p not in self]
 
-    def ids(self, text: str | None, rare_ids: list[list[int]]) -> np.ndarray:
+    def ids(self, text: str | None, rare_ids: list[bytes]) -> np.ndarray:
         """The text's ids, given those of its rare parts."""
         if not text:
             return np.zeros(0, np.int32)
         words, parts = self.cut(text)
-        self.rare_ids = dict(zip(self.rare(parts), map(_packed, rare_ids), strict=True))
+        self.rare_ids = dict(zip(self.rare(parts), rare_ids, strict=True))
         found = b"".join(map(self.__getitem__, parts))
         if words is not None:
             got = list(map(self.known.get, words))
@@ -338,7 +340,7 @@ class _Coder(dict):
 
 
 def _rare_parts(hot, joints):
-    """Texts to (h1, h2, place, part): each text's distinct rare parts, in order of appearance."""
+    """Texts to (h1, h2, parts): each text's distinct rare parts, in order of appearance; texts without any give no row."""
 
     def run(batches):
         coder, seen = _Coder(hot.value, joints), set()
@@ -349,10 +351,11 @@ def _rare_parts(hot, joints):
             for key, t in zip(zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), strict=True), b.column("text").to_pylist(), strict=True):
                 if t and key not in seen:
                     seen.add(key)
-                    out += [(*key, i, p) for i, p in enumerate(coder.rare(coder.cut(t)[1]))]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h1", "h2", "place", "part"])
+                    if parts := coder.rare(coder.cut(t)[1]):
+                        out.append((*key, parts))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h1", "h2", "parts"])
 
     return run
 
@@ -382,22 +385,23 @@ def _encoded(hot, joints, rare: str, names: list[str], finish):
     return run
 
 
-def _coded(docs: DataFrame, m: Model, finish, schema) -> DataFrame:
+def _coded(docs: DataFrame, m: Model, finish, schema, most: int) -> DataFrame:
     """finish() of docs' rows, their texts and ids. Texts are read twice (and a sample of them once) and shuffled once, to meet their rare parts."""
     spark = docs.sparkSession
     h1, h2, rare = (unused(docs, c) for c in ("h1", "h2", "rare"))
     text = F.col("text").cast("string")
     keys = lambda a, b: (F.xxhash64(text).alias(a), F.xxhash64(F.lit(1), text).alias(b))
-    often = frequent(docs, m)
+    often = frequent(docs, m, most)
     known = spark.sparkContext.broadcast(dict.fromkeys(often, b""))
     found = docs.select(text.alias("text"), *keys("h1", "h2")).filter("text <> ''")
-    found = stage(found.mapInArrow(_rare_parts(known, m.joints), "h1 long, h2 long, place int, part string"), "rare-parts")
+    found = stage(found.mapInArrow(_rare_parts(known, m.joints), "h1 long, h2 long, parts array<string>"), "rare-parts")
     known.unpersist()
-    often = spark.createDataFrame([(p,) for p in often], "part string")
-    tasks = 1 + (found.count() + HOT) // PARTS
-    words = dictionary(found.select("part").unionByName(often).distinct().repartition(tasks, "part"), m)
-    hot = {r[0]: _packed(r[1]) for r in words.join(F.broadcast(often), "part").toLocalIterator()}
+    often_parts, often = often, spark.createDataFrame([(p,) for p in often], "part string")
+    tasks = 1 + (found.agg(F.sum(F.size("parts"))).first()[0] or 0) // (2 * PARTS) + len(often_parts) // PARTS
+    words = dictionary(found.select(F.explode("parts").alias("part")).unionByName(often).distinct().repartition(tasks, "part"), m)
+    hot = {r[0]: bytes(r[1]) for r in words.join(F.broadcast(often), "part").toLocalIterator()}
     hot = spark.sparkContext.broadcast(hot)
+    found = found.select("h1", "h2", F.posexplode("parts").alias("place", "part"))
     found = found.join(words, "part").groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("r"))
     found = found.select(F.col("h1").alias(f"{h1}_"), F.col("h2").alias(f"{h2}_"), F.transform("r", lambda x: x["ids"]).alias(rare))
     names = docs.columns
@@ -408,7 +412,7 @@ def _coded(docs: DataFrame, m: Model, finish, schema) -> DataFrame:
     return met.mapInArrow(_encoded(hot, m.joints, rare, names, finish), schema)
 
 
-def encode(docs: DataFrame, m: Model | None = None) -> DataFrame:
+def encode(docs: DataFrame, m: Model | None = None, hot: int | None = None) -> DataFrame:
     """docs with `ids`, the piece ids of the text."""
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
 
@@ -416,10 +420,10 @@ def encode(docs: DataFrame, m: Model | None = None) -> DataFrame:
         b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         return b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
-    return _coded(docs, m or model(), finish, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    return _coded(docs, m or model(), finish, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]), hot or HOT)
 
 
-def summary(docs: DataFrame, m: Model | None = None) -> DataFrame:
+def summary(docs: DataFrame, m: Model | None = None, hot: int | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, round_trip of every text's encoding.
 
     ids_crc32: of the ids as 32-bit little-endian numbers. round_trip: whether
@@ -435,8 +439,8 @@ def summary(docs: DataFrame, m: Model | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _coded(docs, m, finish, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean")
+    return _coded(docs, m, finish, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean", hot or HOT)
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    return summary(docs)
+    return summary(docs, hot=MORE_HOT)
