@@ -3,15 +3,20 @@
 A text is marked as SentencePiece does (a mark before it and for each space)
 and parted between two characters that never stand side by side in a piece, as
 no piece can cross there; words come apart by this rule, and so does most
-punctuation. Each distinct part goes through the lattice once:
+punctuation. A task numbers the distinct parts of its texts, lets the new ones
+run ahead of the rows that hold them, and sends each through the lattice once:
 
 1. its substrings are exploded, from each place up to the longest piece that
    begins with the three characters there,
 2. equi-joined to the piece table (broadcast: a vocabulary has a fixed size),
-3. edges are grouped by part, without another shuffle,
+3. edges are grouped by part, where they stand side by side,
 4. and Spark's aggregate() folds them, in order of their ends, into the best
    score and last edge for each position, from which the path is read back.
 
+All steps are narrow, so rows keep their order, nothing is shuffled or held on
+the driver, and a lost executor costs its tasks only. A task remembers at most
+about HELD words and parts and then begins again.
+
 This is the best segmentation by the sum of scores, as SentencePiece decodes
 unigram models. A model file of BPE type has ranks for scores, and merges
 cannot be replayed by such a sum; ranks become log probabilities by Zipf's
@@ -20,13 +25,6 @@ merges on some words (measured in the README); decoding gives the same text.
 Of paths with equal scores, the one whose last edge starts earlier holds. A character without a piece is an unknown edge and
 becomes its UTF-8 bytes' pieces, so decoding always gives the text back.
 
-A text holds few distinct rare parts and many frequent ones. At most HOT parts
-that are frequent in a sample of the texts are known to all workers (a bounded
-broadcast), which also remember WORDS whole words made of them; the others'
-pieces are joined to the texts by shuffle, in which texts travel compressed. A
-text that many rows share has no rare part, so its rows only meet, and Spark's
-skew join deals them out.
-
 Defined results: null and empty texts have no pieces; equal texts get equal
 pieces; a part without joints longer than LONGEST characters is cut into parts
 of this length; a text that holds the mark itself decodes to a space there, and
@@ -39,24 +37,20 @@ from __future__ import annotations
 import ctypes
 import math
 import zlib
-from collections import Counter
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quire.llm.tokens import MARK, MODEL
-from quire.session import stage, unused
-
-#: Parts that workers look up, texts from which these are chosen, words that workers remember, and distinct words and parts that one counts at a time.
-HOT, SAMPLE, WORDS, HELD = 120_000, 20_000, 100_000, 80_000
-#: Parts that workers look up where nothing else needs their memory, as in the query: fewer travel.
-MORE_HOT = 300_000
-#: Distinct parts that a task puts through the lattice, about.
-PARTS = 40_000
+
+#: Distinct words and parts that a task remembers.
+HELD = 300_000
 #: Characters in a part, at most.
 LONGEST = 4096
 #: Texts that a worker turns into Python strings at a time.
@@ -159,73 +153,116 @@ class Cutter:
         return out if words else []
 
 
-def _slices(batches):
+def _slices(batches, n: int):
     for b in batches:
-        for low in range(0, b.num_rows, SLICE):
-            yield b.slice(low, SLICE)
+        for low in range(0, b.num_rows, n):
+            yield b.slice(low, n)
     # idle workers stay beside later stages, so what they have freed goes back to the system where the C library can do that
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
-def _count_parts(joints):
-    """Words are counted first, and each distinct one is cut once; where marks would run together, the text is cut whole."""
+class _Numbers:
+    """Numbers for the distinct parts of a task's texts, in order of appearance, and the packed numbers of whole words."""
 
-    def run(batches):
-        cutter, words, parts = Cutter(joints), Counter(), Counter()
-
-        def flush():
-            for ps, n in zip(cutter.cut_words(list(words)), words.values(), strict=True):
-                for p in ps:
-                    parts[p] += n
-            words.clear()
-            keys, counts = list(parts), list(parts.values())
-            parts.clear()
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000]), pa.array(counts[i : i + 50_000], pa.int64())], ["part", "n"])
-
-        for b in _slices(batches):
-            for t in b.column("text").to_pylist():
-                if t:
-                    found = cutter.words(t)
-                    if found is None:
-                        parts.update(cutter.parts(t))
-                    else:
-                        words.update(found)
-            if len(words) + len(parts) >= HELD:
-                yield from flush()
-        if words or parts:
-            yield from flush()
+    def __init__(self, joints: frozenset[str], held: int):
+        self.cutter, self.held, self.parts, self.words = Cutter(joints), held, {}, {}
 
-    return run
+    def full(self) -> bool:
+        return len(self.parts) + len(self.words) >= self.held
 
+    def clear(self) -> None:
+        self.parts.clear()
+        self.words.clear()
 
-def frequent(docs: DataFrame, m: Model, most: int) -> list[str]:
-    """At most `most` parts, the most frequent ones of about SAMPLE texts.
+    def _packed(self, parts: list[str]) -> bytes:
+        number = self.parts
+        return np.array([number.setdefault(p, len(number)) for p in parts], np.int32).tobytes()
 
-    Which parts these are decides what travels, and nothing of the result.
+    def of(self, texts: list[str | None]) -> list[bytes | None]:
+        """Each text's parts as packed numbers; those of new parts follow the numbers there are."""
+        split = [self.cutter.words(t) if t else None for t in texts]
+        new = list(dict.fromkeys(w for ws in split if ws is not None for w in ws if w not in self.words))
+        for w, parts in zip(new, self.cutter.cut_words(new), strict=True):
+            self.words[w] = self._packed(parts)
+        known = self.words.__getitem__
+        return [self._packed(self.cutter.parts(t)) if ws is None else b"".join(map(known, ws)) for t, ws in zip(texts, split, strict=True)]
+
+
+def _parted(joints, held: int, doc: pa.DataType):
+    """Rows to (n, part, at, doc): the new parts of some texts, then these texts' rows with `at`, the numbers of their parts.
+
+    A part that is empty says that numbers begin again, so a task holds about `held` words and parts at most.
     """
-    flat = docs.select(F.col("text").cast("string"))
-    share = SAMPLE / max(1, docs.count())
-    few = flat.sample(share, seed=11) if share < 1 else flat
-    counts = few.mapInArrow(_count_parts(m.joints), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "part").limit(most).select("part").toLocalIterator()]
 
+    def rows(parts, first, at, docs):
+        few = [pa.array(range(first, first + len(parts)), pa.int32()), pa.array(parts, pa.string()), pa.nulls(len(parts), pa.binary()), pa.nulls(len(parts), doc)]
+        if parts:
+            yield pa.RecordBatch.from_arrays(few, ["n", "part", "at", "doc"])
+        if docs is not None:
+            k = len(docs)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.array(at, pa.binary()), docs], ["n", "part", "at", "doc"])
 
-def lattice(parts: DataFrame, m: Model) -> DataFrame:
-    """(part, starts, last) of distinct parts: explode, equi-join, group, fold."""
-    spark = parts.sparkSession
+    def run(batches):
+        numbers = _Numbers(joints, held)
+        for b in _slices(batches, min(SLICE, held)):
+            if numbers.full():
+                numbers.clear()
+                yield from rows([""], -1, [], None)
+            before = len(numbers.parts)
+            at = numbers.of(b.column("text").to_pylist())
+            yield from rows(list(islice(numbers.parts, before, None)), before, at, b.column("doc"))
+
+    return run
+
+
+def _edges(batches):
+    """Rows that follow each other with the same n become one, with their edges as lists in order of ends; others stay as they are."""
+    held = []
+    for b in chain(batches, (None,)):
+        if b is not None:
+            held.append(b)
+            n = b.column("n").to_numpy(zero_copy_only=False)
+            if b.num_rows == 0 or (len(held) < 64 and n[0] == n[-1]):
+                continue
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        n = rows.column("n").fill_null(-2).to_numpy()
+        # texts' rows and marks each stand alone
+        first = np.flatnonzero(np.concatenate(([True], (n[1:] != n[:-1]) | (n[1:] < 0)))) if len(n) else np.zeros(0, np.int64)
+        # the last part may go on in the next batch
+        held = [] if b is None or n[-1] < 0 else rows.slice(int(first[-1])).to_batches()
+        if held:
+            rows, n, first = rows.slice(0, int(first[-1])), n[: int(first[-1])], first[:-1]
+        if not len(n):
+            continue
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+        e, s = (rows.column(c).fill_null(0).to_numpy() for c in ("e", "s"))
+        order = np.lexsort((s, e, run))
+        offsets = pa.array(np.append(first, len(n)).astype(np.int32))
+        flat = [rows.column(c).combine_chunks().take(pa.array(order)) for c in ("e", "s", "id", "score")]
+        lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, ["e", "s", "id", "score"]))
+        heads = rows.select(["n", "part", "at", "doc"]).take(pa.array(first))
+        yield from heads.append_column("edges", lists).to_batches(max_chunksize=10_000)
+
+
+def lattice(parted: DataFrame, m: Model) -> DataFrame:
+    """parted's rows with (starts, last) for those with a part: explode, equi-join, group, fold. No step moves a row."""
+    spark = parted.sparkSession
     size = F.char_length("part")
-    starts = parts.select("part", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    keep = ("n", "part", "at", "doc")
+    starts = parted.select(*keep, F.explode_outer(F.when(size > 0, F.sequence(F.lit(0), size - 1))).alias("s"))
     starts = starts.join(F.broadcast(m.bounds(spark)), F.expr("substring(part, s + 1, 3)") == F.col("three"), "left")
     reach = F.least(F.coalesce("longest", F.lit(2)), size - F.col("s"))
-    spans = starts.select("part", "s", F.explode(F.sequence(F.lit(1), reach)).alias("l"))
-    spans = spans.select("part", "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(part, s + 1, l)").alias("sub"))
-    edges = spans.join(F.broadcast(m.table(spark)), F.col("sub") == F.col("piece"), "left").filter("id is not null or e = s + 1")
+    spans = starts.select(*keep, "s", F.explode_outer(F.when(F.col("s").isNotNull(), F.sequence(F.lit(1), reach))).alias("l"))
+    spans = spans.select(*keep, "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(part, s + 1, l)").alias("sub"))
+    edges = spans.join(F.broadcast(m.table(spark)), F.col("sub") == F.col("piece"), "left").filter("s is null or id is not null or e = s + 1")
     # an unknown edge stands only where no single character's piece does
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(m.unknown)).alias("score"))
-    grouped = edges.groupBy("part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edges = edges.select(*keep, "e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(m.unknown)).alias("score"))
+    listed = StructType([*parted.schema.fields, *StructType.fromDDL("edges array<struct<e: int, s: int, id: int, score: double>>").fields])
+    grouped = edges.mapInArrow(_edges, listed)
     # best[i]: the best score, last edge's start and id of a path to position i
     best = F.expr(
         """aggregate(edges, array(struct(0D as score, 0 as s, 0 as id)), (best, x) ->
@@ -235,7 +272,8 @@ def lattice(parts: DataFrame, m: Model) -> DataFrame:
                    concat(slice(best, 1, x.e), array(struct(best[x.s].score + x.score as score, x.s as s, x.id as id))),
                    best)))"""
     )
-    return grouped.select("part", F.transform(best, lambda x: x["s"]).alias("starts"), F.transform(best, lambda x: x["id"]).alias("last"))
+    folded = grouped.select(*keep, F.when(F.col("n") >= 0, best).alias("best"))
+    return folded.select(*keep, F.transform("best", lambda x: x["s"]).alias("starts"), F.transform("best", lambda x: x["id"]).alias("last"))
 
 
 def path_ids(part: str, starts: list[int], last: list[int], byte0: int) -> list[int]:
@@ -277,153 +315,80 @@ def decode(encoded: DataFrame, m: Model | None = None, column: str = "ids", to:
     return encoded.select(names).mapInArrow(run, f"{schema}, `{to}` string")
 
 
-def dictionary(parts: DataFrame, m: Model) -> DataFrame:
-    """(part, ids) of distinct parts, ids packed, written to the shared folder."""
-    made, m_byte0 = lattice(parts, m), m.byte0
-
-    def run(batches):
-        for b in batches:
-            parts, starts, last = (b.column(c).to_pylist() for c in ("part", "starts", "last"))
-            ids = [path_ids(p, s, i, m_byte0) for p, s, i in zip(parts, starts, last, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(map(_packed, ids), pa.binary())], ["part", "ids"])
-
-    return stage(made.mapInArrow(run, "part string, ids binary"), "pieces")
+class _Ids:
+    """The ids of numbered parts, flat, so that those of many texts are gathered at once."""
 
+    def __init__(self):
+        self.clear()
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
+    def clear(self) -> None:
+        self.ids, self.sizes, self.flat, self.ends = [], [], np.zeros(0, np.int32), np.zeros(0, np.int64)
 
+    def add(self, ids: list[int]) -> None:
+        self.ids += ids
+        self.sizes.append(len(ids))
 
-class _Coder(dict):
-    """Looks up texts' parts: an entry is a part's packed ids. Words all of whose parts are known are remembered as a whole."""
+    def of(self, at: list[bytes]) -> list[np.ndarray]:
+        if self.sizes:
+            last = int(self.ends[-1]) if len(self.ends) else 0
+            self.flat = np.concatenate((self.flat, np.array(self.ids, np.int32)))
+            self.ends = np.concatenate((self.ends, last + np.cumsum(self.sizes)))
+            self.ids, self.sizes = [], []
+        numbers = np.frombuffer(b"".join(at), np.int32)
+        starts = np.concatenate(([0], self.ends))[numbers]
+        sizes = self.ends[numbers] - starts
+        ends = np.cumsum(sizes)
+        found = self.flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        texts = np.concatenate(([0], ends))[np.cumsum([len(x) // 4 for x in at])]
+        return np.split(found, texts[:-1]) if at else []
 
-    #: Ids are below 2 ** 24, so this never stands among them.
-    APART = b"\xff" * 4
 
-    def __init__(self, hot: dict[str, bytes], joints: frozenset[str]):
-        super().__init__(hot)
-        self[" "] = self.APART
-        self.cutter, self.known, self.rare_ids = Cutter(joints), {}, {}
-
-    def __missing__(self, part: str) -> bytes:
-        return self.rare_ids[part]
-
-    def cut(self, text: str) -> tuple[list[str] | None, list[str]]:
-        """The text's words, and the parts of those not remembered, with a space between words."""
-        words = self.cutter.words(text)
-        if words is None:
-            return None, self.cutter.parts(text)
-        new = [w for w in words if w not in self.known]
-        if len(self.known) < WORDS:
-            for w, ps in zip(new, self.cutter.cut_words(new), strict=True):
-                if all(p in self for p in ps):
-                    self.known[w] = b"".join([self[p] for p in ps])
-            new = [w for w in new if w not in self.known]
-        return words, self.cutter.cut(" ".join([MARK + w for w in new])) if new else []
-
-    def rare(self, parts: list[str]) -> list[str]:
-        """The distinct parts that aren't known, in order of appearance."""
-        return [p for p in dict.fromkeys(parts) if p not in self]
-
-    def ids(self, text: str | None, rare_ids: list[bytes]) -> np.ndarray:
-        """The text's ids, given those of its rare parts."""
-        if not text:
-            return np.zeros(0, np.int32)
-        words, parts = self.cut(text)
-        self.rare_ids = dict(zip(self.rare(parts), rare_ids, strict=True))
-        found = b"".join(map(self.__getitem__, parts))
-        if words is not None:
-            got = list(map(self.known.get, words))
-            new = iter(found.split(self.APART))
-            found = b"".join([next(new) if x is None else x for x in got])
-        return np.frombuffer(found, np.int32)
-
-
-def _rare_parts(hot, joints):
-    """Texts to (h1, h2, parts): each text's distinct rare parts, in order of appearance; texts without any give no row."""
+def _encoded(byte0: int, names: list[str], finish):
+    """Parts with their folds, and rows whose texts are made of them, to finish(rows, texts, ids)."""
 
     def run(batches):
-        coder, seen = _Coder(hot.value, joints), set()
-        for b in _slices(batches):
-            out: list[tuple] = []
-            if len(seen) >= HELD:
-                seen.clear()
-            for key, t in zip(zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), strict=True), b.column("text").to_pylist(), strict=True):
-                if t and key not in seen:
-                    seen.add(key)
-                    if parts := coder.rare(coder.cut(t)[1]):
-                        out.append((*key, parts))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h1", "h2", "parts"])
+        known = _Ids()
+        for b in batches:
+            n = b.column("n").fill_null(-2).to_numpy()
+            # stretches of parts, of texts' rows (-2), and marks (-1)
+            kind = np.maximum(np.minimum(n, 0), -2)
+            cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(n)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                few = b.slice(low, high - low)
+                if kind[low] == -1:
+                    known.clear()
+                elif kind[low] == 0:
+                    for p, s, i in zip(*(few.column(c).to_pylist() for c in ("part", "starts", "last")), strict=True):
+                        known.add(path_ids(p, s, i, byte0))
+                else:
+                    for x in (few.slice(i, SLICE) for i in range(0, few.num_rows, SLICE)):
+                        rows = pa.RecordBatch.from_arrays(x.column("doc").flatten(), names)
+                        yield finish(rows, rows.column("text").to_pylist(), known.of(x.column("at").to_pylist()))
 
     return run
 
 
-def _compress(batches):
-    """The same batches with texts compressed."""
-    import zstandard
-
-    c = zstandard.ZstdCompressor(level=3)
-    for b in _slices(batches):
-        texts = [None if t is None else c.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
-
-
-def _encoded(hot, joints, rare: str, names: list[str], finish):
-    """Compressed texts and their rare parts' ids, in order of appearance, to finish(batch, texts, ids)."""
-
-    def run(batches):
-        import zstandard
-
-        coder, d = _Coder(hot.value, joints), zstandard.ZstdDecompressor()
-        for b in _slices(batches):
-            texts = [None if t is None else d.decompress(t).decode() for t in b.column("text").to_pylist()]
-            ids = [coder.ids(t, r or ()) for t, r in zip(texts, b.column(rare).to_pylist(), strict=True)]
-            yield finish(b.select(names), texts, ids)
-
-    return run
+def _coded(docs: DataFrame, m: Model, finish, schema) -> DataFrame:
+    """finish() of docs' rows, their texts and ids. Texts are read once and nothing is shuffled."""
+    made = docs.select("text", F.struct("*").alias("doc"))
+    doc = to_arrow_type(made.schema["doc"].dataType)
+    out = StructType([*StructType.fromDDL("n int, part string, at binary").fields, StructField("doc", made.schema["doc"].dataType)])
+    return lattice(made.mapInArrow(_parted(m.joints, HELD, doc), out), m).mapInArrow(_encoded(m.byte0, docs.columns, finish), schema)
 
 
-def _coded(docs: DataFrame, m: Model, finish, schema, most: int) -> DataFrame:
-    """finish() of docs' rows, their texts and ids. Texts are read twice (and a sample of them once) and shuffled once, to meet their rare parts."""
-    spark = docs.sparkSession
-    h1, h2, rare = (unused(docs, c) for c in ("h1", "h2", "rare"))
-    text = F.col("text").cast("string")
-    keys = lambda a, b: (F.xxhash64(text).alias(a), F.xxhash64(F.lit(1), text).alias(b))
-    often = frequent(docs, m, most)
-    known = spark.sparkContext.broadcast(dict.fromkeys(often, b""))
-    found = docs.select(text.alias("text"), *keys("h1", "h2")).filter("text <> ''")
-    found = stage(found.mapInArrow(_rare_parts(known, m.joints), "h1 long, h2 long, parts array<string>"), "rare-parts")
-    known.unpersist()
-    often_parts, often = often, spark.createDataFrame([(p,) for p in often], "part string")
-    tasks = 1 + (found.agg(F.sum(F.size("parts"))).first()[0] or 0) // (2 * PARTS) + len(often_parts) // PARTS
-    words = dictionary(found.select(F.explode("parts").alias("part")).unionByName(often).distinct().repartition(tasks, "part"), m)
-    hot = {r[0]: bytes(r[1]) for r in words.join(F.broadcast(often), "part").toLocalIterator()}
-    hot = spark.sparkContext.broadcast(hot)
-    found = found.select("h1", "h2", F.posexplode("parts").alias("place", "part"))
-    found = found.join(words, "part").groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("r"))
-    found = found.select(F.col("h1").alias(f"{h1}_"), F.col("h2").alias(f"{h2}_"), F.transform("r", lambda x: x["ids"]).alias(rare))
-    names = docs.columns
-    keyed = docs.withColumn("text", text).select(*names, *keys(h1, h2))
-    packed = keyed.withColumn("text", F.col("text").cast("binary"))
-    packed = keyed.mapInArrow(_compress, packed.schema)
-    met = packed.join(found, (F.col(h1) == F.col(f"{h1}_")) & (F.col(h2) == F.col(f"{h2}_")), "left").select(*names, rare)
-    return met.mapInArrow(_encoded(hot, m.joints, rare, names, finish), schema)
-
-
-def encode(docs: DataFrame, m: Model | None = None, hot: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, m: Model | None = None) -> DataFrame:
     """docs with `ids`, the piece ids of the text."""
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
 
     def finish(b, texts, ids):
-        b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         return b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
-    return _coded(docs, m or model(), finish, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]), hot or HOT)
+    return _coded(docs, m or model(), finish, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
-def summary(docs: DataFrame, m: Model | None = None, hot: int | None = None) -> DataFrame:
+def summary(docs: DataFrame, m: Model | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, round_trip of every text's encoding.
 
     ids_crc32: of the ids as 32-bit little-endian numbers. round_trip: whether
@@ -439,8 +404,8 @@ def summary(docs: DataFrame, m: Model | None = None, hot: int | None = None) ->
         return pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _coded(docs, m, finish, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean", hot or HOT)
+    return _coded(docs, m, finish, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    return summary(docs, hot=MORE_HOT)
+    return summary(docs)

@@ -532,9 +532,9 @@ def _viterbi_of(t, m):
     return out
 
 
-@pytest.mark.parametrize("hot", [300_000, 5])
-def test_pieces(odd, rows, empty, monkeypatch, hot):
-    monkeypatch.setattr(pieces, "HOT", hot)
+@pytest.mark.parametrize("held", [300_000, 5])
+def test_pieces(odd, rows, empty, monkeypatch, held):
+    monkeypatch.setattr(pieces, "HELD", held)
     m = pieces.model()
     got = pieces.decode(pieces.encode(odd, m), m, to="back").collect()
     assert len(got) == len(rows)
@@ -547,13 +547,12 @@ def test_pieces(odd, rows, empty, monkeypatch, hot):
     assert pieces.encode(empty, m).count() == 0 and pieces.summary(empty, m).count() == 0
 
 
-def test_pieces_digest_is_the_same_hot_or_rare(odd, monkeypatch):
+def test_pieces_digest_is_the_same_whatever_is_held(odd, monkeypatch):
     m = pieces.model()
     got = {r.doc_id: r.ids for r in pieces.encode(odd, m).collect()}
     want = {tuple(r) for r in pieces.summary(odd, m).collect()}
     assert {(d, len(x), zlib.crc32(np.array(x, np.int32).tobytes()), True) for d, x in got.items()} == want
-    monkeypatch.setattr(pieces, "HOT", 3)
-    monkeypatch.setattr(pieces, "WORDS", 2)
+    monkeypatch.setattr(pieces, "HELD", 3)
     assert {tuple(r) for r in pieces.summary(odd, m).collect()} == want
 
 
