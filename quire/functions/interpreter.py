@@ -262,14 +262,14 @@ class Interpreter:
     def show_value(self, value) -> None:
         s, font = self.state, self.font()
         run = glyph_run(token_bytes(value), font)
-        text = whole_text("".join(g[2] for g in run))
+        codes, names, texts, widths = map(list, zip(*run, strict=True)) if run else ([], [], [], [])
+        text = whole_text("".join(texts))
         if not text:
             return
-        known = any(w is not None for *_, w in run)
         by = None
-        if known and all(w is not None for *_, w in run):
+        if None not in widths:
             gaps = len(text) * s.char_spacing + text.count(" ") * s.word_spacing
-            by = sum(w / 1000 * s.size for *_, w in run) + gaps
+            by = sum(w / 1000 * s.size for w in widths) + gaps
         matrix = multiply(s.ctm, s.text)
         tall = math.hypot(matrix[2], matrix[3]) or math.hypot(matrix[0], matrix[1]) or 1
         x, y = apply(matrix, 0, s.rise)
@@ -281,7 +281,7 @@ class Interpreter:
             {
                 "ord": len(self.spans), "text": text, "font": font["base_font"] if font else None, "resource": str(s.font) if isinstance(s.font, str) else None,
                 "size": float(abs(s.size * tall) or 1), "x": x, "y": y, "page_x": px, "page_y": py, "advance": None if by is None else float(by * s.scale),
-                "mode": int(s.mode), "fill": s.fill, "form_path": self.form_path(), "codes": [g[0] for g in run], "names": [g[1] for g in run],
+                "mode": int(s.mode), "fill": s.fill, "form_path": self.form_path(), "codes": codes, "names": names,
             }
         )
         if by is not None:
