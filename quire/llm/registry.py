@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, langid, media, mixing, ngram_join, pieces, secrets, sharding, tokens, toxicity
+from quire.llm import ann, content_sort, langid, media, mixing, ngram_join, pieces, secrets, sharding, tokens, toxicity
 from quire.session import table
 
 
@@ -46,9 +46,13 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.op10(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark, sf_dir):
+    return content_sort.op12(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_jaccard_join": ngram_join.SQL}
+    return {"op10_ngram_jaccard_join": ngram_join.SQL, "op12_exact_dedup": content_sort.SQL}
