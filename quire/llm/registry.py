@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, content_sort, langid, media, mixing, ngram_join, pieces, secrets, sharding, tokens, toxicity
+from quire.llm import ann, content_sort, divergence, langid, media, mixing, ngram_join, pieces, secrets, sharding, tokens, toxicity
 from quire.session import table
 
 
@@ -46,6 +46,10 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark, sf_dir):
     return content_sort.op12(table(spark, sf_dir, "documents"))
 
@@ -55,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_jaccard_join": ngram_join.SQL, "op12_exact_dedup": content_sort.SQL}
+    return {"op10_ngram_jaccard_join": ngram_join.SQL, "op11_source_divergence": divergence.SQL, "op12_exact_dedup": content_sort.SQL}
