@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, content_sort, divergence, langid, media, mixing, ngram_join, pieces, secrets, sharding, tokens, toxicity
+from quire.llm import ann, content_sort, divergence, langid, media, mixing, ngram_join, pieces, repair, secrets, sharding, tokens, toxicity
 from quire.session import table
 
 
@@ -54,9 +54,18 @@ def op12_exact_dedup(spark, sf_dir):
     return content_sort.op12(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    return repair.op13(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_jaccard_join": ngram_join.SQL, "op11_source_divergence": divergence.SQL, "op12_exact_dedup": content_sort.SQL}
+    return {
+        "op10_ngram_jaccard_join": ngram_join.SQL,
+        "op11_source_divergence": divergence.SQL,
+        "op12_exact_dedup": content_sort.SQL,
+        "op13_conversation_repair": repair.SQL,
+    }
