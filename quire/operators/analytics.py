@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.scans import as_of, running_sums
+from quire.session import stage, unused
+
 # The state of support of features.
 PARTIAL = ["shading:paint", "transparency:soft-mask", "transparency:blend-mode", "transparency:group"]
 UNSUPPORTED = ["text:clip-mode", "transparency:nonisolated-group", "transparency:knockout-group", "transparency:unsupported-soft-mask", "transparency:unsupported-blend-mode"]
@@ -19,8 +22,9 @@ def deduplicate(files: DataFrame, key: str = "sha256") -> DataFrame:
     Groups are summed before they are joined back, so a file with many copies
     is no single task's load: the join is by content, and skewed joins split.
     """
-    first = files.groupBy(key).agg(F.min("path").alias("_first"))
-    return files.join(first, key).withColumn("duplicate_of", F.when(F.col("path") != F.col("_first"), F.col("_first"))).drop("_first")
+    first = unused(files, "first")
+    firsts = files.groupBy(key).agg(F.min("path").alias(first))
+    return files.join(firsts, key).withColumn("duplicate_of", F.when(F.col("path") != F.col(first), F.col(first))).drop(first)
 
 
 def feature_status(feature: Column) -> Column:
@@ -114,12 +118,16 @@ def page_selection(chosen: Column, count: Column, compact: Column) -> Column:
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, to: str = "median") -> DataFrame:
-    """The value at place floor(n / 2) in order, exactly; nulls don't count."""
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias(to), F.row_number().over(w.orderBy(value)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n")
-    )
-    return ranked.filter(F.expr("_r = _n div 2 + 1")).select(*keys, to)
+    """The value at place floor(n / 2) in order, exactly; nulls don't count.
+
+    Values are counted first, and places are running sums over ranges of the
+    value, so no task sorts a key's values.
+    """
+    n, upto, whole = (unused(df, c) for c in ("n", "upto", "whole"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+    placed = running_sums(counted, keys, [value], {upto: whole}, **{upto: F.col(n)})
+    middle = F.expr(f"{whole} div 2")
+    return placed.filter((F.col(upto) > middle) & (F.col(upto) - F.col(n) <= middle)).select(*keys, F.col(value).alias(to))
 
 
 def difference_rollup(diffs: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,16 +157,15 @@ def keep_most_novel(corpus: DataFrame, novelty: str, most: int = 512, keep: int
 
 
 def weighted_pick(corpus: DataFrame, weight: str, draws: int, seed: int) -> DataFrame:
-    """`draws` rows, each picked with a chance in proportion to 1 + its weight: cumulative sums against drawn numbers.
-
-    For a corpus kept small by keep_most_novel; the draws are what is broadcast.
-    """
-    order = Window.orderBy(F.xxhash64(*corpus.columns))
-    summed = corpus.withColumn("_to", F.sum(F.col(weight) + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    summed = summed.withColumn("_from", F.col("_to") - F.col(weight) - 1)
-    total = corpus.agg(F.sum(F.col(weight) + 1)).scalar()
-    drawn = corpus.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.rand(seed) * total).alias("_at"))
-    return summed.join(F.broadcast(drawn), (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).drop("_from", "_to", "_at")
+    """`draws` rows, each picked with a chance in proportion to 1 + its weight: drawn numbers find their row as of cumulative sums."""
+    upto, whole, start, at, row = (unused(corpus, c) for c in ("upto", "whole", "start", "at", "found"))
+    mark = unused(corpus, "mark")
+    summed = running_sums(corpus.withColumn(mark, F.xxhash64(*corpus.columns)), [], [mark, *corpus.columns], **{upto: F.col(weight) + 1})
+    summed = stage(summed.select(*corpus.columns, (F.col(upto) - F.col(weight) - 1).alias(start), F.col(upto).alias(whole)), "weights")
+    total = summed.agg(F.max(whole)).scalar()
+    drawn = corpus.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.rand(seed) * total).alias(at))
+    picked = as_of(stage(drawn, "draws"), summed.drop(whole), [], at, start, row)
+    return picked.select(*(F.col(row)[c].alias(c) for c in corpus.columns), "draw")
 
 
 def unsupported_report(unsupported: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,27 +190,39 @@ def agreement(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 def bounded_prefix(parts: DataFrame, keys: list[str], order: list[str], size: str, most: int) -> DataFrame:
     """Parts in order, up to the first whose running total is above `most`."""
-    running = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn("_t", running).filter(F.col("_t") <= most).drop("_t")
+    total = unused(parts, "total")
+    return running_sums(parts, keys, order, **{total: F.col(size)}).filter(F.col(total) <= most).drop(total)
 
 
 def resolve_references(values: DataFrame, objects: DataFrame, hops: int = 20) -> DataFrame:
     """values (path, ref, ...) with `value`, what ref stands for through up to `hops` + 1 objects.
 
     objects: path, obj_id, value as tagged JSON. A reference is {"r":id,...}; object 0 is none.
+    Pointer doubling: objects that are references are joined with themselves
+    until they jump 2, 4, 8 ... objects, and the jumps that make up `hops` are
+    taken; where a chain ends earlier, jumps stay there. Only references travel.
     """
     target = F.get_json_object("value", "$.r").cast("long")
-    links = objects.select("path", F.col("obj_id").alias("_id"), F.col("value").alias("_value"))
-    now = values.withColumn("_at", F.col("ref")).withColumn("value", F.lit(None).cast("string"))
-    for _ in range(hops + 1):
-        open_ = now.filter(F.coalesce(F.col("_at"), F.lit(0)) != 0)
-        if open_.isEmpty():
-            break
-        done = now.filter(F.coalesce(F.col("_at"), F.lit(0)) == 0)
-        step = open_.join(links, (open_["path"] == links["path"]) & (open_["_at"] == links["_id"]), "left").drop(links["path"])
-        step = step.withColumn("value", F.col("_value")).withColumn("_at", target).drop("_id", "_value")
-        now = done.unionByName(step)
-    return now.drop("_at")
+    links = objects.select("path", F.col("obj_id").alias("at"), target.alias("to")).filter("to <> 0")
+    jumps = stage(links.dropDuplicates(["path", "at"]), "references")
+    at, value = unused(values, "at"), unused(values, "held")
+    now = values.drop("value").withColumn(at, F.col("ref").cast("long"))
+
+    def follow(rows: DataFrame, column: str, by: DataFrame) -> DataFrame:
+        """column moved along by's jumps, where there is one."""
+        step = by.select(F.col("path").alias("of_path"), F.col("at").alias("of_at"), F.col("to").alias("of_to"))
+        moved = rows.join(step, (rows["path"] == step["of_path"]) & (rows[column] == step["of_at"]), "left")
+        return moved.withColumn(column, F.coalesce("of_to", column)).drop("of_path", "of_at", "of_to")
+
+    left = hops
+    while left:
+        if left & 1:
+            now = follow(now, at, jumps)
+        if left := left >> 1:
+            jumps = stage(follow(jumps, "to", jumps), "references")
+    ends = objects.select(F.col("path").alias("of_path"), F.col("obj_id").alias("of_at"), F.col("value").alias(value))
+    found = now.join(ends, (now["path"] == ends["of_path"]) & (now[at] == ends["of_at"]) & (now[at] != 0), "left").drop("of_path", "of_at", at)
+    return found.withColumnRenamed(value, "value")
 
 
 # -- text and colours as columns

@@ -19,7 +19,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from quire.plans import documents  # noqa: F401
+    from quire.plans import documents, native  # noqa: F401
 
 
 def queries() -> dict:
