@@ -24,8 +24,8 @@ def look_up(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, f
     spans = ranges.select(*of, long(first).alias("low"), long(last).alias("high"), F.struct(F.col(order).alias("place"), F.struct(*rest).alias("row")).alias("range")).filter("low <= high")
     spans = spans.groupBy(*named, "low", "high").agg(F.max("range").alias("range"))
     # as bits: a range of length n needs as many as n - 1 has; longer than 2^62 is one bucket or two of the top level
-    length = F.col("high") - F.col("low")
-    level = F.when(length < 0, 63).when(length == 0, 0).otherwise(F.length(F.bin(length)))
+    length = F.try_subtract(F.col("high"), F.col("low"))
+    level = F.when(length.isNull(), 63).when(length == 0, 0).otherwise(F.length(F.bin(length)))
     spans = spans.withColumn("level", level.cast("int"))
     levels = [r[0] for r in spans.select("level").distinct().collect()]
     bucket = lambda c: F.expr(f"shiftright({c}, level)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.operators import curves, ranges, scans, segments, trees
+from quire.functions.document import ACTIVE_KEYS, ACTIVE_TYPES
+from quire.operators import curves, nested, predictors, ranges, scans, segments, trees
 from quire.registry import query
 from quire.session import table
 
@@ -173,3 +174,43 @@ def colour_functions(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.concat(F.lit("T"), F.col("l_suppkey") % 5).alias("fn"), (F.col("l_extendedprice") / 50000 - 0.2).alias("x"))
     found = curves.evaluate(lines, functions, one.unionByName(two), samples)
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.round(F.col("out")[0], 6).alias("ink"), F.round(F.col("out")[1], 6).alias("paper"))
+
+
+NODES = 300
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'URI' WHEN 'assistant' THEN 'JavaScript' ELSE 'Launch' END AS s, string_split(text, ' ') AS words FROM conversations),
+    n AS (SELECT conv_id, turn, unnest([0, 1, 2 + len(words)]) AS ord, unnest([['Action', s], []::VARCHAR[], ['URI']]) AS found FROM t
+        UNION ALL SELECT conv_id, turn, 1 + generate_subscripts(words, 1), unnest(list_transform(words, lambda w: CASE WHEN length(w) % 3 = 0 THEN ['Launch'] ELSE []::VARCHAR[] END || CASE WHEN length(w) % 2 = 0 THEN ['JS'] ELSE []::VARCHAR[] END)) FROM t),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, ord) AS number, count(*) OVER (PARTITION BY conv_id) AS nodes FROM n),
+    f AS (SELECT conv_id, nodes, unnest(found) AS name FROM p WHERE number <= {NODES})
+    SELECT conv_id, name, count(*) AS n, nodes, least(nodes, {NODES}) AS scanned, nodes > {NODES} AS truncated FROM f GROUP BY ALL"""
+)
+def nested_audit(spark, sf_dir):
+    """Actions in nested values made of conversations: names at the first nodes of each, and which were cut short."""
+    turns = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "URI").when(F.col("role") == "assistant", "JavaScript").otherwise("Launch")
+    word = lambda w: F.struct(F.when(F.length(w) % 3 == 0, "Launch").alias("Subtype"), F.when(F.length(w) % 2 == 0, w).alias("JS"))
+    value = F.struct(F.lit("Action").alias("Type"), kind.alias("S"), F.transform(F.split("text", " "), word).alias("Kids"), F.struct(F.concat(F.lit("#"), F.col("turn").cast("string")).alias("URI")).alias("Next"))
+    values = turns.select("conv_id", "turn", F.try_parse_json(F.to_json(value)).alias("value"))
+    sums, whole = nested.audit(values, ["conv_id"], ["turn"], "value", sorted(ACTIVE_KEYS), sorted(ACTIVE_TYPES), NODES)
+    return sums.join(whole, "conv_id")
+
+
+@query(
+    """WITH RECURSIVE g AS (SELECT vec_id, list_transform(embedding, lambda x: floor(least(greatest((x::DOUBLE + 1) * 127.5, 0), 255))::BIGINT) AS g FROM embeddings),
+    s AS (SELECT vec_id, g, 0::BIGINT AS i, []::BIGINT[] AS done FROM g
+        UNION ALL SELECT vec_id, g, i + 1, done || [(g[i + 1] + CASE f WHEN 1 THEN l WHEN 2 THEN u WHEN 3 THEN (l + u) // 2 WHEN 4 THEN
+            CASE WHEN abs(u - c) <= abs(l - c) AND abs(u - c) <= abs(l + u - 2 * c) THEN l WHEN abs(l - c) <= abs(l + u - 2 * c) THEN u ELSE c END ELSE 0 END) % 256]
+        FROM (SELECT *, (vec_id + (i // 8) * (i // 8)) % 5 AS f, CASE WHEN i % 8 >= 2 THEN done[i - 1] ELSE 0 END AS l, CASE WHEN i >= 8 THEN done[i - 7] ELSE 0 END AS u,
+            CASE WHEN i >= 8 AND i % 8 >= 2 THEN done[i - 9] ELSE 0 END AS c FROM s) WHERE i < len(g))
+    SELECT vec_id, row, array_to_string(done[row * 8 + 1 : least(row * 8 + 8, len(g))], ',') AS data FROM (SELECT vec_id, done, g, unnest(range((len(g) + 7) // 8)) AS row FROM s WHERE i = len(g))"""
+)
+def predictor_rows(spark, sf_dir):
+    """Vectors as eight rows of eight bytes in two colours, under all five filters in turn."""
+    gray = F.transform("embedding", lambda x: F.floor(F.least(F.greatest((x.cast("double") + 1) * 127.5, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", gray.alias("g")).filter("size(g) > 0")
+    rows = rows.select("vec_id", "g", F.explode(F.sequence(F.lit(0), F.floor((F.size("g") - 1) / 8).cast("int"))).alias("row"))
+    rows = rows.select("vec_id", F.col("row").cast("long").alias("row"), F.slice("g", F.col("row") * 8 + 1, 8).alias("data"), ((F.col("vec_id") + F.col("row") * F.col("row")) % 5).alias("filter"))
+    return predictors.png(rows, ["vec_id"], 2).select("vec_id", "row", F.concat_ws(",", F.col("data").cast("array<string>")).alias("data"))
