@@ -6,24 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def look_up(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, first: str, last: str, order: str, to: str = "found") -> DataFrame:
-    """values with `to`, a struct of the range with the same keys, first <= value <= last and the greatest order; null if none has it.
+def meetings(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, first: str, last: str) -> DataFrame:
+    """key_0 ..., value, low, high, range: every distinct value with every range that holds it; range is a struct of ranges' other columns.
 
     A range stands at the level whose buckets are the smallest not below its
     length, so it touches at most two of them, however long it is; a value is asked
     for once at each level that there is (at most 64), whatever its number of
     rows. So the join is by equality of bucket, with the range test beside it.
-    Ranges without an end or ending before they begin have no values; of ranges
-    with equal ends only the last takes part. Null keys are a key; null values
-    find nothing; of equal orders the range that is the greatest as a struct holds.
+    Ranges without an end or ending before they begin have no values; null keys
+    are a key; null values meet nothing.
     """
     rest = [c for c in ranges.columns if c not in keys]
     named = [f"key_{i}" for i in range(len(keys))]
     long = lambda c: F.col(c).cast("long")
     of = [F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]
-    spans = ranges.select(*of, long(first).alias("low"), long(last).alias("high"), F.struct(F.col(order).alias("place"), F.struct(*rest).alias("row")).alias("range")).filter("low <= high")
-    spans = spans.groupBy(*named, "low", "high").agg(F.max("range").alias("range"))
-    # as bits: a range of length n needs as many as n - 1 has; longer than 2^62 is one bucket or two of the top level
+    spans = ranges.select(*of, long(first).alias("low"), long(last).alias("high"), F.struct(*rest).alias("range")).filter("low <= high")
+    # as bits: a range of length n needs as many as n - 1 has; one that overflows is two buckets of the top level
     length = F.try_subtract(F.col("high"), F.col("low"))
     level = F.when(length.isNull(), 63).when(length == 0, 0).otherwise(F.length(F.bin(length)))
     spans = spans.withColumn("level", level.cast("int"))
@@ -35,9 +33,21 @@ def look_up(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, f
     cond = (asked["level"] == spans["level"]) & (asked["bucket"] == spans["bucket"]) & F.col("value").between(F.col("low"), F.col("high"))
     for n in named:
         cond = cond & asked[n].eqNullSafe(spans[n])
-    met = asked.join(spans, cond).select(*(asked[n].alias(n) for n in named), "value", "range")
-    best = met.groupBy(*named, "value").agg(F.max("range").alias("best"))
-    on = long(value).eqNullSafe(best["value"])
+    return asked.join(spans, cond).select(*(asked[n].alias(n) for n in named), "value", "low", "high", "range")
+
+
+def look_up(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, first: str, last: str, order: str, to: str = "found") -> DataFrame:
+    """values with `to`, a struct of the range with the same keys, first <= value <= last and the greatest order; null if none has it.
+
+    Of ranges with equal ends only the last takes part in the join (`meetings`);
+    of equal orders the range that is the greatest as a struct holds.
+    """
+    rest = [c for c in ranges.columns if c not in keys]
+    named = [f"key_{i}" for i in range(len(keys))]
+    last_of = ranges.groupBy(*keys, F.col(first).cast("long").alias("low"), F.col(last).cast("long").alias("high")).agg(F.max(F.struct(F.col(order).alias("place"), F.struct(*rest).alias("row"))).alias("best"))
+    met = meetings(values, last_of, keys, value, "low", "high")
+    best = met.groupBy(*named, "value").agg(F.max("range.best").alias("best"))
+    on = F.col(value).cast("long").eqNullSafe(best["value"])
     for k, n in zip(keys, named, strict=True):
         on = on & values[k].eqNullSafe(best[n])
     return values.join(best, on, "left").select(*(values[c] for c in values.columns), F.col("best.row").alias(to))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.document import ACTIVE_KEYS, ACTIVE_TYPES
-from quire.operators import curves, nested, predictors, ranges, scans, segments, trees
+from quire.operators import curves, nested, predictors, ranges, scans, segments, shapes, trees
 from quire.registry import query
 from quire.session import table
 
@@ -214,3 +214,23 @@ def predictor_rows(spark, sf_dir):
     rows = rows.select("vec_id", "g", F.explode(F.sequence(F.lit(0), F.floor((F.size("g") - 1) / 8).cast("int"))).alias("row"))
     rows = rows.select("vec_id", F.col("row").cast("long").alias("row"), F.slice("g", F.col("row") * 8 + 1, 8).alias("data"), ((F.col("vec_id") + F.col("row") * F.col("row")) % 5).alias("filter"))
     return predictors.png(rows, ["vec_id"], 2).select("vec_id", "row", F.concat_ws(",", F.col("data").cast("array<string>")).alias("data"))
+
+
+@query(
+    """WITH v AS (SELECT c_custkey // 8 AS shape, c_custkey AS i, (((c_custkey // 8) * 7919) % 1000 + (c_custkey * 53) % 41 - 20)::DOUBLE AS x, (((c_custkey // 8) * 6007) % 1000 + (c_custkey * 29) % 37 - 18)::DOUBLE AS y FROM customer),
+    e AS (SELECT shape, x AS x0, y AS y0, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM v WINDOW w AS (PARTITION BY shape ORDER BY i)),
+    b AS (SELECT shape, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM v GROUP BY shape),
+    p AS (SELECT row_number() OVER () AS id, l_orderkey, ((l_orderkey * 7919 + l_linenumber * 104729) % 1000)::DOUBLE AS x, ((l_partkey * 6007 + l_suppkey * 31) % 1000)::DOUBLE AS y FROM lineitem),
+    m AS (SELECT p.*, b.shape FROM p JOIN b ON p.x BETWEEN b.a AND b.b AND p.y BETWEEN b.c AND b.d),
+    w AS (SELECT m.id, m.shape, any_value(m.l_orderkey) AS l_orderkey, sum(CASE WHEN y0 <= y AND y < y1 AND (x1 - x0) * (y - y0) - (x - x0) * (y1 - y0) > 0 THEN 1 WHEN y1 <= y AND y < y0 AND (x1 - x0) * (y - y0) - (x - x0) * (y1 - y0) < 0 THEN -1 ELSE 0 END) AS n
+          FROM m JOIN e ON e.shape = m.shape GROUP BY m.id, m.shape)
+    SELECT shape, count(*) AS nonzero, count_if(abs(n) % 2 = 1)::BIGINT AS even_odd, sum(n)::BIGINT AS windings, max(abs(n))::BIGINT AS most, sum(l_orderkey)::BIGINT AS orders FROM w WHERE n <> 0 GROUP BY shape"""
+)
+def points_in_shapes(spark, sf_dir):
+    """Lines as points in polygons of customers, which cross themselves, so that the two rules differ."""
+    place = F.floor(F.col("c_custkey") / 8)
+    corners = table(spark, sf_dir, "customer").select(place.alias("shape"), "c_custkey", (place * 7919 % 1000 + F.col("c_custkey") * 53 % 41 - 20).alias("x"), (place * 6007 % 1000 + F.col("c_custkey") * 29 % 37 - 18).alias("y"))
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 1000).alias("x"), ((F.col("l_partkey") * 6007 + F.col("l_suppkey") * 31) % 1000).alias("y"))
+    found = shapes.winding(points, shapes.closed(corners, ["shape"], [], "c_custkey"), [], ["shape"])
+    odd = F.abs("winding") % 2 == 1
+    return found.groupBy("shape").agg(F.count(F.lit(1)).alias("nonzero"), F.count_if(odd).alias("even_odd"), F.sum("winding").alias("windings"), F.max(F.abs("winding")).alias("most"), F.sum("l_orderkey").alias("orders"))
