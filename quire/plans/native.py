@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.document import ACTIVE_KEYS, ACTIVE_TYPES
-from quire.operators import curves, nested, predictors, ranges, scans, segments, shapes, trees
+from quire.operators import curves, merging, nested, predictors, ranges, scans, segments, shapes, trees
 from quire.registry import query
-from quire.session import table
+from quire.session import scratch_path, stage, table
 
 DEPTH, KIDS = 10, 1400
 _LINKS = f"""region_of AS (SELECT n_nationkey, 'R' || n_regionkey AS tree FROM nation),
@@ -234,3 +234,46 @@ def points_in_shapes(spark, sf_dir):
     found = shapes.winding(points, shapes.closed(corners, ["shape"], [], "c_custkey"), [], ["shape"])
     odd = F.abs("winding") % 2 == 1
     return found.groupBy("shape").agg(F.count(F.lit(1)).alias("nonzero"), F.count_if(odd).alias("even_odd"), F.sum("winding").alias("windings"), F.max(F.abs("winding")).alias("most"), F.sum("l_orderkey").alias("orders"))
+
+
+_FILES = """d AS (SELECT printf('%012d', doc_id) AS path, sha256(coalesce(text, '')) AS sha256, 1 + length(coalesce(text, '')) // 1000 AS pages, length(coalesce(text, '')) AS size FROM documents),
+    o AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY path) = 1 AS first FROM d),
+    p AS (SELECT path, size, unnest(range(1, pages + 1)) AS page_no FROM o WHERE first),
+    f AS (SELECT path, page_no, 'size:' || size // 5000 AS feature, 1 AS n FROM p UNION ALL SELECT path, page_no, 'length:' || size % 13, page_no FROM p UNION ALL SELECT path, page_no, 'operator:' || (size + page_no) % 11, size FROM p)"""
+
+
+def _census_state(spark, sf_dir):
+    """documents as files of pages with features, added in three batches."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    files = docs.select(F.format_string("%012d", "doc_id").alias("path"), F.sha2(text.cast("binary"), 256).alias("sha256"), (1 + F.floor(F.length(text) / 1000)).alias("pages"), F.length(text).alias("size"), (F.col("doc_id") % 3).alias("batch"))
+    files, state = stage(files, "census-input"), scratch_path(spark, "census-state")
+    for batch in (2, 0, 1):  # the batch whose paths come last comes first
+        some = files.filter(F.col("batch") == batch)
+        page = some.select("path", "size", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("page_no"))
+        pair = lambda name, n: F.struct(name.alias("feature"), n.cast("long").alias("n"))
+        found = F.array(pair(F.concat(F.lit("size:"), F.floor(F.col("size") / 5000)), F.lit(1)), pair(F.concat(F.lit("length:"), F.col("size") % 13), F.col("page_no")), pair(F.concat(F.lit("operator:"), (F.col("size") + F.col("page_no")) % 11), F.col("size")))
+        features = page.select("path", "page_no", F.explode(found).alias("f")).select("path", "page_no", "f.*")
+        merging.add(state, str(batch), some.select("path", "sha256", "pages", F.lit(None).cast("string").alias("error")), features)
+    return state
+
+
+@query(
+    f"""WITH {_FILES}, c AS (SELECT feature, count(DISTINCT path) AS documents, count(DISTINCT (path, page_no)) AS pages, sum(n)::BIGINT AS occurrences FROM f GROUP BY feature),
+    e AS (SELECT feature, path, page_no, row_number() OVER (PARTITION BY feature ORDER BY path, page_no) AS r FROM (SELECT DISTINCT feature, path, page_no FROM f)),
+    x AS (SELECT feature, string_agg(path::BIGINT || ':' || page_no, ',' ORDER BY r) AS examples FROM e WHERE r <= 5 GROUP BY feature)
+    SELECT feature, CASE WHEN feature LIKE 'operator:%' THEN 'unsupported' ELSE 'observed' END AS status, documents, pages, occurrences, examples FROM c JOIN x USING (feature) WHERE feature IS NOT NULL"""
+)
+def merged_census(spark, sf_dir):
+    """The census of three batches, merged from their states; copies are found across batches."""
+    found = merging.summary(spark, _census_state(spark, sf_dir))
+    said = F.concat_ws(",", F.transform("examples", lambda e: F.concat_ws(":", e["file"].cast("long").cast("string"), e["page"].cast("string"))))
+    return found.select("feature", "status", "documents", "pages", "occurrences", said.alias("examples"))
+
+
+@query(f"WITH {_FILES} SELECT split_part(feature, ':', 1) AS kind, count(DISTINCT path) AS documents FROM f WHERE feature NOT IN ('operator:0', 'operator:1', 'operator:2', 'operator:3', 'operator:4', 'operator:5', 'length:0') GROUP BY kind")
+def documents_by_kind(spark, sf_dir):
+    """In how many documents features of each kind occur, by joining bitmaps."""
+    left_out = [*(f"operator:{i}" for i in range(6)), "length:0"]
+    kind = F.when(~F.col("feature").isin(left_out), F.substring_index("feature", ":", 1))
+    return merging.documents_by(spark, _census_state(spark, sf_dir), kind, "kind").filter("kind is not null")
