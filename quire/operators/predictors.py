@@ -28,7 +28,7 @@ def png(rows: DataFrame, keys: list[str], colours: int, row: str = "row", data:
     chain. A chain that goes on with Up only is a sum along its first row and then
     sums down each column, in windows over pixels: no task needs more than a row,
     or a column of a chain. Only chains with Average or Paeth, whose pixels wait for
-    those to the left and above, are folded row by row, a chain in one task.
+    those to the left and above, or with rows of several lengths are folded row by row, a chain in one task.
     """
     chain, code, first, folded, place = (unused(rows, n) for n in ("chain", "code", "first", "folded", "place"))
     least = rows.groupBy(*keys).agg(F.min(row).alias(first))
@@ -41,7 +41,8 @@ def png(rows: DataFrame, keys: list[str], colours: int, row: str = "row", data:
     marked = marked.withColumn(code, F.when((F.col(row) == F.col(first)) & (known == UP), NONE).otherwise(known))
     begins = (F.col(row) == F.col(first)) | F.col(code).isin(NONE, SUB)
     chained = stage(running_sums(marked, keys, [row], **{chain: begins.cast("long")}).drop(first), "predictor-chains")
-    hard = chained.filter(F.col(code).isin(AVERAGE, PAETH)).select(*(F.col(c).alias(f"of_{i}") for i, c in enumerate([*keys, chain]))).distinct()
+    whole = chained.groupBy(*(F.col(c).alias(f"of_{i}") for i, c in enumerate([*keys, chain])))
+    hard = whole.agg(F.max(F.col(code).isin(AVERAGE, PAETH)).alias("waits"), (F.min(F.size(data)) != F.max(F.size(data))).alias("ragged")).filter("waits or ragged")
     pairs = [(c, f"of_{i}") for i, c in enumerate([*keys, chain])]
     folds = chained.join(hard, same(chained, hard, pairs), "left_semi")
     sums = chained.join(hard, same(chained, hard, pairs), "left_anti")

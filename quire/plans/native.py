@@ -9,6 +9,7 @@ from quire.functions.document import ACTIVE_KEYS, ACTIVE_TYPES
 from quire.operators import curves, merging, nested, predictors, ranges, scans, segments, shapes, trees
 from quire.registry import query
 from quire.session import scratch_path, stage, table
+from quire.sources import records
 
 DEPTH, KIDS = 10, 1400
 _LINKS = f"""region_of AS (SELECT n_nationkey, 'R' || n_regionkey AS tree FROM nation),
@@ -277,3 +278,15 @@ def documents_by_kind(spark, sf_dir):
     left_out = [*(f"operator:{i}" for i in range(6)), "length:0"]
     kind = F.when(~F.col("feature").isin(left_out), F.substring_index("feature", ":", 1))
     return merging.documents_by(spark, _census_state(spark, sf_dir), kind, "kind").filter("kind is not null")
+
+
+@query("SELECT o_orderkey AS obj_id, (o_custkey % 10)::INTEGER AS generation, o_orderstatus AS status, length(' << /Status /' || o_orderstatus || ' /Priority (' || o_orderpriority || ') >> ')::INTEGER AS bytes FROM orders")
+def object_records(spark, sf_dir):
+    """Orders as objects of large files, each written twice, read in splits of 32 kB; the last of each id holds."""
+    path = scratch_path(spark, "objects")
+    line = F.concat(F.format_string("%d 0 obj null endobj %d %d obj << /Status /", "o_orderkey", "o_orderkey", F.col("o_custkey") % 10), "o_orderstatus", F.lit(" /Priority ("), "o_orderpriority", F.lit(") >> endobj"))
+    table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
+    records.register(spark)
+    found = records.last_objects(spark.read.format(records.NAME).option("split", 32 << 10).load(path))
+    body = F.col("body").cast("string")
+    return found.select("obj_id", "generation", F.regexp_extract(body, "/Status /(\\w+)", 1).alias("status"), F.length(body).alias("bytes"))

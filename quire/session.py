@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +37,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a folder of our own is
-    made and named in the context.
+    Only where it is unset on a single machine, as in tests, a folder of our own
+    is made and named in the context; on a cluster each machine would have its own.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quire-shared-")
         sc.setCheckpointDir(path)
     return path
@@ -50,9 +55,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
 
 
+_FOLDERS: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def staged_folders() -> Iterator[list[str]]:
+    """The folders that are staged inside, for `remove`."""
+    folders: list[str] = []
+    token = _FOLDERS.set(folders)
+    try:
+        yield folders
+    finally:
+        _FOLDERS.reset(token)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders wherever Spark reaches them."""
+    sc = spark.sparkContext
+    for folder in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    folders = _FOLDERS.get()
+    if folders is not None:
+        folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
