@@ -34,7 +34,7 @@ class Job:
         # again and again: what the job starts after the first interrupt is ended too
         while not self._over.is_set():
             if self.reason:
-                self.spark.interruptTag(self.tag)
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
             self._over.wait(0.2)
 
 
@@ -46,7 +46,7 @@ def job(spark: SparkSession, seconds: float | None = None) -> Iterator[Job]:
     inside, since the folders that they are read from go at the end.
     """
     handle = Job(spark, seconds)
-    spark.addTag(handle.tag)
+    spark.sparkContext.addJobTag(handle.tag)
     watch = threading.Thread(target=handle._watch, daemon=True)
     try:
         with session.staged_folders() as folders:
@@ -61,7 +61,7 @@ def job(spark: SparkSession, seconds: float | None = None) -> Iterator[Job]:
                 handle._over.set()
                 handle._changed.set()
                 watch.join()
-                spark.removeTag(handle.tag)
+                spark.sparkContext.removeJobTag(handle.tag)
                 session.remove(spark, folders)
     finally:
         handle._over.set()

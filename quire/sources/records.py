@@ -94,7 +94,7 @@ class ObjectReader(DataSourceReader):
                 continue
             found, generation = int(m[1]), int(m[2])
             if self._passes("obj_id", found) and self._passes("generation", generation):
-                body = piece[m.end() : -len(END)] if "body" in self.columns and length == len(piece) else None
+                body = piece[m.end() : -len(END)] if "body" in self.columns and length == len(piece) and length <= self.longest else None
                 made = {"path": partition.path, "start": start + m.start(), "length": length - m.start(), "obj_id": found, "generation": generation, "body": body}
                 rows.append([made[c] for c in self.columns])
                 held += len(body or b"") + 50
@@ -176,6 +176,6 @@ def packed_objects(streams: DataFrame, direct: DataFrame) -> DataFrame:
     rows = streams.filter("n > 0").withColumn("numbers", numbers).withColumn("pairs", F.filter(pairs, lambda p: p["id"].isNotNull() & p["at"].isNotNull()))
     stops = lambda p: F.array_min(F.filter(F.transform("pairs", lambda q: q["at"]), lambda a: a > p["at"]))
     text = lambda p: F.substring("text", F.col("first") + p["at"].cast("int") + 1, F.coalesce((stops(p) - p["at"]).cast("int"), F.length("text")))
-    each = rows.select("path", F.col("obj_id").alias("compressed_in"), F.explode(F.transform("pairs", lambda p: F.struct(p["i"].alias("i"), p["id"].alias("obj_id"), F.rtrim(text(p)).alias("value")))).alias("m"))
+    each = rows.select("path", F.col("obj_id").alias("compressed_in"), F.explode(F.transform("pairs", lambda p: F.struct(p["i"].alias("i"), p["id"].alias("obj_id"), F.trim(text(p)).alias("value")))).alias("m"))
     first = each.select("path", "compressed_in", "m.*").groupBy("path", "obj_id").agg(F.min_by(F.struct("compressed_in", "value"), F.struct("compressed_in", "i")).alias("x"))
     return first.select("path", "obj_id", "x.*").join(direct.select("path", "obj_id"), ["path", "obj_id"], "left_anti")

@@ -25,7 +25,7 @@ def test_nested_audit(spark):
             return [made(depth - 1) for _ in range(rng.randrange(4))]
         return {k: made(depth - 1) for k in rng.sample(["Type", "Subtype", "S", "JS", "URI", "Kids", "é"], rng.randrange(5))}
 
-    deep = json.loads("[" * 130 + "]" * 130)
+    deep = json.loads("[" * 20 + "]" * 20)
     values = [(d, i, json.dumps(made(5))) for d in ("a", None, "hot", "hot") for i in range(25)] + [("bad", 0, "{"), ("bad", 1, None), ("bad", 2, "3"), ("deep", 0, json.dumps(deep))]
     values = [(d, n, j) for n, (d, _, j) in enumerate(values)]
     names, types, most = ["JS", "URI"], ["Action", "URI"], 40
@@ -38,7 +38,7 @@ def test_nested_audit(spark):
         todo = [(root, 0)]
         while todo:
             v, depth = todo.pop()
-            if not isinstance(v, (dict, list)) or depth > nested.DEEPEST:
+            if not isinstance(v, (dict, list)) or depth > 7:
                 continue
             counts[d] = counts.get(d, 0) + 1
             if isinstance(v, dict) and counts[d] <= most:
@@ -46,7 +46,7 @@ def test_nested_audit(spark):
                     want[d, n] = want.get((d, n), 0) + 1
             todo += [(x, depth + 1) for x in reversed([v[k] for k in sorted(v, key=str.encode)] if isinstance(v, dict) else v)]
     df = spark.createDataFrame(values, "doc string, at int, value string").withColumn("value", F.try_parse_json("value"))
-    sums, whole = nested.audit(df, ["doc"], ["at"], "value", names, types, most)
+    sums, whole = nested.audit(df, ["doc"], ["at"], "value", names, types, most, 7)
     assert {(r.doc, r["name"]): r.n for r in sums.collect()} == want
     assert {r.doc: (r.nodes, r.scanned, r.truncated) for r in whole.collect()} == {d: (n, min(n, most), n > most or d == "deep") for d, n in counts.items()}
 
@@ -148,7 +148,7 @@ def test_one_file_in_many_splits(spark, tmp_path):
     rng = random.Random(2)
     parts = [b"%PDF-1.4\n% 9 9 obj no end before the next\n"]
     for i in range(400):
-        body = bytes(rng.choices(b"abc 0123456789 objendob\n\x00\xff", k=rng.choice([0, 3, 50, 3000 if i % 50 == 0 else 20])))
+        body = bytes(rng.choices(b"abc 0123456789 objendob\n\x00\xff", k=3000 if i % 50 == 7 else rng.choice([0, 3, 50, 20])))
         parts.append(b"%d %d obj%bendobj%b" % (rng.randrange(60), rng.randrange(3), b"\n" + body.replace(b"endobj", b"") + b"\n", rng.choice([b"", b"\n", b" junk endobj endobj 5 obj "])))
     whole = b"".join(parts) + b"7 0 obj without an end"
     (tmp_path / "in").mkdir()
@@ -169,26 +169,27 @@ def test_one_file_in_many_splits(spark, tmp_path):
     assert sorted(r.start for r in few.collect()) == sorted(s for s, _, i, _, _ in want if i == 5 and s > 100)
     last = {r.obj_id: bytes(r.body) for r in records.last_objects(spark.read.format(records.NAME).option("split", 500).load(str(tmp_path / "in"))).collect()}
     assert last == {i: b for _, _, i, _, b in want}
-    long = spark.read.format(records.NAME).option("split", 700).option("longest", 100).load(str(tmp_path / "in")).collect()
+    long = spark.read.format(records.NAME).option("split", 700).option("longest", 40).load(str(tmp_path / "in")).collect()
     assert sorted((r.start, r.length) for r in long) == sorted((s, n) for s, n, *_ in want) and any(r.body is None for r in long)
 
 
 def test_packed_objects(spark):
-    texts = [("f", 9, 12, 3, "1 0 2 4 1 8 <<A>> (x) [1]"), ("f", 8, 10, 2, "3 0 2 5   /Name late"), ("f", 7, 4, 0, ""), ("f", 6, 2, 2, "x y z"), ("f", 5, 3, 5, "4 0 12")]
+    texts = [("f", 9, 13, 3, "1 0 2 6 1 10 <<A>> (x) [1]"), ("f", 8, 8, 2, "3 0 2 5 /Name late"), ("f", 7, 4, 0, ""), ("f", 6, 2, 2, "x y z"), ("f", 5, 3, 5, "4 0 12")]
     direct = spark.createDataFrame([("f", 3), ("g", 1)], "path string, obj_id long")
     got = records.packed_objects(spark.createDataFrame(texts, "path string, obj_id long, first int, n int, text string"), direct).collect()
-    assert {r.obj_id: (r.compressed_in, r.value) for r in got} == {1: (9, "<<A>>"[:4]), 2: (8, " late"), 4: (5, " 12")} or {r.obj_id for r in got} == {1, 2, 4}
+    assert {r.obj_id: (r.compressed_in, r.value) for r in got} == {1: (9, "<<A>>"), 2: (8, "late"), 4: (5, "12")}
 
 
 def test_a_deadline_ends_a_job_and_its_folders(spark):
+    session.stage(spark.range(1000), "warm")
     folders = []
     began = time.time()
-    with pytest.raises(control.Cancelled, match="took more than 3 seconds"), control.job(spark, 3):
+    with pytest.raises(control.Cancelled, match="took more than 8 seconds"), control.job(spark, 8):
         staged = session.stage(spark.range(1000), "cancelled")
         folders += session._FOLDERS.get()
         assert staged.count() == 1000 and os.path.isdir(folders[0].removeprefix("file://"))
         spark.range(0, 10**13, 1, 8).selectExpr("sum(id % 7)").collect()
-    assert time.time() - began < 30 and not os.path.exists(folders[0].removeprefix("file://")) and not spark.getTags()
+    assert time.time() - began < 60 and not os.path.exists(folders[0].removeprefix("file://")) and not spark.sparkContext.getJobTags()
     with control.job(spark, 60) as handle:
         assert session.stage(spark.range(10), "fine").count() == 10 and handle.reason is None
     with pytest.raises(control.Cancelled, match="by hand"), control.job(spark) as handle:
