@@ -83,7 +83,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     folders = _FOLDERS.get()
     if folders is not None:
         folders.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
