@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -19,12 +22,22 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 BATCH_KEY, DEFAULT_BATCH, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
+def _hand_back() -> None:
+    """Freed memory that the C library and Arrow hold, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, and keep their batches small.
 
     On a cluster the package is shipped with --py-files or installed on the
-    nodes, and the path is then merely unused.
+    nodes, and the path is then merely unused. What earlier queries freed in this
+    process is handed back to the system.
     """
+    _hand_back()
     if spark.conf.get(BATCH_KEY) == DEFAULT_BATCH:
         spark.conf.set(BATCH_KEY, BATCH)
     env = spark.sparkContext.environment
