@@ -34,6 +34,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,11 +91,10 @@ def weak_spans(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str,
     taken = sorted((a, b) for _, a, b in strong)
     for kind, pattern in (("ident", _IDENT), ("endpoint", _ENDPOINT), ("value", _VALUE)):
         new = []
-        starts = [a for a, _ in taken]
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         for m in pattern.finditer(text):
             i = bisect_left(starts, m.end())
-            # taken spans do not overlap much, so the last few before the end decide
-            if any(b > m.start() for _, b in taken[max(0, i - 4) : i]):
+            if i and reach[i - 1] > m.start():
                 continue
             if kind != "value" or _mixed(m[0]):
                 new.append((kind, *m.span()))

@@ -105,7 +105,7 @@ class _Memory(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        n = self[word] = self.automaton.count(word.decode()) or -1
+        n = self[word] = self.automaton.count(word.decode("utf-8", "replace")) or -1
         return n
 
 

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import content_sort, divergence, repair
+from quire.llm import content_sort, divergence, repair, secrets, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -156,3 +156,15 @@ def test_conversation_repair_sql(spark):
     conversations = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").toPandas()
     rows = list(conversations[["conv_id", "turn", "role", "text"]].itertuples(index=False, name=None))
     assert {r[0]: tuple(r[1:]) for r in duckdb.sql(repair.SQL).fetchall()} == brute(rows)
+
+
+def test_weak_spans_stay_out_of_long_strong_ones():
+    text = "token=" + "".join(f"AKIA{i}ABCDEFGHIJKLMNOP+" for i in range(6)) + "xY3zW9qL7mN2pR8sT4vK see key"
+    _, found = secrets.base_spans(text), secrets.weak_spans(text, secrets.base_spans(text))
+    strong = [(a, b) for _, a, b in secrets.base_spans(text)]
+    assert len(strong) >= 7 and not [f for f in found if any(f[1] < b and a < f[2] for a, b in strong)]
+
+
+def test_a_word_of_invalid_bytes_is_counted():
+    memory = tokens._Memory(tokens.Automaton(["a", "b", "\ufffd"], tokens.MARK))
+    assert memory[b"a\xff\xfeb"] != 0
