@@ -13,6 +13,10 @@ from quire.llm import mixing, ngram_join, pieces, secrets, toxicity
 from quire.session import prepare, stage, table, unused
 
 
+#: Copies whose places the mix sends to all tasks, at most: some 12 MB.
+DEALT = 500_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; every other row stays as it is."""
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
@@ -47,9 +51,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often (0, 1 or 2 times) as the mix takes most of it.
 
-    Each file holds its rows by the mix's shards, in the shards' locally shuffled
-    order: the first copy where its first part was dealt to, the second where its
-    last was. Dealing whole files to shards would shuffle all texts once more.
+    Rows are dealt to the mix's shards, in the shards' locally shuffled order: the
+    first copy where its first part was dealt to, the second where its last was. A
+    file has whole ranges of places of shards, in order. Up to DEALT copies, of
+    which only keys and places count, are sent to the texts, so that these travel
+    once, to their shards; more are joined to them by shuffle first.
     """
     prepare(spark)
     keyed, row = with_rows(docs, "pipeline-mix-rows")
@@ -59,8 +65,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mixed.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     first = F.when(F.col("copy") == 1, F.element_at("spans", 1)).otherwise(F.element_at("spans", -1))
     copies = copies.select(F.col("key_of_row").alias(row), F.struct(first["shard"].alias("shard"), first["place"].alias("place")).alias(unused(keyed, "dealt")))
-    placed = keyed.join(copies, row).select(F.struct(*docs.columns).alias("doc"), f"{unused(keyed, 'dealt')}.*")
-    return placed.sortWithinPartitions("shard", "place").select("doc.*")
+    copies = stage(copies, "pipeline-mix-copies")
+    copies = F.broadcast(copies) if copies.count() <= DEALT else copies
+    placed = keyed.join(copies, row).select(F.struct(*docs.columns).alias("doc"), f"{unused(keyed, 'dealt')}.*", F.col(row).alias("key"))
+    return mixing.local_order(placed, "key").select("doc.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
