@@ -87,3 +87,26 @@ def test_rows_without_ids_or_with_repeated_ones(spark):
 
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0
+
+
+def test_the_mix_is_dealt_to_its_shards(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    keyed = docs.withColumn("key_of_row", F.monotonically_increasing_id())
+    want, places = [], {}
+    for r in mixing.mix(keyed, carry=("key_of_row",)).filter("taken > 0").collect():
+        for copy in range(int(r.taken / r["size"] + 0.5)):
+            span = r.spans[-1] if copy else r.spans[0]
+            places[r.doc_id, copy] = (span.shard, span.place)
+            want.append(r.doc_id)
+    pipeline.mix_sources(spark, docs, SF).withColumn("part", F.spark_partition_id()).write.parquet(str(tmp_path / "mixed"))
+    files, got, where = sorted((tmp_path / "mixed").glob("*.parquet")), [], {}
+    for f in files:
+        ids = [r.doc_id for r in spark.read.parquet(str(f)).select("doc_id").collect()]
+        got += ids
+        at = (-1, 0)
+        for d in ids:
+            # of the copies' places the next in order
+            at = min(p for p in (places.get((d, 0)), places.get((d, 1))) if p and p >= at)
+            where.setdefault((at[0], (at[1] % 2**64) >> 56), set()).add(f.name)
+    assert sorted(got) == sorted(want) and {s for s, _ in where} == set(range(8))
+    assert all(len(names) == 1 for names in where.values())
