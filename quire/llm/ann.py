@@ -1,12 +1,19 @@
 """Approximate nearest neighbours by learned partitions of a neighbour graph.
 
 Offline, on a bounded sample of distinct vectors (SAMPLE, by hash): a k-nearest
-neighbour graph is cut into PARTS parts of equal size by recursive spectral
-bisection at the median with swaps that lower the cut, and a small network
-learns to predict a vector's part. Every vector is then indexed under its most
-probable part, and a query is compared exactly with all vectors of its most
-probable parts. How many parts a query visits is set on the sample, so that at
-least COVER of the sample's own neighbours lie in them.
+neighbour graph is cut into parts of equal size by recursive spectral bisection
+at the median with swaps that lower the cut, and a small network learns to
+predict a vector's part. There are PARTS of them, and twice as many for each
+doubling of the rows beyond PART_ROWS a part, up to MOST_PARTS, which is what the
+sample can tell apart. Every vector is then indexed under its most probable part,
+and a query is compared exactly with all vectors of its most probable parts. How
+many parts a query visits is set on sampled vectors that the network was not
+trained on, so that at least COVER of their neighbours lie in them; a query goes
+on to further parts until these hold k other vectors.
+
+Vectors of different dimensions have no distance and never meet. The DIMS most
+common dimensions have a router each; vectors of any other dimension are one
+part, which is searched whole, in chunks.
 
 Equal vectors are one entry with their smallest ids: no more than k + 1 of them
 can be among a query's nearest, so nothing is lost, and a vector that a third
@@ -14,9 +21,8 @@ of all rows share is no hot spot. Parts are cut into chunks, and queries of a
 part into blocks, so a task holds one chunk and one block.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite
-components, or have no vec_id take no part, nor do those of another dimension
-than the most common one; rows that repeat both id and vector count once; ties
-go to the smaller vec_id; other columns are ignored.
+components, or have no vec_id take no part; rows that repeat both id and vector
+count once; ties go to the smaller vec_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +36,22 @@ from pyspark.sql.window import Window
 from quire.session import stage
 
 SAMPLE, PARTS, GRAPH_K, HIDDEN, EPOCHS, COVER = 6144, 32, 10, 128, 60, 0.975
+#: Distinct vectors from which parts grow, parts at most, sampled vectors of which one is held out, dimensions with a router.
+PART_ROWS, MOST_PARTS, HELD, DIMS = 16_384, 256, 5, 8
+#: Sizes of parts that are sent to all tasks, at most; more (of very many dimensions) are joined by shuffle.
+SIZES_SENT = 100_000
 CHUNK, QUERY_BLOCK = 8192, 1024
 
 
-def neighbours(x: np.ndarray, k: int) -> np.ndarray:
-    """Each row's k nearest other rows, found in blocks."""
-    out = np.zeros((len(x), k), np.int64)
+def neighbours(x: np.ndarray, k: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The k nearest rows of x for each row of `of`, found in blocks; without `of`, each row's nearest other rows."""
+    asked = x if of is None else of
+    out = np.zeros((len(asked), k), np.int64)
     sq = (x * x).sum(1)
-    for low in range(0, len(x), 512):
-        d = sq[None, :] - 2 * x[low : low + 512] @ x.T
-        d[np.arange(len(d)), np.arange(low, low + len(d))] = np.inf
+    for low in range(0, len(asked), 512):
+        d = sq[None, :] - 2 * asked[low : low + 512] @ x.T
+        if of is None:
+            d[np.arange(len(d)), np.arange(low, low + len(d))] = np.inf
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
         out[low : low + 512] = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
     return out
@@ -93,7 +105,7 @@ class Router:
 
     def __init__(self, x: np.ndarray, part: np.ndarray, near: np.ndarray, parts: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        self.parts, self.mean, self.scale = parts, x.mean(0), x.std(0) + 1e-9
         # the goal for a vector is the share of each part among itself and its neighbours
         goal = np.zeros((len(x), parts))
         np.add.at(goal, (np.arange(len(x))[:, None], part[near]), 1.0)
@@ -125,52 +137,94 @@ class Router:
         return np.argsort(-(h @ self.p[2] + self.p[3]), axis=1, kind="stable")
 
 
+def parts_of(rows: int) -> int:
+    """How many parts so many distinct vectors are cut into."""
+    parts = PARTS
+    while parts < MOST_PARTS and rows > parts * PART_ROWS:
+        parts *= 2
+    return parts
+
+
 def fit(x: np.ndarray, parts: int = PARTS, k: int = GRAPH_K, cover: float = COVER) -> tuple[Router | None, int]:
-    """The router and how many parts to visit; None where the sample is too small to cut."""
-    if len(x) < max(4 * parts, k + 2):
+    """The router and how many parts to visit; None where the sample is too small to cut.
+
+    Every HELD-th vector is held out of training, and the visits are set on these.
+    """
+    held = np.arange(len(x)) % HELD == HELD - 1
+    if len(x) - held.sum() < max(4 * parts, k + 2):
         return None, 1
-    near = neighbours(x, k)
-    router = Router(x, balanced_parts(near, parts), near, parts)
-    order = router.order(x)
+    known, asked = x[~held], x[held]
+    near = neighbours(known, k)
+    router = Router(known, balanced_parts(near, parts), near, parts)
+    homes, order = router.order(known)[:, 0], router.order(asked)
     rank = np.zeros_like(order)
     np.put_along_axis(rank, order, np.arange(parts)[None, :], axis=1)
-    # where each neighbour's own part stands in the vector's list
-    stands = np.sort(np.take_along_axis(rank, order[near, 0], axis=1).reshape(-1))
+    # where each neighbour's own part stands in the held-out vector's list
+    stands = np.sort(np.take_along_axis(rank, homes[neighbours(known, k, asked)], axis=1).reshape(-1))
     return router, int(stands[min(len(stands) - 1, int(np.ceil(cover * len(stands))))]) + 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (doubles) of the rows that take part, each once."""
+    """vec_id, v (doubles), dim of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v")).filter("vec_id is not null and v is not null").filter(fine)
     # -0.0 and 0.0 are one number
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0))
-    top = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1)
-    return rows.join(F.broadcast(top.select("dim")), F.size("v") == F.col("dim")).drop("dim")
+    return rows.withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumn("dim", F.size("v"))
+
+
+def fitted(distinct: DataFrame) -> dict[int, tuple[Router, int]]:
+    """Router and visits of the most common dimensions, those whose sample is large enough to be cut."""
+    found = {}
+    common = distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(DIMS).collect()
+    for dim, n in common:
+        sample = distinct.filter(F.col("dim") == dim).orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()
+        x = np.array(sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
+        router, visits = fit(x, parts_of(n))
+        if router is not None:
+            found[dim] = (router, visits)
+    return found
 
 
-def _route(router, visits: int, name: str):
+def _visited(order: np.ndarray, held: np.ndarray, visits: int, least: int) -> list[list[int]]:
+    """The first `visits` parts of each order, and further ones until `least` entries are held."""
+    enough = (np.cumsum(held[order], axis=1) < least).sum(1) + 1
+    return [row[: max(visits, n)].tolist() for row, n in zip(order, enough, strict=True)]
+
+
+def _route(routers, held: dict[int, np.ndarray] | None = None, least: int = 0):
+    """Adds `parts`: a vector's home, or with `held` (entries in each part of a dimension) the parts that a query visits."""
+
     def run(batches):
-        r = router.value
         for b in batches:
-            x = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, -1)
-            parts = r.order(x)[:, :visits] if r is not None and len(x) else np.zeros((len(x), 1), np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts.tolist(), pa.list_(pa.int32()))], [*b.schema.names, name])
+            vectors = b.column("v").to_pylist()
+            parts: list = [[0]] * len(vectors)
+            by_dim: dict[int, list[int]] = {}
+            for i, v in enumerate(vectors):
+                by_dim.setdefault(len(v), []).append(i)
+            for dim, at in by_dim.items():
+                if dim not in routers.value:
+                    continue
+                router, visits = routers.value[dim]
+                order = router.order(np.array([vectors[i] for i in at], float))
+                own = order[:, :1].tolist() if held is None else _visited(order, held[dim], visits, least)
+                for i, p in zip(at, own, strict=True):
+                    parts[i] = p
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.list_(pa.int32()))], [*b.schema.names, "parts"])
 
     return run
 
 
 def _compare(k: int):
-    """Rows sorted by (part, chunk, block, kind): a chunk's vectors, then a block's queries."""
+    """Rows sorted by (dim, part, chunk, block, kind): a chunk's vectors, then a block's queries."""
 
     def run(batches):
         now, ids, made, x = None, [], [], None
         out: list[tuple] = []
         for b in batches:
-            for part, chunk, block, kind, h1, h2, who, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (part, chunk, block) != now:
-                    now, ids, made, x = (part, chunk, block), [], [], None
+            for dim, part, chunk, block, kind, h1, h2, who, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (dim, part, chunk, block) != now:
+                    now, ids, made, x = (dim, part, chunk, block), [], [], None
                 if kind == 0:
                     ids.append(who)
                     made.append(np.array(v))
@@ -206,27 +260,30 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     rows = stage(rows.dropDuplicates(["vec_id", "h1", "h2"]), "vectors")
     by_id = Window.partitionBy("h1", "h2").orderBy("vec_id")
     few = rows.withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= k + 1)
-    distinct = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("v", "vec_id").alias("v"))
+    distinct = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("v", "vec_id").alias("v"), F.min("dim").alias("dim"))
     distinct = stage(distinct, "distinct-vectors")
-    sample = distinct.orderBy("h1", "h2").limit(SAMPLE).select("v").collect()
-    x = np.array([r["v"] for r in sample], float)
-    router, visits = fit(x)
-    router = spark.sparkContext.broadcast(router)
-    kinds = "h1 long, h2 long, ids array<bigint>, v array<double>, parts array<int>"
-    homes = distinct.select("h1", "h2", "ids", "v").mapInArrow(_route(router, 1, "parts"), kinds)
+    models = fitted(distinct)
+    routers = spark.sparkContext.broadcast(models)
+    kinds = "h1 long, h2 long, ids array<bigint>, v array<double>, dim int, parts array<int>"
+    homes = distinct.select("h1", "h2", "ids", "v", "dim").mapInArrow(_route(routers), kinds)
     homes = stage(homes.withColumn("part", F.element_at("parts", 1)).drop("parts"), "homes")
+    counts = homes.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("n"))
+    held = {dim: np.zeros(router.parts, np.int64) for dim, (router, _) in models.items()}
+    for dim, part, n in counts.filter(F.col("dim").isin(list(held))).collect():  # DIMS times MOST_PARTS rows at most
+        held[dim][part] = n
     queries = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", F.array("vec_id").alias("ids"), "v")
-    visiting = stage(asked.mapInArrow(_route(router, visits, "parts"), kinds).withColumn("part", F.explode("parts")).drop("parts"), "visits")
-    size = homes.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    size = size.join(visiting.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks")), "part")
-    size = F.broadcast(size)  # one row for each part
+    asked = queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", F.array("vec_id").alias("ids"), "v", "dim")
+    visiting = stage(asked.mapInArrow(_route(routers, held, k + 1), kinds).withColumn("part", F.explode("parts")).drop("parts"), "visits")
+    size = counts.select("dim", "part", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    size = size.join(visiting.groupBy("dim", "part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks")), ["dim", "part"])
+    size = stage(size, "part-sizes")
+    size = F.broadcast(size) if size.count() <= SIZES_SENT else size
     place = F.xxhash64(F.lit(2), "h1", "h2")
-    left = homes.join(size, "part").withColumn("chunk", F.pmod(place, "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = visiting.join(size, "part").withColumn("block", F.pmod(place, "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cols = ["part", "chunk", "block", "kind", "h1", "h2", "ids", "v"]
+    left = homes.join(size, ["dim", "part"]).withColumn("chunk", F.pmod(place, "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    right = visiting.join(size, ["dim", "part"]).withColumn("block", F.pmod(place, "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    cols = ["dim", "part", "chunk", "block", "kind", "h1", "h2", "ids", "v"]
     meet = left.withColumn("kind", F.lit(0)).select(cols).unionByName(right.withColumn("kind", F.lit(1)).select(cols))
-    meet = meet.repartition(n_shuffle, "part", "chunk", "block").sortWithinPartitions("part", "chunk", "block", "kind")
+    meet = meet.repartition(n_shuffle, "dim", "part", "chunk", "block").sortWithinPartitions("dim", "part", "chunk", "block", "kind")
     near = meet.mapInArrow(_compare(k + 1), "h1 long, h2 long, score double, vec_id long")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("score", "vec_id"))).filter(F.col("r") <= k + 1).drop("r")
     found = queries.select(F.col("vec_id").alias("query_id"), "h1", "h2").join(best, ["h1", "h2"]).filter("vec_id <> query_id")
