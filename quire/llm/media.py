@@ -3,8 +3,9 @@
 `wrap` stores bytes losslessly as 8-bit gray samples of a raw video track: one
 row of 64 samples is one line, a frame has up to 64 lines, every eighth frame
 is marked as a keyframe, and several frames make a chunk. `walk` reads any ISO
-file: it goes through nested boxes, decodes the sample tables, and returns
-codec, duration and the byte ranges of keyframes without touching payloads.
+file: it goes through nested boxes, decodes the sample tables and the runs of
+fragments, and returns codec, duration and the byte ranges of keyframes without
+touching payloads.
 
 Defined results: null text is empty; empty text is stored as 64 zero bytes;
 equal texts give equal bytes and features; broken containers give an error and
@@ -26,6 +27,8 @@ LINE, FRAME_LINES, KEY_EVERY, CHUNK_FRAMES, TIMESCALE, FRAME_TICKS = 64, 64, 8,
 FRAME = LINE * FRAME_LINES
 #: Boxes that hold boxes, and how many bytes stand before those.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"meta": 4}
+#: The bit of a sample's flags that says it is no keyframe.
+NOT_SYNC = 0x10000
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -176,12 +179,65 @@ def samples(data, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return offsets, sizes, sync, ticks
 
 
+def _after(data, at: int, flags: int, bits: dict[int, str]) -> tuple[dict[int, int], int]:
+    """The optional fields that `flags` says stand at `at`, by their bit, and where they end."""
+    found = {}
+    for bit, kind in bits.items():
+        if flags & bit:
+            found[bit] = struct.unpack_from(kind, data, at)[0]
+            at += struct.calcsize(kind)
+    return found, at
+
+
+def _run(data, at: int, base: int, follows: int, usual: tuple[int, int, int], room: int):
+    """Offsets, sizes, sync flags and ticks of one run of samples; `usual` are duration, size and flags where it has none."""
+    flags, n = struct.unpack_from(">II", data, at)
+    given, at = _after(data, at + 8, flags, {0x1: ">i", 0x4: ">I"})
+    fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if n > room:
+        raise Broken("more samples than bytes")
+    table = _ints(data, at, n * len(fields)).reshape(n, len(fields))
+    ticks, sizes, marks = (table[:, fields.index(bit)] if bit in fields else np.full(n, value) for bit, value in zip((0x100, 0x200, 0x400), usual, strict=True))
+    sync = marks & NOT_SYNC == 0
+    if 0x4 in given and n:
+        sync[0] = given[0x4] & NOT_SYNC == 0
+    first = base + given[0x1] if 0x1 in given else follows
+    offsets = first + np.cumsum(sizes) - sizes
+    if n and (int(offsets.min()) < 0 or int((offsets + sizes).max()) > len(data)):
+        raise Broken("a sample lies beyond the file")
+    return offsets, sizes, sync, int(ticks.sum())
+
+
+def _add_fragments(data, fragments: list[dict], tracks: dict[int, dict], defaults: dict[int, tuple[int, int, int]]) -> None:
+    """Append the fragments' samples to their tracks, one run after the other."""
+    room, moof, follows = len(data), None, 0
+    for f in fragments:
+        if f["head"] is None:
+            raise Broken("a track fragment has no header")
+        flags, number = struct.unpack_from(">II", data, f["head"])
+        given, _ = _after(data, f["head"] + 8, flags, {0x1: ">Q", 0x2: ">I", 0x8: ">I", 0x10: ">I", 0x20: ">I"})
+        # without a base of its own: the moof, or the end of the data of the fragment before in the same moof
+        base = given.get(0x1, f["moof"] if flags & 0x20000 or f["moof"] != moof else follows)
+        moof, follows = f["moof"], base
+        usual = tuple(given.get(bit, value) for bit, value in zip((0x8, 0x10, 0x20), defaults.get(number, (0, 0, 0)), strict=True))
+        for at in f["runs"]:
+            offsets, sizes, sync, ticks = _run(data, at, base, follows, usual, room)
+            room -= len(sizes)
+            if len(sizes):
+                follows = int(offsets[-1] + sizes[-1])
+            if (t := tracks.get(number)) is None:
+                raise Broken(f"a fragment of track {number}, which is not there")
+            t["ticks"] += ticks
+            t["n_samples"] += len(sizes)
+            t["parts"].append((offsets, sizes, np.stack([offsets[sync], offsets[sync] + sizes[sync]], 1)))
+
+
 def walk(data) -> dict:
     """brand, duration, tracks and error of an ISO file; payloads are not read."""
     out = {"brand": None, "timescale": None, "duration": None, "tracks": [], "n_boxes": 0, "error": None}
     try:
         tables: dict | None = None
-        found = []
+        found, fragments, defaults, by_number, moof = [], [], {}, {}, 0
         for kind, _, a, b in boxes(data):
             out["n_boxes"] += 1
             if kind == b"ftyp" and b - a >= 4:
@@ -191,6 +247,21 @@ def walk(data) -> dict:
             elif kind == b"trak":
                 tables = {}
                 found.append(tables)
+            elif kind == b"trex":
+                number, _, *usual = struct.unpack_from(">5I", data, a + 4)
+                defaults[number] = tuple(usual)
+            elif kind == b"moof":
+                # its header has 8 bytes, or 16 with a long size
+                tables, moof = None, a - (8 if data[a - 4 : a] == kind else 16)
+            elif kind == b"traf":
+                fragments.append({"moof": moof, "head": None, "runs": []})
+            elif kind in (b"tfhd", b"trun"):
+                if not fragments:
+                    raise Broken(f"box {kind!r} outside a fragment")
+                if kind == b"tfhd":
+                    fragments[-1]["head"] = a
+                else:
+                    fragments[-1]["runs"].append(a)
             elif tables is not None:
                 tables.setdefault(kind, (a, b))
         for t in found:
@@ -209,10 +280,16 @@ def walk(data) -> dict:
             if b"mdhd" in t:
                 at = t[b"mdhd"][0]
                 track["timescale"] = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
-            track |= {"offsets": offsets, "sizes": sizes, "keyframes": np.stack([offsets[sync], offsets[sync] + sizes[sync]], 1)}
+            if b"tkhd" in t:
+                at = t[b"tkhd"][0]
+                by_number[struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]] = track
+            track["parts"] = [(offsets, sizes, np.stack([offsets[sync], offsets[sync] + sizes[sync]], 1))]
             out["tracks"].append(track)
+        _add_fragments(data, fragments, by_number, defaults)
     except (Broken, struct.error, IndexError, OverflowError, MemoryError) as e:
         out["error"] = str(e) or type(e).__name__
+    for track in out["tracks"]:
+        track["offsets"], track["sizes"], track["keyframes"] = map(np.concatenate, zip(*track.pop("parts"), strict=True))
     return out
 
 
@@ -227,7 +304,7 @@ def feature(found: dict) -> str:
     for t in found["tracks"]:
         keys = ",".join(f"{a}-{b}" for a, b in t["keyframes"].tolist())
         seconds = t["ticks"] / t["timescale"] if t["timescale"] else 0.0
-        parts.append(f"{t['handler']}/{t['codec'].strip()} {t['width']}x{t['height']} {seconds:.3f}s {t['n_samples']} samples keys {keys}")
+        parts.append(f"{t['handler']}/{(t['codec'] or '').strip()} {t['width']}x{t['height']} {seconds:.3f}s {t['n_samples']} samples keys {keys}")
     return "; ".join(parts) + (f" error {found['error']}" if found["error"] else "")
 
 
