@@ -12,8 +12,8 @@ shard's share).
 
 Defined results: null text has size 1 and checksum 0, like empty text apart
 from nothing; null doc_id is a key like any other; repeated rows are counted
-once with their number and given out again at the end, so a third of all rows
-may be the same row; an empty table gives no rows; other columns are ignored
+once with their number and given out again at the end, COPIES at a time over
+all tasks, so a third of all rows may be the same row; an empty table gives no rows; other columns are ignored
 by `assign` and kept by `with_shard`.
 """
 
@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from quire.session import scratch_path
 
 SLOTS = 8192
+#: Copies of a row that are given out at a time.
+COPIES = 1000
 
 
 def size_of(text: Column) -> Column:
@@ -138,7 +140,9 @@ def assign(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str |
         rows.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .withColumnRenamed("slot", "virtual_slot")
         .join(F.broadcast(places), "virtual_slot")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+        .repartition("doc_id", "text_crc32", "some")
+        .withColumn("copy", F.explode(F.sequence(F.col("some") * COPIES, F.least((F.col("some") + 1) * COPIES, F.col("n")) - 1)))
         .select(
             "doc_id",
             "size",
