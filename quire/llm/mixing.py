@@ -56,10 +56,12 @@ def _sizes(batches):
 
 
 def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, key (a hash of the row), size (words), and columns to carry (long), which are hashed too."""
-    row = (F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    """doc_id (of its own type, integers as long), source, key (a hash of the row), size (words), and columns to carry (long), which are hashed too."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = "bigint" if kind in ("tinyint", "smallint", "int", "void") else kind
+    row = (F.col("doc_id").cast(kind), F.col("source").cast("string"), F.col("text").cast("string"))
     flat = docs.select(*row, F.xxhash64(*row, *carry).alias("key"), *carry)
-    return flat.mapInArrow(_sizes, ", ".join(["doc_id long, source string, size long, key long", *(f"{c} long" for c in carry)]))
+    return flat.mapInArrow(_sizes, ", ".join([f"doc_id {kind}, source string, size long, key long", *(f"{c} long" for c in carry)]))
 
 
 def targets(totals: list[tuple[str | None, int]], share: float = 1.5, most: float = 2.0) -> list[dict]:
