@@ -4,14 +4,16 @@ import hashlib
 import heapq
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import content_sort, divergence, repair, secrets, tokens
+from quire.llm import ann, content_sort, divergence, media, mixing, repair, secrets, sharding, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -168,3 +170,115 @@ def test_weak_spans_stay_out_of_long_strong_ones():
 def test_a_word_of_invalid_bytes_is_counted():
     memory = tokens._Memory(tokens.Automaton(["a", "b", "\ufffd"], tokens.MARK))
     assert memory[b"a\xff\xfeb"] != 0
+
+
+def _clusters(n, dim=16, seed=3, kinds=40):
+    rng = np.random.default_rng(seed)
+    return (rng.standard_normal((kinds, dim))[rng.integers(0, kinds, n)] + 0.1 * rng.standard_normal((n, dim))).astype(np.float32)
+
+
+def _nearest(rows, query, k=10):
+    """Brute force over (id, vector) of the query's dimension."""
+    v = dict(rows)[query].astype(float)
+    return sorted((float(np.sqrt(((w.astype(float) - v) ** 2).sum())), i) for i, w in rows if i != query and len(w) == len(v))[:k]
+
+
+def test_neighbours_of_every_dimension_and_full_lists(spark, monkeypatch):
+    """Clusters smaller than k, a second common dimension, and one so rare that it has no router."""
+    wide, narrow, rare = _clusters(400, kinds=80), _clusters(300, dim=5, seed=4), _clusters(6, dim=3, seed=5)
+    rows = [*enumerate(wide), *((1000 + i, v) for i, v in enumerate(narrow)), *((2000 + i, v) for i, v in enumerate(rare))]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>").withColumn("dim", F.lit("clash"))
+    visits = {}
+    fit = ann.fit
+
+    def narrow_fit(x, parts, **kwargs):
+        router, _ = fit(x, parts, cover=0.2)
+        visits[x.shape[1]] = router is not None
+        return router, 1
+
+    monkeypatch.setattr(ann, "fit", narrow_fit)
+    got = defaultdict(list)
+    for r in ann.op7(df).collect():
+        got[r.query_id].append((r["rank"], r.score, r.vec_id))
+    assert visits == {16: True, 5: True, 3: False}
+    assert sorted(got) == [i for i, _ in rows if i % 100 == 0]
+    for query, found in got.items():
+        want = _nearest(rows, query)
+        assert [r for r, *_ in sorted(found)] == list(range(1, len(want) + 1))
+        if query >= 2000:
+            assert [(s, i) for _, s, i in sorted(found)] == want
+
+
+def test_neighbours_far_beyond_the_sample(spark, monkeypatch):
+    """Ten times as many rows as the sample has: the router has not seen most of them, and visits few parts."""
+    monkeypatch.setattr(ann, "SAMPLE", 600)
+    seen = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    rows = list(enumerate(_clusters(6000)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.op7(df).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = sum(len(got[q] & {i for _, i in _nearest(rows, q)}) for q in range(0, 6000, 100))
+    assert hits >= 0.95 * 600 and seen[0][1] < ann.PARTS / 3
+
+
+def test_parts_grow_with_rows():
+    assert [ann.parts_of(n) for n in (0, 500_000, 600_000, 10**7, 10**12)] == [32, 32, 64, 256, 256]
+
+
+def _b(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def _fragmented(data_offset=None, sizes=(10, 20, 30), number=7):
+    """A track without samples of its own, and a fragment with two runs: sizes in the table, then two samples by the defaults."""
+    stbl = _b(b"stbl", _b(b"stsd", bytes(8), _b(b"avc1", bytes(40))), _b(b"stsz", bytes(12)), _b(b"stts", bytes(8)))
+    mdia = _b(b"mdia", _b(b"mdhd", bytes(12), struct.pack(">I", 1000), bytes(8)), _b(b"hdlr", bytes(8), b"soun", bytes(12)), _b(b"minf", stbl))
+    trak = _b(b"trak", _b(b"tkhd", bytes(12), struct.pack(">I", 7), bytes(64)), mdia)
+    moov = _b(b"moov", trak, _b(b"mvex", _b(b"trex", bytes(4), struct.pack(">5I", 7, 1, 50, 8, 0x10000))))
+    table = b"".join(struct.pack(">II", s, 0 if i == 1 else 0x10000) for i, s in enumerate(sizes))
+
+    def moof(offset):
+        runs = _b(b"trun", struct.pack(">IIiI", 0x605, len(sizes), offset, 0), table), _b(b"trun", struct.pack(">II", 0, 2))
+        return _b(b"moof", _b(b"mfhd", bytes(8)), _b(b"traf", _b(b"tfhd", struct.pack(">II", 0x20000, number)), *runs))
+
+    offset = len(moof(0)) + 8 if data_offset is None else data_offset
+    payload = bytes(range(sum(sizes) + 16))
+    head = _b(b"ftyp", b"iso5", bytes(4)) + moov
+    return head + moof(offset) + _b(b"mdat", payload), payload, len(head) + offset
+
+
+def test_media_fragments():
+    data, payload, at = _fragmented()
+    found = media.walk(data)
+    (track,) = found["tracks"]
+    assert found["error"] is None and track["codec"] == "avc1" and (track["n_samples"], track["ticks"]) == (5, 250)
+    assert media.payload_of(data, track) == payload
+    assert track["keyframes"].tolist() == [[at, at + 10], [at + 10, at + 30]]
+    assert media.feature(found) == f"soun/avc1 0x0 0.250s 5 samples keys {at}-{at + 10},{at + 10}-{at + 30}"
+
+
+@pytest.mark.parametrize("broken", [{"data_offset": 10**6}, {"data_offset": -(10**6)}, {"number": 9}])
+def test_media_broken_fragments(broken):
+    found = media.walk(_fragmented(**broken)[0])
+    assert found["error"] and [t["n_samples"] for t in found["tracks"]] == [0]
+    data = _fragmented()[0]
+    assert media.walk(data.replace(struct.pack(">II", 0, 2), struct.pack(">II", 0, 2**31)))["error"] == "more samples than bytes"
+
+
+def test_sharding_gives_copies_out_in_pieces(spark):
+    df = spark.range(30_000).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text")).union(spark.createDataFrame([(None, None), (2, "")], "doc_id int, text string"))
+    got = sharding.assign(df).toPandas()
+    assert len(got) == 30_002
+    for _, rows in got.groupby("shard"):
+        assert sorted(rows.slot) == list(range(len(rows)))
+
+
+def test_mixing_keeps_ids_of_any_type(spark):
+    rows = [(f"doc-{i}", f"s{i % 3}", "some words " * (1 + i % 5)) for i in range(40)] + [(None, None, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id string, source string, text string")).collect()
+    assert sorted((r.doc_id or "", r["size"]) for r in got) == sorted((i or "", len((t or "").split())) for i, _, t in rows)
+    assert sum(r.taken for r in got) > 0
