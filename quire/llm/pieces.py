@@ -3,14 +3,15 @@
 A text is marked as SentencePiece does (a mark before it and for each space)
 and parted between two characters that never stand side by side in a piece, as
 no piece can cross there; words come apart by this rule, and so does most
-punctuation. Each distinct part goes through the lattice once:
+punctuation. A task puts the distinct words of a stretch of its texts through
+the lattice together, as columns:
 
-1. its substrings are exploded, from each place up to the longest piece that
-   begins with the three characters there,
-2. equi-joined to the piece table (broadcast: a vocabulary has a fixed size),
-3. edges are grouped by part, without another shuffle,
-4. and Spark's aggregate() folds them, in order of their ends, into the best
-   score and last edge for each position, from which the path is read back.
+1. substrings are exploded from each place, a character longer at each step,
+2. and equi-joined to the piece table's prefixes, which leaves the edges,
+3. edges are grouped by their end, a column for each length,
+4. and folded in order of their ends into the best score and last edge for each
+   place, of all words at once, from which the paths are read back; scores
+   begin anew with each part.
 
 This is the best segmentation by the sum of scores, as SentencePiece decodes
 unigram models. A model file of BPE type has ranks for scores, and merges
@@ -20,47 +21,45 @@ merges on some words (measured in the README); decoding gives the same text.
 Of paths with equal scores, the one whose last edge starts earlier holds. A character without a piece is an unknown edge and
 becomes its UTF-8 bytes' pieces, so decoding always gives the text back.
 
-A text holds few distinct rare parts and many frequent ones. At most HOT parts
-that are frequent in a sample of the texts are known to all workers (a bounded
-broadcast), which also remember WORDS whole words made of them; the others'
-pieces are joined to the texts by shuffle, in which texts travel compressed. A
-text that many rows share has no rare part, so its rows only meet, and Spark's
-skew join deals them out.
+Texts don't travel: a task reads its rows, and the only table that all tasks
+have is the vocabulary, which has a fixed size (a broadcast). A text holds few
+rare words and many frequent ones, so a worker remembers WORDS words that it
+has met (of texts that are cut whole, HOT parts); when it has more, it keeps the
+latest texts' alone. That decides only how often a word goes through the lattice.
 
 Defined results: null and empty texts have no pieces; equal texts get equal
 pieces; a part without joints longer than LONGEST characters is cut into parts
 of this length; a text that holds the mark itself decodes to a space there, and
-its round_trip is false; other columns are ignored by `summary` and kept by
+its round_trip is false; bytes that aren't UTF-8 are encoded as U+FFFD, and
+round_trip is false; other columns are ignored by `summary` and kept by
 `encode`, but for one named ids, which is replaced.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import math
+import re
 import zlib
-from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quire.llm.tokens import MARK, MODEL
-from quire.session import stage, unused
-
-#: Parts that workers look up, texts from which these are chosen, words that workers remember, and distinct words and parts that one counts at a time.
-HOT, SAMPLE, WORDS, HELD = 120_000, 20_000, 100_000, 80_000
-#: Parts that workers look up where nothing else needs their memory, as in the query: fewer travel.
-MORE_HOT = 300_000
-#: Distinct parts that a task puts through the lattice, about.
-PARTS = 40_000
+
+#: Parts and words that a worker remembers; of SHORT characters at most.
+HOT, WORDS, SHORT = 100_000, 300_000, 64
 #: Characters in a part, at most.
 LONGEST = 4096
-#: Texts that a worker turns into Python strings at a time.
-SLICE = 250
+#: Bytes of texts that a worker encodes at a time, characters of a text cut whole at a time, and cells (places by lengths) of a lattice.
+SLICE, WINDOW, CELLS = 8_000_000, 1_000_000, 4_000_000
 UNKNOWN_PENALTY, RANK_SHIFT, RANK_COST = 10.0, 10.0, 5.0
 
 
@@ -91,16 +90,9 @@ class Model:
         self.unknown = min(c for _, _, c in rows) - UNKNOWN_PENALTY
         self.joints = frozenset(a + b for s, _, _ in rows for a, b in zip(s, s[1:], strict=False))
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
-
-    def bounds(self, spark: SparkSession) -> DataFrame:
-        """The longest piece by its first three characters; no more rows than pieces."""
-        longest: dict[str, int] = {}
-        for s, _, _ in self.rows:
-            if len(s) > 2:
-                longest[s[:3]] = max(longest.get(s[:3], 0), len(s))
-        return spark.createDataFrame(list(longest.items()), "three string, longest int")
+    def name(self) -> str:
+        """The same for models that encode alike."""
+        return hashlib.sha256(repr((self.rows, self.byte0)).encode()).hexdigest()
 
 
 def model(path: str = MODEL) -> Model:
@@ -112,6 +104,8 @@ class Cutter:
 
     #: Codes of no character, one of which a text won't have, and one that it can't.
     BREAKS = "\uffff\ufffe\ufdd0\ufdd1\ud800"
+    #: Marks that stand together, and what is behind them up to the next.
+    RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
     def __init__(self, joints: frozenset[str]):
         chars = sorted({c for two in joints for c in two})
@@ -129,18 +123,36 @@ class Cutter:
             return []
         return self.cut(MARK + text.replace(" ", MARK))
 
-    def words(self, text: str) -> list[str] | None:
-        """The text's words, each of which is cut by itself with a mark before it; None where the text has to be cut whole."""
-        if not self.by_words or text[0] == " " or "  " in text or MARK in text:
+    def words(self, text: str) -> str | None:
+        """The text's words, with a space between them; each is cut by itself with a mark before it. None where the text has to be cut whole."""
+        if len(text) > WINDOW or not self.by_words:
             return None
-        return text.split(" ")
+        if text[0] == " " or "  " in text or MARK in text:
+            text = " ".join([w[1:] for w in self.RUNS.findall(MARK + text.replace(" ", MARK))])
+        return text if len(text) < LONGEST or max(map(len, text.split(" "))) < LONGEST else None
+
+    def windows(self, text: str):
+        """The text's parts, some of about WINDOW characters at a time."""
+        marked, low = MARK + text.replace(" ", MARK), 0
+        while True:
+            found = self.cut(marked[low : low + WINDOW])
+            if low + WINDOW >= len(marked):
+                yield found
+                return
+            last = found.pop()  # may go on; of a part cut at LONGEST, the next cuts are the same from here
+            low += min(WINDOW, len(marked) - low) - len(last)
+            yield found
+
+    def apart(self, u: np.ndarray) -> np.ndarray:
+        """Of each character but the last, whether a part ends behind it."""
+        i = self.ids[u].astype(np.int32)
+        return ~self.fine[i[:-1] * self.n + i[1:]]
 
     def cut(self, marked: str) -> list[str]:
         apart_by = next(c for c in self.BREAKS if c not in marked)
         how = "surrogatepass" if apart_by == self.BREAKS[-1] else "strict"
         u = np.frombuffer(marked.encode("utf-32-le", how), np.uint32)
-        i = self.ids[u].astype(np.int32)
-        at = np.flatnonzero(~self.fine[i[:-1] * self.n + i[1:]]) + 1
+        at = np.flatnonzero(self.apart(u)) + 1
         ends = np.append(at, len(u))
         lengths = np.diff(ends, prepend=0)
         if int(lengths.max()) > LONGEST:
@@ -148,119 +160,182 @@ class Cutter:
             at = np.sort(np.concatenate((at, *more)))
         return np.insert(u, at, ord(apart_by)).tobytes().decode("utf-32-le", how).split(apart_by)
 
-    def cut_words(self, words: list[str]) -> list[list[str]]:
-        """The parts of each word."""
-        out: list[list[str]] = [[]]
-        for p in self.cut(" ".join([MARK + w for w in words])) if words else ():
-            if p == " ":
-                out.append([])
-            else:
-                out[-1].append(p)
-        return out if words else []
-
 
-def _slices(batches):
-    for b in batches:
-        for low in range(0, b.num_rows, SLICE):
-            yield b.slice(low, SLICE)
-    # idle workers stay beside later stages, so what they have freed goes back to the system where the C library can do that
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+class Lattice:
+    """The piece table by its prefixes, and the best paths of many words at once.
 
-
-def _count_parts(joints):
-    """Words are counted first, and each distinct one is cut once; where marks would run together, the text is cut whole."""
-
-    def run(batches):
-        cutter, words, parts = Cutter(joints), Counter(), Counter()
-
-        def flush():
-            for ps, n in zip(cutter.cut_words(list(words)), words.values(), strict=True):
-                for p in ps:
-                    parts[p] += n
-            words.clear()
-            keys, counts = list(parts), list(parts.values())
-            parts.clear()
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000]), pa.array(counts[i : i + 50_000], pa.int64())], ["part", "n"])
-
-        for b in _slices(batches):
-            for t in b.column("text").to_pylist():
-                if t:
-                    found = cutter.words(t)
-                    if found is None:
-                        parts.update(cutter.parts(t))
-                    else:
-                        words.update(found)
-            if len(words) + len(parts) >= HELD:
-                yield from flush()
-        if words or parts:
-            yield from flush()
-
-    return run
-
-
-def frequent(docs: DataFrame, m: Model, most: int) -> list[str]:
-    """At most `most` parts, the most frequent ones of about SAMPLE texts.
-
-    Which parts these are decides what travels, and nothing of the result.
+    A prefix is a row (longer prefix's number by the shorter one's and a
+    character); those that are pieces have an id and a score.
     """
-    flat = docs.select(F.col("text").cast("string"))
-    share = SAMPLE / max(1, docs.count())
-    few = flat.sample(share, seed=11) if share < 1 else flat
-    counts = few.mapInArrow(_count_parts(m.joints), "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.orderBy(F.desc("n"), "part").limit(most).select("part").toLocalIterator()]
-
-
-def lattice(parts: DataFrame, m: Model) -> DataFrame:
-    """(part, starts, last) of distinct parts: explode, equi-join, group, fold."""
-    spark = parts.sparkSession
-    size = F.char_length("part")
-    starts = parts.select("part", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    starts = starts.join(F.broadcast(m.bounds(spark)), F.expr("substring(part, s + 1, 3)") == F.col("three"), "left")
-    reach = F.least(F.coalesce("longest", F.lit(2)), size - F.col("s"))
-    spans = starts.select("part", "s", F.explode(F.sequence(F.lit(1), reach)).alias("l"))
-    spans = spans.select("part", "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(part, s + 1, l)").alias("sub"))
-    edges = spans.join(F.broadcast(m.table(spark)), F.col("sub") == F.col("piece"), "left").filter("id is not null or e = s + 1")
-    # an unknown edge stands only where no single character's piece does
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(m.unknown)).alias("score"))
-    grouped = edges.groupBy("part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    # best[i]: the best score, last edge's start and id of a path to position i
-    best = F.expr(
-        """aggregate(edges, array(struct(0D as score, 0 as s, 0 as id)), (best, x) ->
-             if(size(best) = x.e,
-                concat(best, array(struct(best[x.s].score + x.score as score, x.s as s, x.id as id))),
-                if(best[x.s].score + x.score > best[x.e].score,
-                   concat(slice(best, 1, x.e), array(struct(best[x.s].score + x.score as score, x.s as s, x.id as id))),
-                   best)))"""
-    )
-    return grouped.select("part", F.transform(best, lambda x: x["s"]).alias("starts"), F.transform(best, lambda x: x["id"]).alias("last"))
-
-
-def path_ids(part: str, starts: list[int], last: list[int], byte0: int) -> list[int]:
-    """The best path's ids, read back from the end; an unknown character is its bytes."""
-    out: list[int] = []
-    at = len(starts) - 1
-    while at:
-        i, s = last[at], starts[at]
-        out += [i] if i >= 0 else [byte0 + b for b in reversed(part[s:at].encode())]
-        at = s
-    return out[::-1]
-
-
-def surfaces(m: Model) -> list[bytes]:
+
+    def __init__(self, m: Model, cutter: Cutter):
+        self.unknown, self.byte0, self.longest, self.cutter = m.unknown, m.byte0, m.longest, cutter
+        rows = m.rows
+        chars = sorted({c for p, _, _ in rows for c in p})
+        self.chars = np.zeros(0x110000, np.int32)
+        self.chars[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.n = len(chars) + 1
+        known = {c: i + 1 for i, c in enumerate(chars)}
+        longer: dict[int, int] = {}
+        ends = []
+        for p, _, _ in rows:
+            at = 0
+            for c in p:
+                at = longer.setdefault(at * self.n + known[c], len(longer) + 1)
+            ends.append(at)
+        keys, to = (np.fromiter(x, np.int64, len(longer)) for x in (longer.keys(), longer.values()))
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], to[order]
+        self.first = np.zeros(self.n, np.int64)
+        self.first[self.keys[self.keys < self.n]] = self.to[self.keys < self.n]
+        self.ids, self.scores = np.full(len(longer) + 1, -1, np.int32), np.zeros(len(longer) + 1)
+        self.ids[ends], self.scores[ends] = [i for _, i, _ in rows], [c for _, _, c in rows]
+
+    def join(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the prefix table has, and the prefixes of these."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        fine = np.flatnonzero(self.keys[at] == key)
+        return fine, self.to[at[fine]]
+
+    def edges(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids by end and longest - length; -inf where there is no edge. u: characters, 0 behind each word."""
+        wide = self.longest
+        score, ids = np.full((len(u), wide), -np.inf), np.full((len(u), wide), -1, np.int32)
+        # an unknown edge stands only where no single character's piece does
+        score[:, -1] = self.unknown
+        start = np.flatnonzero(self.first[u])
+        prefix = self.first[u[start]]
+        for length in range(1, wide + 1):
+            if length > 1:
+                found, prefix = self.join(prefix * self.n + u[start + length - 1])
+                start = start[found]
+            end, piece = start[self.ids[prefix] >= 0] + length, prefix[self.ids[prefix] >= 0]
+            score[end, wide - length], ids[end, wide - length] = self.scores[piece], self.ids[piece]
+        return score, ids
+
+    def paths(self, words: list[str]) -> dict[str, bytes]:
+        """The packed ids of each word's best path. No part in them is longer than LONGEST."""
+        words, out, low = sorted(words, key=len, reverse=True), {}, 0
+        while low < len(words):
+            high = low + max(1, CELLS // self.longest // (len(words[low]) + 1))
+            out.update(self._paths(words[low:high]))
+            low = high
+        return out
+
+    def _paths(self, words: list[str]):
+        codes = np.frombuffer(("\0".join(words) + "\0").encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size + 1) - 1
+        begins, wide = ends - size, self.longest
+        u = self.chars[codes]
+        u[ends] = 0
+        score, ids = self.edges(u)
+        go_on = np.ones(len(u))
+        go_on[1:-1] = ~self.cutter.apart(codes[:-1])
+        best, last, columns = np.zeros(wide + len(u)), np.zeros(len(u), np.int64), np.arange(wide)
+        # longer words come first, so those with a character at a place do; of equal sums the first holds, which is the longest edge's
+        reach = len(words) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))
+        for place, n in enumerate(reach.tolist(), 1):
+            e = begins[:n] + place
+            sums = best[e[:, None] + columns] + score[e]
+            chosen = sums.argmax(1)
+            best[e + wide], last[e] = sums[np.arange(n), chosen] * go_on[e], wide - chosen
+        on = np.zeros(len(u), bool)
+        e, b = ends, begins
+        while len(e):
+            on[e] = True
+            e = e - last[e]
+            e, b = e[e > b], b[e > b]
+        e = np.flatnonzero(on)
+        got = ids[e, wide - last[e]]
+        # an unknown character is its bytes
+        c = np.where(got < 0, codes[e - 1], 0)
+        n = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        flat = np.repeat(got, n)
+        unknown = codes[e - 1][got < 0].tobytes().decode("utf-32-le").encode()
+        flat[flat < 0] = np.frombuffer(unknown, np.uint8).astype(np.int32) + self.byte0
+        upto = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(e, ends, "right")] * 4
+        packed = flat.tobytes()
+        return zip(words, (packed[i:j] for i, j in zip([0, *upto.tolist()], upto.tolist(), strict=False)), strict=True)
+
+
+class Coder:
+    """Texts to packed ids; remembers words and parts between texts."""
+
+    def __init__(self, m: Model, hot: int, most: int):
+        self.cutter = Cutter(m.joints)
+        self.lattice, self.surfaces = Lattice(m, self.cutter), surfaces(m)
+        self.parts, self.words = _Known(self.lattice, hot), _Known(self.lattice, most, MARK)
+
+    def whole(self, text: str) -> bytes:
+        """The ids of a text that is cut whole."""
+        return b"".join([b"".join(self.parts.ids(parts)) for parts in self.cutter.windows(text)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = pa.array([self.cutter.words(t) if t else None for t in texts], pa.string())
+        split = pc.split_pattern(words, " ")
+        met = split.flatten().dictionary_encode()
+        ids = pa.array(self.words.ids(met.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(met.indices)
+        at = np.concatenate(([0], np.cumsum(split.value_lengths().fill_null(0).to_numpy(), dtype=np.int64)))
+        found = _parted(ids, at)
+        return [self.whole(t) if t and not w else x for t, w, x in zip(texts, words.is_valid().to_pylist(), found, strict=True)]
+
+
+class _Known(dict):
+    """Packed ids of words or parts; at most `most` stay, the latest ones where there are more, and no long ones."""
+
+    def __init__(self, lattice: Lattice, most: int, before: str = ""):
+        super().__init__()
+        self.lattice, self.most, self.before = lattice, most, before
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        new = list(dict.fromkeys(w for w in words if w not in self))
+        marked = [self.before + w for w in new]
+        self.update(zip(new, map(self.lattice.paths(marked).__getitem__, marked), strict=True))
+        ids = [self[w] for w in words]
+        if len(self) > self.most:
+            self.clear()
+            self.update((w, x) for w, x in zip(words[: self.most], ids, strict=False) if len(w) <= SHORT)
+        else:
+            for w in new:
+                if len(w) > SHORT:
+                    del self[w]
+        return ids
+
+
+def _parted(values: pa.LargeBinaryArray, at: np.ndarray) -> list[bytes]:
+    """The values from each place to the next, as one each."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset :] if len(values) else np.zeros(1, np.int64)
+    data, upto = values.buffers()[2], offsets[at].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in zip(upto, upto[1:], strict=False)]
+
+
+_CODERS: dict[tuple, Coder] = {}
+
+
+def _coder(name: str, m, hot: int, most: int) -> Coder:
+    """One for each worker process and model."""
+    key = (name, hot, most)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(m.value, hot, most)
+    return _CODERS[key]
+
+
+def surfaces(m: Model) -> pa.LargeBinaryArray:
     """Of each id, the bytes that it stands for; of control ids, none."""
     out = []
     for i, s in enumerate(m.surfaces):
         byte = m.byte0 <= i < m.byte0 + 256
         out.append(bytes([i - m.byte0]) if byte else s.encode() if m.ordinary[i] else b"")
-    return out
+    return pa.array(out, pa.large_binary())
 
 
-def decoded(ids: list[int], out: list[bytes]) -> str:
-    text = b"".join(out[i] for i in ids).decode("utf-8", "replace").replace(MARK, " ")
-    return text[1:] if text.startswith(" ") else text
+def decoded(ids: np.ndarray, sizes: np.ndarray, out: pa.LargeBinaryArray) -> list[bytes]:
+    """The texts of lists of ids, given one after the other, by their sizes."""
+    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    return [x.replace(MARK.encode(), b" ").removeprefix(b" ") for x in _parted(out.take(pa.array(ids)), at)]
 
 
 def decode(encoded: DataFrame, m: Model | None = None, column: str = "ids", to: str = "text") -> DataFrame:
@@ -270,177 +345,71 @@ def decode(encoded: DataFrame, m: Model | None = None, column: str = "ids", to:
 
     def run(batches):
         for b in batches:
-            texts = [None if x is None else decoded(x, out) for x in b.column(column).to_pylist()]
+            lists = b.column(column)
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
+            texts = decoded(lists.flatten().to_numpy(zero_copy_only=False), sizes, out)
+            texts = [t.decode("utf-8", "replace") if x else None for t, x in zip(texts, lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string())], [*names, to])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(names).schema.fields)
     return encoded.select(names).mapInArrow(run, f"{schema}, `{to}` string")
 
 
-def dictionary(parts: DataFrame, m: Model) -> DataFrame:
-    """(part, ids) of distinct parts, ids packed, written to the shared folder."""
-    made, m_byte0 = lattice(parts, m), m.byte0
-
-    def run(batches):
-        for b in batches:
-            parts, starts, last = (b.column(c).to_pylist() for c in ("part", "starts", "last"))
-            ids = [path_ids(p, s, i, m_byte0) for p, s, i in zip(parts, starts, last, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(map(_packed, ids), pa.binary())], ["part", "ids"])
-
-    return stage(made.mapInArrow(run, "part string, ids binary"), "pieces")
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
-
-
-class _Coder(dict):
-    """Looks up texts' parts: an entry is a part's packed ids. Words all of whose parts are known are remembered as a whole."""
-
-    #: Ids are below 2 ** 24, so this never stands among them.
-    APART = b"\xff" * 4
-
-    def __init__(self, hot: dict[str, bytes], joints: frozenset[str]):
-        super().__init__(hot)
-        self[" "] = self.APART
-        self.cutter, self.known, self.rare_ids = Cutter(joints), {}, {}
-
-    def __missing__(self, part: str) -> bytes:
-        return self.rare_ids[part]
-
-    def cut(self, text: str) -> tuple[list[str] | None, list[str]]:
-        """The text's words, and the parts of those not remembered, with a space between words."""
-        words = self.cutter.words(text)
-        if words is None:
-            return None, self.cutter.parts(text)
-        new = [w for w in words if w not in self.known]
-        if len(self.known) < WORDS:
-            for w, ps in zip(new, self.cutter.cut_words(new), strict=True):
-                if all(p in self for p in ps):
-                    self.known[w] = b"".join([self[p] for p in ps])
-            new = [w for w in new if w not in self.known]
-        return words, self.cutter.cut(" ".join([MARK + w for w in new])) if new else []
-
-    def rare(self, parts: list[str]) -> list[str]:
-        """The distinct parts that aren't known, in order of appearance."""
-        return [p for p in dict.fromkeys(parts) if p not in self]
-
-    def ids(self, text: str | None, rare_ids: list[bytes]) -> np.ndarray:
-        """The text's ids, given those of its rare parts."""
-        if not text:
-            return np.zeros(0, np.int32)
-        words, parts = self.cut(text)
-        self.rare_ids = dict(zip(self.rare(parts), rare_ids, strict=True))
-        found = b"".join(map(self.__getitem__, parts))
-        if words is not None:
-            got = list(map(self.known.get, words))
-            new = iter(found.split(self.APART))
-            found = b"".join([next(new) if x is None else x for x in got])
-        return np.frombuffer(found, np.int32)
+def _slices(batches):
+    """(rows, their texts as bytes), of about SLICE bytes."""
+    for b in batches:
+        texts = b.column("text").cast(pa.binary())
+        to = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64) // SLICE
+        bounds = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), b.num_rows]
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            yield b.slice(low, high - low), texts.slice(low, high - low).to_pylist()
+    # idle workers stay beside later stages, so what they have freed goes back to the system where the C library can do that
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
-def _rare_parts(hot, joints):
-    """Texts to (h1, h2, parts): each text's distinct rare parts, in order of appearance; texts without any give no row."""
+def _coded(docs: DataFrame, m: Model, finish, schema) -> DataFrame:
+    """finish(rows, texts, ids, coder) of docs' rows, which are read once and don't travel."""
+    shared, name, hot, most = docs.sparkSession.sparkContext.broadcast(m), m.name(), HOT, WORDS
 
     def run(batches):
-        coder, seen = _Coder(hot.value, joints), set()
-        for b in _slices(batches):
-            out: list[tuple] = []
-            if len(seen) >= HELD:
-                seen.clear()
-            for key, t in zip(zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), strict=True), b.column("text").to_pylist(), strict=True):
-                if t and key not in seen:
-                    seen.add(key)
-                    if parts := coder.rare(coder.cut(t)[1]):
-                        out.append((*key, parts))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h1", "h2", "parts"])
+        coder = _coder(name, shared, hot, most)
+        for b, texts in _slices(batches):
+            yield finish(b, texts, coder.encode([(t or b"").decode("utf-8", "replace") for t in texts]), coder)
 
-    return run
+    return docs.mapInArrow(run, schema)
 
 
-def _compress(batches):
-    """The same batches with texts compressed."""
-    import zstandard
-
-    c = zstandard.ZstdCompressor(level=3)
-    for b in _slices(batches):
-        texts = [None if t is None else c.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
-
-
-def _encoded(hot, joints, rare: str, names: list[str], finish):
-    """Compressed texts and their rare parts' ids, in order of appearance, to finish(batch, texts, ids)."""
-
-    def run(batches):
-        import zstandard
-
-        coder, d = _Coder(hot.value, joints), zstandard.ZstdDecompressor()
-        for b in _slices(batches):
-            texts = [None if t is None else d.decompress(t).decode() for t in b.column("text").to_pylist()]
-            ids = [coder.ids(t, r or ()) for t, r in zip(texts, b.column(rare).to_pylist(), strict=True)]
-            yield finish(b.select(names), texts, ids)
-
-    return run
-
-
-def _coded(docs: DataFrame, m: Model, finish, schema, most: int) -> DataFrame:
-    """finish() of docs' rows, their texts and ids. Texts are read twice (and a sample of them once) and shuffled once, to meet their rare parts."""
-    spark = docs.sparkSession
-    h1, h2, rare = (unused(docs, c) for c in ("h1", "h2", "rare"))
-    text = F.col("text").cast("string")
-    keys = lambda a, b: (F.xxhash64(text).alias(a), F.xxhash64(F.lit(1), text).alias(b))
-    often = frequent(docs, m, most)
-    known = spark.sparkContext.broadcast(dict.fromkeys(often, b""))
-    found = docs.select(text.alias("text"), *keys("h1", "h2")).filter("text <> ''")
-    found = stage(found.mapInArrow(_rare_parts(known, m.joints), "h1 long, h2 long, parts array<string>"), "rare-parts")
-    known.unpersist()
-    often_parts, often = often, spark.createDataFrame([(p,) for p in often], "part string")
-    tasks = 1 + (found.agg(F.sum(F.size("parts"))).first()[0] or 0) // (2 * PARTS) + len(often_parts) // PARTS
-    words = dictionary(found.select(F.explode("parts").alias("part")).unionByName(often).distinct().repartition(tasks, "part"), m)
-    hot = {r[0]: bytes(r[1]) for r in words.join(F.broadcast(often), "part").toLocalIterator()}
-    hot = spark.sparkContext.broadcast(hot)
-    found = found.select("h1", "h2", F.posexplode("parts").alias("place", "part"))
-    found = found.join(words, "part").groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("r"))
-    found = found.select(F.col("h1").alias(f"{h1}_"), F.col("h2").alias(f"{h2}_"), F.transform("r", lambda x: x["ids"]).alias(rare))
-    names = docs.columns
-    keyed = docs.withColumn("text", text).select(*names, *keys(h1, h2))
-    packed = keyed.withColumn("text", F.col("text").cast("binary"))
-    packed = keyed.mapInArrow(_compress, packed.schema)
-    met = packed.join(found, (F.col(h1) == F.col(f"{h1}_")) & (F.col(h2) == F.col(f"{h2}_")), "left").select(*names, rare)
-    return met.mapInArrow(_encoded(hot, m.joints, rare, names, finish), schema)
-
-
-def encode(docs: DataFrame, m: Model | None = None, hot: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, m: Model | None = None) -> DataFrame:
     """docs with `ids`, the piece ids of the text."""
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
 
-    def finish(b, texts, ids):
-        b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-        return b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+    def finish(b, texts, ids, coder):
+        upto = np.cumsum([0, *map(len, ids)]) // 4
+        return b.append_column("ids", pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))))
 
-    return _coded(docs, m or model(), finish, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]), hot or HOT)
+    return _coded(docs, m or model(), finish, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
-def summary(docs: DataFrame, m: Model | None = None, hot: int | None = None) -> DataFrame:
+def summary(docs: DataFrame, m: Model | None = None) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, round_trip of every text's encoding.
 
     ids_crc32: of the ids as 32-bit little-endian numbers. round_trip: whether
     decoding the ids gives the text (null: the empty one).
     """
-    m = m or model()
-    out = surfaces(m)
     docs = docs.select("doc_id", F.col("text").cast("string"))
 
-    def finish(b, texts, ids):
-        fine = [decoded(x.tolist(), out) == (t or "") for t, x in zip(texts, ids, strict=True)]
-        cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(fine, pa.bool_())]
+    def finish(b, texts, ids, coder):
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        back = decoded(np.frombuffer(b"".join(ids), np.int32), sizes, coder.surfaces)
+        fine = [x == (t or b"") for t, x in zip(texts, back, strict=True)]
+        cols = [pa.array(sizes), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(fine, pa.bool_())]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_pieces", "ids_crc32", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _coded(docs, m, finish, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean", hot or HOT)
+    return _coded(docs, m or model(), finish, f"doc_id {kind}, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    return summary(docs, hot=MORE_HOT)
+    return summary(docs)
