@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import stage
+
+STRIDE = 8
+
 
 def meetings(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, first: str, last: str) -> DataFrame:
     """key_0 ..., value, low, high, range: every distinct value with every range that holds it; range is a struct of ranges' other columns.
@@ -36,21 +40,67 @@ def meetings(values: DataFrame, ranges: DataFrame, keys: list[str], value: str,
     return asked.join(spans, cond).select(*(asked[n].alias(n) for n in named), "value", "low", "high", "range")
 
 
+def _blocks(spans: DataFrame, named: list[str]) -> DataFrame:
+    """key_0 ..., level, bucket, number: of each block of 2^level values that a range takes up whole, the greatest number.
+
+    A range is cut where its ends differ first, as bits. What is on the left of the
+    cut is blocks of growing size up to it, what is on the right shrinking ones, at
+    most 126 in all. Ends that a long can't pass are never stepped over.
+    """
+    bit = lambda name, k: F.expr(f"shiftrightunsigned({name}, {k}) & 1L") == 1
+    cut = F.expr("low ^ high")
+    rows = spans.select(*named, "number", "low", "high", F.when(cut == 0, 0).otherwise(F.length(F.bin(cut)) - 1).cast("int").alias("top"))
+    rows = rows.withColumn("mask", F.expr("~shiftleft(-1L, top)"))
+    # how many values less one there are on either side; a side that is a whole block is that block alone
+    rows = rows.withColumn("left", F.expr("~low & mask")).withColumn("right", F.expr("high & mask"))
+    rows = rows.withColumn("s", F.when(F.col("left") != F.col("mask"), F.col("left") + 1)).withColumn("t", F.when(F.col("right") != F.col("mask"), F.col("right") + 1))
+    rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), "top")))
+    whole = F.col("level") == F.col("top")
+    up = F.when(F.col("s").isNull(), F.when(whole, F.expr("shiftright(low, level)"))).when(bit("s", "level"), F.expr("shiftright(low + (s & ~shiftleft(-1L, level)), level)"))
+    down = F.when(F.col("t").isNull(), F.when(whole, F.expr("shiftright(high, level)")))
+    down = down.when(bit("t", "level"), F.expr("shiftright((high & ~mask) + shiftleft(shiftrightunsigned(t, level + 1), level + 1), level)"))
+    rows = rows.select(*named, "number", "level", F.explode(F.array(up, F.when(F.col("low") != F.col("high"), down))).alias("bucket"))
+    return rows.filter("bucket is not null").groupBy(*named, "level", "bucket").agg(F.max("number").alias("number"))
+
+
 def look_up(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, first: str, last: str, order: str, to: str = "found") -> DataFrame:
     """values with `to`, a struct of the range with the same keys, first <= value <= last and the greatest order; null if none has it.
 
-    Of ranges with equal ends only the last takes part in the join (`meetings`);
-    of equal orders the range that is the greatest as a struct holds.
+    Of equal orders the range that is the greatest as a struct holds. Ranges are
+    numbered in that order, so that sums and joins carry one number, and cut into
+    whole blocks (`_blocks`), of which the greatest number is kept: a value in a
+    thousand ranges costs no more than one in a single range. Blocks are handed
+    down STRIDE levels at a time, from those of many values to the values that
+    are asked for, so that a block, however large, meets at most 2^STRIDE rows.
     """
     rest = [c for c in ranges.columns if c not in keys]
     named = [f"key_{i}" for i in range(len(keys))]
-    last_of = ranges.groupBy(*keys, F.col(first).cast("long").alias("low"), F.col(last).cast("long").alias("high")).agg(F.max(F.struct(F.col(order).alias("place"), F.struct(*rest).alias("row"))).alias("best"))
-    met = meetings(values, last_of, keys, value, "low", "high")
-    best = met.groupBy(*named, "value").agg(F.max("range.best").alias("best"))
-    on = F.col(value).cast("long").eqNullSafe(best["value"])
-    for k, n in zip(keys, named, strict=True):
-        on = on & values[k].eqNullSafe(best[n])
-    return values.join(best, on, "left").select(*(values[c] for c in values.columns), F.col("best.row").alias(to))
+    of = [F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]
+    spans = ranges.select(*of, F.col(first).cast("long").alias("low"), F.col(last).cast("long").alias("high"), F.col(order).alias("place"), F.struct(*rest).alias("row")).filter("low <= high")
+    spans = spans.repartitionByRange("place", "row").sortWithinPartitions("place", "row")
+    spans = stage(spans.select(*named, "low", "high", "row", F.monotonically_increasing_id().alias("number")), "ranges-numbered")
+    blocks = stage(_blocks(spans, named), "ranges-blocks")
+    levels = sorted(r[0] for r in blocks.select("level").distinct().collect())
+    asked = stage(values.select(*of, F.col(value).cast("long").alias("value")).filter("value is not null").distinct(), "ranges-asked")
+    best = asked.select(*named, F.col("value").alias("chunk"), F.lit(None).cast("long").alias("number")).limit(0)
+    highest = max(levels, default=0) // STRIDE * STRIDE
+    for base in range(highest, -1, -STRIDE):
+        above, top = best.select(*named, F.lit(base + STRIDE).alias("level"), F.col("chunk").alias("bucket"), "number"), base + STRIDE
+        here = blocks.filter(F.col("level").between(base, top - 1)).unionByName(above).withColumnsRenamed({n: f"of_{n}" for n in [*named, "level", "bucket"]})
+        chunks = asked.select(*named, F.expr(f"shiftright(value, {base})").alias("chunk"))
+        chunks = chunks.distinct() if base else chunks
+        tried = chunks.withColumn("level", F.explode(F.array(*(F.lit(x) for x in levels if base <= x < top), *([F.lit(top)] if base < highest else [])).cast("array<int>")))
+        tried = tried.withColumn("bucket", F.expr(f"shiftright(chunk, level - {base})"))
+        on = (F.col("level") == F.col("of_level")) & (F.col("bucket") == F.col("of_bucket"))
+        for n in named:
+            on = on & F.col(n).eqNullSafe(F.col(f"of_{n}"))
+        best = tried.join(here, on).groupBy(*named, "chunk").agg(F.max("number").alias("number"))
+    best = best.join(spans.select("number", "row"), "number").select(*(F.col(n).alias(f"of_{n}") for n in named), F.col("chunk").alias("of_value"), F.col("row").alias("of_row"))
+    asks = values.select(F.struct("*").alias("own"), *of, F.col(value).cast("long").alias("value"))
+    on = F.col("value") == F.col("of_value")
+    for n in named:
+        on = on & F.col(n).eqNullSafe(F.col(f"of_{n}"))
+    return asks.join(best, on, "left").select("own.*", F.col("of_row").alias(to))
 
 
 def mapped(values: DataFrame, definitions: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
