@@ -15,6 +15,8 @@ and corners.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +24,9 @@ from pyspark.sql.window import Window
 from quire.operators.ranges import meetings
 from quire.session import stage
 
+#: Points of a cell that meet its pieces together, and pairs of points and pieces of a task.
+DENSE, TASK = 4096, 4_000_000
+
 
 def flattened(curves: DataFrame, pieces: int = 16) -> DataFrame:
     """curves (other columns, x0, y0 ... x3, y3) as lines: other columns, piece, x0, y0, x1, y1."""
@@ -100,14 +105,15 @@ def winding(points: DataFrame, edges: DataFrame, keys: list[str], shape: list[st
     given = points.select(F.struct("*").alias("point"), *(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.monotonically_increasing_id().alias("row"))
     given = given.filter("px is not null and py is not null").withColumn("cx", at(F.col("px"))).withColumn("cy", at(F.col("py")))
     given = stage(given, "shape-points")
-    cells = given.select(*named, "cx", "cy").distinct()
-    inside = meetings(cells, ranges, [*named, "cy"], "cx", "low", "high")
-    corner = inside.select(*(F.col(f"key_{i}").alias(f"of_{i}") for i in range(len(named))), F.col(f"key_{len(named)}").alias("of_cy"), F.col("value").alias("of_cx"), *(F.col("range")[m].alias(m) for m in marks), F.col("range.winding").alias("part"))
-    here = F.lit(True)
-    for i, n in enumerate(named):
-        here = here & F.col(n).eqNullSafe(F.col(f"of_{i}"))
-    here = here & (F.col("cx") == F.col("of_cx")) & (F.col("cy") == F.col("of_cy"))
-    base = given.join(corner, here).select("row", *marks, "part")
+    # a cell's points are dealt to groups of about DENSE, each of which gets the cell's pieces
+    cells = given.groupBy(*named, "cx", "cy").agg(F.count(F.lit(1)).alias("points")).withColumn("groups", F.ceil(F.col("points") / DENSE).cast("int"))
+    cells = stage(cells.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("cell", F.monotonically_increasing_id()), "shape-cells")
+    inside = meetings(cells.filter("group = 0").select(*named, "cx", "cy"), ranges, [*named, "cy"], "cx", "low", "high")
+    of = [*(f"of_{i}" for i in range(len(named))), "of_cy", "of_cx"]
+    corner = inside.select(*(F.col(f"key_{i}").alias(n) for i, n in enumerate(of[:-1])), F.col("value").alias("of_cx"), *(F.col("range")[m].alias(m) for m in marks), *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")), F.col("range.winding").alias("base"))
+    here = (F.col("cx") == F.col("of_cx")) & (F.col("cy") == F.col("of_cy"))
+    for n, o in zip(named, of, strict=False):
+        here = here & F.col(n).eqNullSafe(F.col(o))
 
     # edges in the cells that they go through, with one to spare on either side for rounding
     lows, highs = at(low), at(high)
@@ -118,10 +124,24 @@ def winding(points: DataFrame, edges: DataFrame, keys: list[str], shape: list[st
     spare = 1e-6 + 1e-9 * F.abs("x0")
     local = banded.withColumn("of_cx", F.explode(F.sequence(at(left - spare).cast("long"), at(far + spare).cast("long"))))
     local = local.withColumnsRenamed({n: f"of_{i}" for i, n in enumerate(named)})
-    px, py, bx, by = F.col("px"), F.col("py"), border(F.col("cx")), border(F.col("cy"))
-    across = _rising(py) * (_right_of(px, py) - _right_of(bx, py))
-    way = F.when((F.col("x0") <= bx) & (bx < F.col("x1")), -1).when((F.col("x1") <= bx) & (bx < F.col("x0")), 1).otherwise(0)
-    part = across + F.when(way == 0, 0).otherwise(way * (_over(bx, py) - _over(bx, by)))
-    near = given.join(local, here).select("row", *marks, part.cast("long").alias("part")).filter("part <> 0")
-    total = base.unionByName(near).groupBy("row", *marks).agg(F.sum("part").alias("winding")).filter("winding <> 0")
-    return given.select("row", "point").join(total, "row").select("point.*", *(F.col(m).alias(s) for m, s in zip(marks, shape, strict=True)), "winding")
+    pieces = corner.unionByName(local.select(*of, *marks, "x0", "y0", "x1", "y1", F.lit(0).cast("long").alias("base"))).join(cells, here)
+
+    # all that an edge has in its cell whatever the point: the side of (bx, py) less what py adds, whether it crosses the cell's right side, and above or below the corner
+    bx, by = border(F.col("cx")), border(F.col("cy"))
+    up, way = F.signum(F.col("y1") - F.col("y0")), F.when((F.col("x0") <= bx) & (bx < F.col("x1")), -1).when((F.col("x1") <= bx) & (bx < F.col("x0")), 1).otherwise(0)
+    fixed = {"dx": F.col("x1") - F.col("x0"), "dy": F.col("y1") - F.col("y0"), "low": low, "high": high, "up": up.cast("int"), "way": way, "off": (bx - F.col("x0")) * (F.col("y1") - F.col("y0")), "corner": _over(bx, by)}
+    fixed |= {"flat": (up * F.signum(F.col("x1") - F.col("x0")) > 0).cast("int")}
+    pieces = stage(pieces.select("cell", *marks, "x0", "y0", "base", *(c.alias(n) for n, c in fixed.items()), (F.col("points") / F.col("groups")).alias("meets")), "shape-pieces")
+
+    # a group's points meet its pieces in one task, which then sums up all that a point has of a shape: no pair travels
+    tasks = math.ceil((pieces.agg(F.sum("meets")).first()[0] or 0) / TASK) or 1
+    dealt = given.withColumnsRenamed(dict(zip([*named, "cy", "cx"], of, strict=True))).join(cells, here & (F.expr("pmod(xxhash64(row), groups)") == F.col("group"))).select("cell", "row", "point", "px", "py")
+    pairs = dealt.repartition(tasks, "cell").join(pieces.drop("meets").repartition(tasks, "cell"), "cell")
+    # from the point to the right side the edge is crossed if the point is on its left, as it rises, and the side's point isn't
+    here_side, there_side = F.expr("dx * (py - y0) - (px - x0) * dy"), F.expr("dx * (py - y0) - off")
+    across = F.when((F.col("low") <= F.col("py")) & (F.col("py") < F.col("high")) & (here_side * F.col("up") > 0) & (there_side * F.col("up") <= 0), F.col("up")).otherwise(0)
+    over = F.when(there_side == 0, F.col("flat")).when((there_side < 0) == (F.col("dx") > 0), 1).otherwise(0)
+    part = F.col("base") + across + F.when(F.col("way") == 0, 0).otherwise(F.col("way") * (over - F.col("corner")))
+    parts = pairs.select("cell", "row", "point", *marks, part.alias("part")).filter("part <> 0")
+    total = parts.groupBy("cell", "row", "point", *marks).agg(F.sum("part").alias("winding")).filter("winding <> 0")
+    return total.select("point.*", *(F.col(m).alias(s) for m, s in zip(marks, shape, strict=True)), "winding")

@@ -232,9 +232,10 @@ def points_in_shapes(spark, sf_dir):
     place = F.floor(F.col("c_custkey") / 8)
     corners = table(spark, sf_dir, "customer").select(place.alias("shape"), "c_custkey", (place * 7919 % 1000 + F.col("c_custkey") * 53 % 41 - 20).alias("x"), (place * 6007 % 1000 + F.col("c_custkey") * 29 % 37 - 18).alias("y"))
     points = table(spark, sf_dir, "lineitem").select("l_orderkey", ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 1000).alias("x"), ((F.col("l_partkey") * 6007 + F.col("l_suppkey") * 31) % 1000).alias("y"))
-    found = shapes.winding(points, shapes.closed(corners, ["shape"], [], "c_custkey"), [], ["shape"], 8)
-    odd = F.abs("winding") % 2 == 1
-    return found.groupBy("shape").agg(F.count(F.lit(1)).alias("nonzero"), F.count_if(odd).alias("even_odd"), F.sum("winding").alias("windings"), F.max(F.abs("winding")).alias("most"), F.sum("l_orderkey").alias("orders"))
+    places = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_orderkey").alias("orders"))
+    found = shapes.winding(places, shapes.closed(corners, ["shape"], [], "c_custkey"), [], ["shape"], 8)
+    odd = F.when(F.abs("winding") % 2 == 1, F.col("lines")).otherwise(0)
+    return found.groupBy("shape").agg(F.sum("lines").alias("nonzero"), F.sum(odd).alias("even_odd"), F.sum(F.col("winding") * F.col("lines")).alias("windings"), F.max(F.abs("winding")).alias("most"), F.sum("orders").alias("orders"))
 
 
 _FILES = """d AS (SELECT printf('%012d', doc_id) AS path, sha256(coalesce(text, '')) AS sha256, 1 + length(coalesce(text, '')) // 1000 AS pages, length(coalesce(text, '')) AS size FROM documents),
