@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.session import stage
 
-WIDEST = 4
+#: Bytes of a code. Places beyond which no table of places is broadcast: staged files are far smaller than their rows.
+WIDEST, SMALL = 4, 100_000
 
 
 def segment(texts: DataFrame, codes: DataFrame, fallback: int = 1, by: str = "font", data: str = "data") -> DataFrame:
@@ -21,10 +22,12 @@ def segment(texts: DataFrame, codes: DataFrame, fallback: int = 1, by: str = "fo
     The codes that fit anywhere come from one equi-join over all places and
     widths. Which places are really reached is found by doubling: places that are
     known to be reached jump 1, 2, 4 ... codes ahead, so a text of n bytes takes
-    log n joins over its places, which stand in any number of tasks.
+    log n joins over its places, which stand in any number of tasks. A text that
+    occurs more than once under a map is cut once.
     """
     rest = [c for c in texts.columns if c != data]
-    rows = stage(texts.select(F.monotonically_increasing_id().alias("row"), F.col(by).alias("of"), F.col(data).cast("binary").alias("data"), F.struct(*rest).alias("rest")).filter("octet_length(data) > 0"), "segment-texts")
+    given = texts.select(F.col(by).alias("of"), F.col(data).cast("binary").alias("data"), F.struct(*rest).alias("rest")).filter("octet_length(data) > 0")
+    rows = stage(given.select("of", "data").distinct().withColumn("row", F.monotonically_increasing_id()), "segment-texts")
     known = codes.filter(f"code is not null and octet_length(code) between 1 and {WIDEST}").groupBy(F.col(by).alias("known_of"), F.col("code").alias("known")).agg(F.max("text").alias("text"))
     size = F.octet_length("data")
     places = rows.select("row", "of", "data", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("pos"))
@@ -39,17 +42,20 @@ def segment(texts: DataFrame, codes: DataFrame, fallback: int = 1, by: str = "fo
     )
     width = F.coalesce("found", F.least(F.lit(fallback), F.col("size") - F.col("pos")))
     step = stage(step.select("row", "size", "pos", width.alias("width"), F.when(F.col("found").isNotNull(), F.col("best.code")).otherwise(F.col("some")).alias("code"), F.col("best.text").alias("text")), "segment-steps")
-    most = step.agg(F.max("size")).first()[0] or 0
+    most, places = step.agg(F.coalesce(F.max("size"), F.lit(0)), F.count(F.lit(1))).first()
+    spread = (lambda df: df.hint("merge")) if places > SMALL else (lambda df: df)
     jumps = step.filter("pos + width < size").select("row", "pos", (F.col("pos") + F.col("width")).alias("to"))
     reached = rows.select("row", F.lit(0).alias("pos"))
     hops = 1
     while hops < most:
-        ahead = jumps.select(F.col("row").alias("of_row"), F.col("pos").alias("of_pos"), F.col("to").alias("of_to"))
+        ahead = spread(jumps.select(F.col("row").alias("of_row"), F.col("pos").alias("of_pos"), F.col("to").alias("of_to")))
         met = reached.join(ahead, (reached["row"] == ahead["of_row"]) & (reached["pos"] == ahead["of_pos"])).select("row", F.col("of_to").alias("pos"))
         reached = stage(reached.unionByName(met), "segment-reached")
         jumps = stage(jumps.join(ahead, (jumps["row"] == ahead["of_row"]) & (jumps["to"] == ahead["of_pos"])).select("row", "pos", F.col("of_to").alias("to")), "segment-jumps")
         hops *= 2
         if jumps.isEmpty():
             break
-    taken = reached.join(step, ["row", "pos"])
-    return taken.join(rows.select("row", "rest"), "row").select("rest.*", "pos", "width", "code", "text")
+    taken = reached.join(spread(step), ["row", "pos"]).select("row", "pos", "width", "code", "text")
+    named = spread(rows.select(F.col("of").alias("of_of"), F.col("data").alias("of_data"), "row"))
+    given = given.join(named, F.col("of").eqNullSafe(F.col("of_of")) & (F.col("data") == F.col("of_data"))).select("row", "rest")
+    return given.join(spread(taken), "row").select("rest.*", "pos", "width", "code", "text")
