@@ -288,6 +288,6 @@ def object_records(spark, sf_dir):
     line = F.concat(F.format_string("%d 0 obj null endobj %d %d obj << /Status /", "o_orderkey", "o_orderkey", F.col("o_custkey") % 10), "o_orderstatus", F.lit(" /Priority ("), "o_orderpriority", F.lit(") >> endobj"))
     table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
     records.register(spark)
-    found = records.last_objects(spark.read.format(records.NAME).option("split", 32 << 10).load(path))
+    found = records.last_objects(spark.read.format(records.NAME).option("split", 32 << 10).option("last", True).load(path))
     body = F.col("body").cast("string")
     return found.select("obj_id", "generation", F.regexp_extract(body, "/Status /(\\w+)", 1).alias("status"), F.length(body).alias("bytes"))

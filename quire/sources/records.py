@@ -13,6 +13,7 @@ walk over streams' lengths, which can't begin in the middle of a file, this take
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ from pyspark.sql.types import StructType
 from quire.session import prepare
 
 NAME, SPLIT, LONGEST, READ = "pdf_objects", 64 << 20, 256 << 20, 1 << 20
+#: Splits, beyond which a task has several, and what it then has at least, in bytes.
+MOST, LEAST = 2048, 4 << 20
 END = b"endobj"
 HEADER = re.compile(rb"(\d+)[\s\x00]+(\d+)[\s\x00]+obj\b")
 SCHEMA = "path string, start long, length long, obj_id long, generation int, body binary"
@@ -51,7 +54,8 @@ class ObjectReader(DataSourceReader):
         if strange:
             raise ValueError(f"no such columns: {', '.join(sorted(strange))}")
         self.paths = [p for p in options.get("path", "").split(",") if p]
-        self.split, self.longest = int(options.get("split", SPLIT)), int(options.get("longest", LONGEST))
+        self.split, self.longest, self.most = int(options.get("split", SPLIT)), int(options.get("longest", LONGEST)), int(options.get("most", MOST))
+        self.last = options.get("last", "false").lower() == "true"
         self.tests: list[tuple[type, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]):  # noqa: N802  Spark's name
@@ -68,7 +72,7 @@ class ObjectReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        out = []
+        found = []
         for path in self.paths:
             system, inside = _opened(path)
             info = system.get_file_info(inside)
@@ -78,8 +82,10 @@ class ObjectReader(DataSourceReader):
             for f in files:
                 shown = path if f.path == inside else path.rstrip("/") + f.path[len(inside.rstrip("/")) :]
                 if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and self._passes("path", shown):
-                    out += [Split(shown, at, min(at + self.split, f.size)) for at in range(0, f.size, self.split)]
-        return out or [Split("", 0, 0)]
+                    found.append((shown, f.size))
+        splits = sum(math.ceil(size / self.split) for _, size in found)
+        wide = self.split * (1 if splits <= self.most else max(math.ceil(splits / self.most), math.ceil(LEAST / self.split)))
+        return [Split(path, at, min(at + wide, size)) for path, size in found for at in range(0, size, wide)] or [Split("", 0, 0)]
 
     def read(self, partition: Split) -> Iterator:
         import pyarrow as pa
@@ -87,40 +93,54 @@ class ObjectReader(DataSourceReader):
         if not partition.path:
             return
         kinds = {"path": pa.string(), "start": pa.int64(), "length": pa.int64(), "obj_id": pa.int64(), "generation": pa.int32(), "body": pa.binary()}
-        rows, held = [], 0
-        for start, piece, length in self._pieces(partition):
-            m = HEADER.search(piece)
-            if not m or len(m[1]) > 18 or len(m[2]) > 9:
+        with_body = "body" in self.columns
+        tested = {c for _, c, _ in self.tests}
+
+        def batch(rows):
+            columns = dict(zip(("start", "length", "obj_id", "generation", "body"), zip(*rows, strict=True), strict=True)) | {"path": [partition.path] * len(rows)}
+            return pa.record_batch([pa.array(columns[n], kinds[n]) for n in self.columns], names=self.columns)
+
+        rows, held = {}, 0
+        for start, data, begin, end, length in self._pieces(partition):
+            m = HEADER.search(data, begin, end)
+            if not m:
+                continue
+            one, two = m.groups()
+            if len(one) > 18 or len(two) > 9:
+                continue
+            found, generation = int(one), int(two)
+            if tested and not (self._passes("obj_id", found) and self._passes("generation", generation)):
                 continue
-            found, generation = int(m[1]), int(m[2])
-            if self._passes("obj_id", found) and self._passes("generation", generation):
-                body = piece[m.end() : -len(END)] if "body" in self.columns and length == len(piece) and length <= self.longest else None
-                made = {"path": partition.path, "start": start + m.start(), "length": length - m.start(), "obj_id": found, "generation": generation, "body": body}
-                rows.append([made[c] for c in self.columns])
-                held += len(body or b"") + 50
+            skipped = m.start() - begin
+            body = data[m.end() : end - len(END)] if with_body and length == end - begin and length <= self.longest else None
+            rows[found if self.last else start] = (start + skipped, length - skipped, found, generation, body)
+            held += 50 + (len(body) if body else 0)
             if held > READ:
-                yield pa.record_batch([pa.array(c, kinds[n]) for n, c in zip(self.columns, zip(*rows, strict=True), strict=True)], names=self.columns)
-                rows, held = [], 0
+                yield batch(rows.values())
+                rows, held = {}, 0
         if rows:
-            yield pa.record_batch([pa.array(c, kinds[n]) for n, c in zip(self.columns, zip(*rows, strict=True), strict=True)], names=self.columns)
+            yield batch(rows.values())
 
     def _pieces(self, split: Split):
-        """(start, bytes, length) of the split's pieces; of those beyond `longest` the first bytes only."""
+        """(start, data, begin, end, length) of the split's pieces, which are data[begin:end]; of those beyond `longest` the first bytes only."""
         system, inside = _opened(split.path)
         with system.open_input_file(inside) as file:
             # an `endobj` that ends behind the split's start may begin before it
             at = max(0, split.start - len(END) + 1)
             file.seek(at)
-            data, begin, cut = b"", split.start, 0
+            data, begin, cut, start = b"", 0, 0, split.start
             owned = split.start == 0
             while True:
-                end = data.find(END, max(0, cut))
+                end = data.find(END, max(begin, cut))
                 if end < 0:
+                    at, data, begin = at + begin, data[begin:], 0
                     keep = self.longest if owned else 0
                     cut = max(len(data) - len(END) + 1, 0)
                     if cut > keep:  # what is beyond is looked through, not kept
                         at, data, cut = at + cut - keep, data[:keep] + data[cut:], keep
-                    more = file.read(READ)
+                    # no more than the split has; behind its end only what its last piece takes, in growing steps
+                    left = split.end - at - len(data)
+                    more = file.read(min(left, READ) if left > 0 else min(max(len(data), READ >> 6), READ << 3))
                     if not more:
                         return
                     data += more
@@ -128,17 +148,20 @@ class ObjectReader(DataSourceReader):
                 end += len(END)
                 after = at + end
                 if owned:
-                    yield begin, data[:end] if after - begin == end else data[: self.longest], after - begin
+                    yield start, data, begin, end if after - start == end - begin else min(end, begin + self.longest), after - start
                 if after > split.end:
                     return
-                at, data, cut, begin, owned = after, data[end:], 0, after, after > split.start
+                begin, cut, start, owned = end, 0, after, after > split.start
 
 
 class ObjectSource(DataSource):
     """path, start, length, obj_id, generation, body of every object of the files.
 
     Options: path (files or folders, by commas), split (bytes), longest (objects
-    beyond it have a null body). A schema of fewer columns reads no more than those.
+    beyond it have a null body), most (splits, beyond which a task has several),
+    last (true: of objects with one id that stand close together in a file, all
+    but the last may be left out, as `last_objects` would). A schema of fewer
+    columns reads no more than those.
     """
 
     @classmethod
@@ -162,7 +185,8 @@ def register(spark: SparkSession) -> None:
 def last_objects(objects: DataFrame) -> DataFrame:
     """Of objects with one id in a file, the last."""
     rest = [c for c in objects.columns if c not in ("path", "obj_id")]
-    return objects.groupBy("path", "obj_id").agg(F.max_by(F.struct(*rest), "start").alias("x")).select("path", "obj_id", "x.*")
+    # rows are sorted by these keys: by the number first, since paths are long and begin alike
+    return objects.groupBy("obj_id", "path").agg(F.max_by(F.struct(*rest), "start").alias("x")).select("path", "obj_id", "x.*")
 
 
 def packed_objects(streams: DataFrame, direct: DataFrame) -> DataFrame:
