@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.session import stage
 
-STRIDE = 8
+#: Levels at a time. Rows beyond which no table is broadcast: staged files are far smaller than their rows.
+STRIDE, SMALL = 8, 100_000
 
 
 def meetings(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, first: str, last: str) -> DataFrame:
@@ -82,6 +83,7 @@ def look_up(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, f
     blocks = stage(_blocks(spans, named), "ranges-blocks")
     levels = sorted(r[0] for r in blocks.select("level").distinct().collect())
     asked = stage(values.select(*of, F.col(value).cast("long").alias("value")).filter("value is not null").distinct(), "ranges-asked")
+    spread = (lambda df: df.hint("merge")) if max(asked.count(), blocks.count(), spans.count()) > SMALL else (lambda df: df)
     best = asked.select(*named, F.col("value").alias("chunk"), F.lit(None).cast("long").alias("number")).limit(0)
     highest = max(levels, default=0) // STRIDE * STRIDE
     for base in range(highest, -1, -STRIDE):
@@ -94,13 +96,13 @@ def look_up(values: DataFrame, ranges: DataFrame, keys: list[str], value: str, f
         on = (F.col("level") == F.col("of_level")) & (F.col("bucket") == F.col("of_bucket"))
         for n in named:
             on = on & F.col(n).eqNullSafe(F.col(f"of_{n}"))
-        best = tried.join(here, on).groupBy(*named, "chunk").agg(F.max("number").alias("number"))
-    best = best.join(spans.select("number", "row"), "number").select(*(F.col(n).alias(f"of_{n}") for n in named), F.col("chunk").alias("of_value"), F.col("row").alias("of_row"))
+        best = tried.join(spread(here), on).groupBy(*named, "chunk").agg(F.max("number").alias("number"))
+    best = best.join(spread(spans.select("number", "row")), "number").select(*(F.col(n).alias(f"of_{n}") for n in named), F.col("chunk").alias("of_value"), F.col("row").alias("of_row"))
     asks = values.select(F.struct("*").alias("own"), *of, F.col(value).cast("long").alias("value"))
     on = F.col("value") == F.col("of_value")
     for n in named:
         on = on & F.col(n).eqNullSafe(F.col(f"of_{n}"))
-    return asks.join(best, on, "left").select("own.*", F.col("of_row").alias(to))
+    return asks.join(spread(best), on, "left").select("own.*", F.col("of_row").alias(to))
 
 
 def mapped(values: DataFrame, definitions: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
